@@ -129,6 +129,18 @@ def test_ngram_join(spark, odd, which):
     assert sorted(got, key=key) == sorted(brute_join(rows), key=key)
 
 
+def test_ngram_join_by_blocks(spark, monkeypatch):
+    from lexforge.llm import ngram_join
+
+    for k, v in (("ROUNDS", 1), ("COLD", 1), ("BLOCK", 7)):
+        monkeypatch.setattr(ngram_join, k, v)
+    words = sentence(1, 90).split()
+    rows = [(i, " ".join([*words[: i % 80], f"new{i}", *words[i % 80 + 1 :]])) for i in range(40)]
+    rows += [(50 + i, " ".join([*words[:i], f"a{i}", *words[i + 1 : i + 15], f"b{i}", *words[i + 16 : i + 30], f"c{i}", *words[i + 31 :]])) for i in range(30)]
+    got = [tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_join(rows))
+
+
 def brute_rules(rows):
     out = []
     for d, t in rows:

@@ -38,7 +38,9 @@ from . import _text as tx
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE_MARK = "▁"
 #: Chunks that a process keeps.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 500_000
+#: Pairs of pieces whose weight a process keeps.
+KEPT_PAIRS = 400_000
 #: What an unknown character costs beyond the worst piece, as the format defines.
 UNKNOWN_PENALTY = 10.0
 
@@ -104,6 +106,7 @@ class Transducer:
         self.single = {c for c in held if c in self.id}
         self.follows: dict[tuple[str, str], bool] = {}
         self.chunks: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         made = [self._written(i) for i in range(len(self.pieces))]
         self.size = np.array([len(b) for b in made])
         self.place = np.concatenate([[0], np.cumsum(self.size)])
@@ -137,7 +140,7 @@ class Transducer:
         key = (last or "", piece)
         ok = self.follows.get(key)
         if ok is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) >= KEPT_PAIRS:
                 self.follows.clear()
             ok = self.follows[key] = self._merged((last or "") + piece) == ([last, piece] if last else [piece])
         return 0.0 if ok else np.inf
@@ -152,6 +155,8 @@ class Transducer:
                 continue
             last = came[i][1] if i else None
             for j in range(i + 1, min(n, i + self.longest) + 1):
+                if self.bpe and cost[j] == 0:  # the one finite path to j is known
+                    continue
                 piece = text[i:j]
                 if piece in self.id or (j == i + 1 and piece not in self.single):
                     c = cost[i] + self._weight(last, piece)
@@ -169,6 +174,8 @@ class Transducer:
     def chunk_ids(self, chunk: bytes) -> bytes:
         """Ids of a chunk as 32-bit integers."""
         got = self.chunks.get(chunk)
+        if got is None and (got := self.older.get(chunk)) is not None:
+            self.chunks[chunk] = got
         if got is None:
             ids: list[int] = []
             for piece in self.shortest(chunk.decode().replace(" ", SPACE_MARK)):
@@ -180,8 +187,8 @@ class Transducer:
                 elif not ids or ids[-1] != self.unk:
                     ids.append(self.unk)
             got = np.array(ids, np.int32).tobytes()
-            if len(self.chunks) >= KEPT_CHUNKS:
-                self.chunks.clear()
+            if len(self.chunks) >= KEPT_CHUNKS // 2:  # what was not used lately goes
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = got
         return got
 

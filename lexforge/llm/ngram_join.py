@@ -12,10 +12,10 @@ same set are one row), columns are shingles. Two rows link when
 3. A row's columns are ordered by (rows of the column, hash), rare ones first. By its
    size bound, a linked pair shares one of the first shared - ceil(0.75 n) + 1 columns of
    either row, so only these are multiplied.
-4. Overlaps are accumulated on the rows' shared columns, first with the least row of each
-   column that a row names most often, which joins the many copies of one text without
-   their pairs; then, among rows that no link has joined yet, for every pair that shares
-   a column and whose sizes allow it.
+4. Overlaps are accumulated on the rows' shared columns, first in rounds between classes
+   (see `_merge_classes`), which join the many copies of one text without their pairs;
+   then, among rows that no link has joined yet, for every pair that shares a column and
+   whose sizes allow it.
 
 Links are exact up to equal 64-bit hashes of different sets (rows) or 52-bit hashes of
 different shingles; two texts of 500 shingles meet a false shared shingle in about one of
@@ -38,6 +38,10 @@ from . import _text as tx
 from ._spark import components, pack, parts_of, stored, unpack
 
 WORDS, PERCENT = 5, 75
+#: Rounds in which classes merge before the remaining pairs are multiplied.
+ROUNDS = 2
+#: Rows of a column up to which its pairs are tried one by one, and rows of a block beyond that.
+COLD, BLOCK = 32, 1000
 #: Postings a map task holds before it writes its packed columns.
 HOLD = 600_000
 
@@ -220,6 +224,108 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("row", "n", "cols", "row2", "n2", "cols2").mapInArrow(_overlaps, "a long, b long")
 
 
+def _rooted(columns: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """columns with the class of each row."""
+    if roots is None:
+        return columns.withColumn("root", F.col("row"))
+    return columns.join(roots, columns.row == roots.node, "left").select("col", "row", "n", F.coalesce("root", "row").alias("root"))
+
+
+def _mixed(at: DataFrame) -> DataFrame:
+    """Postings of columns in which two classes meet."""
+    mixed = at.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("col")
+    return at.join(mixed, "col", "left_semi")
+
+
+def _block_products(hot: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links between classes that meet in columns of many rows, as spanning links of each block product.
+
+    Rows that such columns connect form a cluster, cut into blocks of about BLOCK rows.
+    Every pair of blocks is one task's product, but for pairs within the cluster's
+    largest class, whose rows are linked already.
+    """
+    edges = hot.select(F.col("row").alias("a"), F.xxhash64(F.lit("col"), "col").alias("b"))
+    clusters = components(edges)
+    owned = stored(hot.select("row", "root").distinct().join(clusters, F.col("row") == clusters.node).select("row", hot.root, clusters.root.alias("cluster")), "owned")
+    sizes = owned.groupBy("cluster", "root").agg(F.count("*").alias("k"))
+    top = sizes.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("k"))
+    cut = top.select("cluster", F.col("top.root").alias("top"), F.ceil(F.col("top.k") / BLOCK).cast("int").alias("nt"), F.ceil((F.col("k") - F.col("top.k")) / BLOCK).cast("int").alias("no")).filter("no > 0")
+    own = F.when(F.col("root") == F.col("top"), F.pmod(F.xxhash64("row"), "nt")).otherwise(F.col("nt") + F.pmod(F.xxhash64("row"), "no")).cast("int")
+    meets = F.sequence(F.when(F.col("root") == F.col("top"), F.col("nt")).otherwise(0), F.col("nt") + F.col("no") - 1)
+    dealt = owned.join(cut, "cluster").select("row", "root", "cluster", own.alias("own"), F.explode(meets).alias("with"))
+    blocks = dealt.join(rows.select("row", "n", "cols"), "row").withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")}).select("row", "root", "own", "n", "cols", "cluster", "lo", "hi")
+    return blocks.groupBy("cluster", "lo", "hi").applyInArrow(_product, "a long, b long")
+
+
+def _product(table: pa.Table) -> pa.Table:
+    """Overlaps of the rows of one pair of blocks, accumulated by column: matrix products for columns of many rows, pair counts for the others."""
+    row, root, own, n = (table.column(c).to_numpy() for c in ("row", "root", "own", "n"))
+    lo, hi = own == own.min(), own == own.max()
+    cols = [np.frombuffer(c.as_buffer(), np.uint64) for c in table.column("cols").combine_chunks()] if table.num_rows else []
+    size = np.array([len(c) for c in cols])
+    col, r = np.concatenate(cols), np.repeat(np.arange(len(row)), size)
+    order = np.argsort(col, kind="stable")
+    col, r = col[order], r[order]
+    first = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
+    many = np.diff(np.append(first, len(col)))
+    number = np.repeat(np.arange(len(first)), many)
+    over = np.zeros((len(row), len(row)), np.float32)
+    dense = np.flatnonzero(many > 16)
+    place = np.full(len(first), -1)
+    place[dense] = np.arange(len(dense))
+    for at in range(0, len(dense), 2048):
+        here = (place[number] >= at) & (place[number] < at + 2048)
+        m = np.zeros((len(row), min(2048, len(dense) - at)), np.float32)
+        m[r[here], place[number[here]] - at] = 1
+        over += m @ m.T
+    for k in range(2, 17):
+        at = first[many == k]
+        for i in range(k):
+            for j in range(i + 1, k):
+                np.add.at(over, (r[at + i], r[at + j]), 1)
+                np.add.at(over, (r[at + j], r[at + i]), 1)
+    union = n[:, None] + n[None, :] - over
+    linked = (100 * over >= PERCENT * union) & (root[:, None] != root[None, :])
+    linked &= (lo[:, None] & hi[None, :]) | (hi[:, None] & lo[None, :])
+    label = np.arange(len(row))
+    while True:  # spanning links: each row to the least row of its class in this product
+        least = np.where(linked, label[None, :], len(row)).min(1) if len(row) else label
+        step = np.minimum(label, least)
+        step = step[step]
+        if (step == label).all():
+            break
+        label = step
+    some = label != np.arange(len(row))
+    return pa.table({"a": row[some], "b": row[label[some]]})
+
+
+def _merge_classes(columns: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes and links found by rounds in which each class tries one partner.
+
+    In every column each class has its smallest row stand for it and meets the smallest
+    row of the column; of the partners so met, a class tries the one met most often. A
+    group of n copies so takes about n products in all and not its pairs. The number of
+    rounds only decides how much is left for the exact step that follows.
+    """
+    roots, links, tried = None, None, None
+    for _ in range(ROUNDS):
+        heads = _rooted(columns, roots).groupBy("col", "root").agg(F.min(F.struct("n", "row")).alias("head"))
+        tops = heads.groupBy("col").agg(F.min("head").alias("top"), F.count("*").alias("many")).filter("many > 1").select("col", "top")
+        met = heads.join(tops, "col").filter(f"head.row <> top.row and 100 * top.n >= {PERCENT} * head.n")
+        counted = met.groupBy("root", F.col("head.row").alias("row"), F.col("top.row").alias("row2")).agg(F.count("*").alias("times"))
+        if tried is not None:
+            counted = counted.join(tried, ["row", "row2"], "left_anti")
+        best = counted.groupBy("root").agg(F.max(F.struct("times", "row", "row2")).alias("m"))
+        pairs = stored(best.select("m.row", "m.row2"), "pairs")
+        found = stored(_linked(pairs, rows), "links")
+        tried = pairs if tried is None else tried.union(pairs)
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        roots = components(links)
+    return roots, links
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -231,23 +337,22 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     rows = stored(shared.groupBy("part").applyInArrow(_rows, "row long, n long, first long, cols binary"), "rows")
     columns = stored(rows.mapInArrow(_columns, "col long, row long, n long"), "columns")
 
-    # the least row of each column; the one that a row meets most often is its first partner
-    least = columns.groupBy("col").agg(F.min(F.struct("n", "row")).alias("head"), F.count("*").alias("many")).filter("many > 1").select("col", "head")
-    named = columns.join(least, "col").filter("head.row <> row and 100 * least(head.n, n) >= 75 * greatest(head.n, n)")
-    counted = named.groupBy("row", F.col("head.row").alias("row2")).agg(F.count("*").alias("times"))
-    best = counted.groupBy("row").agg(F.max(F.struct("times", "row2")).alias("m")).select("row", F.col("m.row2").alias("row2"))
-    links = stored(_linked(best, rows), "links")
-    roots = components(links)
-
-    # rows still apart: columns that hold one class only need no product
-    at = columns.join(roots, columns.row == roots.node, "left").select("col", "row", "n", F.coalesce("root", "row").alias("root"))
-    mixed = at.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("col")
-    apart = stored(at.join(mixed, "col", "left_semi"), "apart")
-    other = apart.select("col", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    roots, links = _merge_classes(columns, rows)
+    # what is left apart, exactly: columns of few rows by their pairs, the others by blocks of rows
+    many = columns.groupBy("col").agg(F.count("*").alias("many"))
+    apart = stored(_mixed(_rooted(columns, roots)).join(many, "col"), "apart")
+    cold = apart.filter(F.col("many") <= COLD)
+    other = cold.select("col", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
     sized = (F.col("row") < F.col("row2")) & (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
-    pairs = apart.join(other, "col").filter(sized).select("row", "row2").distinct()
-    more = stored(_linked(pairs, rows).union(links), "links")
-    roots = components(more)
+    found = stored(_linked(cold.join(other, "col").filter(sized).select("row", "row2").distinct(), rows), "links")
+    if not found.isEmpty():
+        links = found if links is None else links.union(found)
+        roots = components(links)
+    hot = stored(_mixed(_rooted(apart.filter(F.col("many") > COLD).select("col", "row", "n"), roots)), "hot")
+    if not hot.isEmpty():
+        found = stored(_block_products(hot, rows), "links")
+        links = found if links is None else links.union(found)
+        roots = components(links)
 
     classed = sets.join(roots, sets.row == roots.node, "left").select("doc_id", "n", F.coalesce("root", "row").alias("class"))
     names = classed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))

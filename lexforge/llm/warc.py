@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_folder
+from ._spark import shared_folder, stored
 
 LEAST = 100
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -42,8 +42,8 @@ DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 PAD = "P*M\x18\0\0\0\0"
 #: Payload bytes that a file's dictionary is made of.
 DICT_BYTES = 32_768
-#: Payload bytes of one archive file, about.
-FILE_BYTES = 16_000_000
+#: Digests of 40 bytes each that are sent to every executor at most.
+BROADCAST_ROWS = 200_000
 
 
 def digest_header(sha: bytes) -> str:
@@ -144,12 +144,17 @@ def parse_record(raw: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages(page_id, url, html) -> rows with record_type, refers_to and sha. Digests are pre-aggregated, so copies of one payload are no hot group."""
+    """pages(page_id, url, html) -> rows with record_type, refers_to and sha.
+
+    Digests are pre-aggregated, and only those of two records or more come back to the
+    payloads: by broadcast if they are at most BROADCAST_ROWS, else by a join on the
+    digest, in which Spark splits hot digests.
+    """
     rows = pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "encode(coalesce(cast(html as string), ''), 'UTF-8') as payload").withColumn("sha", F.unhex(F.sha2("payload", 256)))
     rows = rows.withColumn("big", F.octet_length("payload") >= least)
-    heads = rows.filter("big and page_id is not null").groupBy("sha").agg(F.min("page_id").alias("head"))
-    out = rows.join(heads, "sha", "left")
-    revisit = F.expr("big and page_id > head")
+    heads = stored(rows.filter("big and page_id is not null").groupBy("sha").agg(F.min("page_id").alias("head"), F.max("page_id").alias("last")).filter("head < last").select("sha", "head"), "heads")
+    out = rows.join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads, "sha", "left")
+    revisit = F.expr("coalesce(big and page_id > head, false)")
     return out.select("page_id", "url", "payload", "sha", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("head")).alias("refers_to"))
 
 
@@ -188,15 +193,9 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write planned records as archives below path, about FILE_BYTES of payload a file.
-
-    Rows keep the tasks they come in; only the number of files is set, from the sum of
-    payload bytes, by a round-robin exchange that no key can make uneven.
-    """
-    total = records.agg(F.sum(F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(0) + 600)).first()[0] or 0
+    """Write planned records as archives below path, one file a task; nothing is exchanged for it."""
     sent = records.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")))
-    dealt = sent.repartition(max(1, -(-total // FILE_BYTES)), F.xxhash64("page_id", "url"))
-    frames = dealt.select("page_id", "url", "payload", "sha", "record_type", "refers_to").mapInArrow(_archives, "frame binary")
+    frames = sent.select("page_id", "url", "payload", "sha", "record_type", "refers_to").mapInArrow(_archives, "frame binary")
     frames.selectExpr("cast(frame as string) as value").write.option("lineSep", PAD).text(path)
 
 

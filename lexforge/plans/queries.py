@@ -573,9 +573,9 @@ def prompt_versions(spark, sf_dir):
     return Tr.next_versions(p, p.filter("version = 1").join(big, "name", "left_semi").select("name", "text"))
 
 
-@query("select user_id, props from (select user_id, string_agg(event_type || '=' || v, ';' order by event_type) as props from (select user_id, event_type, max(cast(cast(value as bigint) as varchar)) as v from events group by 1, 2) group by user_id)")
+@query("select user_id, props from (select user_id, string_agg(event_type || '=' || v, ';' order by event_type) as props from (select user_id, event_type, max(cast(cast(floor(value) as bigint) as varchar)) as v from events group by 1, 2) group by user_id)")
 def preferences_map(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("key"), F.round("value").cast("long").cast("string").alias("value"))
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("key"), F.floor("value").cast("long").cast("string").alias("value"))
     m = A.map_of(e, "user_id", "key", "value")
     return m.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("preferences")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("props"))
 

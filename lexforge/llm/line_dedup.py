@@ -2,8 +2,8 @@
 
 A line is dropped when an earlier line of the corpus is equal to it or, both lines being
 of at least `NEAR_LEAST` characters, within one edit (a character replaced, put in or
-left out). Earlier means by (doc_id, place in the
-text); a line counts by its first occurrence, whether or not that one is dropped itself.
+left out). Earlier means by (doc_id, place in the text); a line counts by its first
+occurrence, whether or not that one is dropped itself.
 Lines without a character other than white space are never dropped.
 
 1. Lines become 128-bit digests, and equal lines one row with their first place.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ._spark import stored
 
 NEAR_LEAST = 20
+#: Places of some 30 bytes each that are sent to every executor at most.
+BROADCAST_ROWS = 200_000
 LAST = 9223372036854775807
 #: White space at which a line counts as blank, as the words of the other operators have it.
 INK = "[^\\x20\\x09-\\x0D]"
@@ -62,9 +64,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     distinct = stored(seen.groupBy("digest").agg(F.min("at").alias("at"), F.min("halves").alias("halves")), "distinct")
     half = distinct.select("at", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    near = half.join(shared, "half", "left_semi").select("at").distinct()
+    near = stored(half.join(shared, "half", "left_semi").select("at").distinct(), "near")
+    # their texts: by broadcast of the places while those are few, else by a join that moves all lines
+    few = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
     text_of = lines.select(F.struct("__id", "__sum", "place").alias("at"), "line")
-    close = stored(near.join(text_of, "at").groupBy("at").agg(F.min("line").alias("line")), "close")
+    close = stored(text_of.join(few, "at", "left_semi").groupBy("at").agg(F.min("line").alias("line")), "close")
 
     # the deletion neighbourhood; place -1 is the whole line
     spots = F.sequence(F.lit(0), size - 1)

@@ -25,6 +25,7 @@ result is replaced; repeated rows give repeated results; texts of any length are
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,9 +39,9 @@ from . import _text as tx
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE_MARK = "▁"
 #: Chunks that a process keeps.
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 300_000
 #: Pairs of pieces whose weight a process keeps.
-KEPT_PAIRS = 400_000
+KEPT_PAIRS = 600_000
 #: What an unknown character costs beyond the worst piece, as the format defines.
 UNKNOWN_PENALTY = 10.0
 
@@ -104,7 +105,8 @@ class Transducer:
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.id):
             raise ValueError("models with a space inside a piece are not supported")
         self.single = {c for c in held if c in self.id}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[int | str, bool]] = {}
+        self.pairs = 0
         self.chunks: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         made = [self._written(i) for i in range(len(self.pieces))]
@@ -133,43 +135,69 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _weight(self, last: str | None, piece: str) -> float:
-        """Weight of the arc that writes `piece` in the state of `last`."""
-        if not self.bpe:
-            return -self.score[piece] if piece in self.score else self.unknown_cost
-        key = (last or "", piece)
-        ok = self.follows.get(key)
-        if ok is None:
-            if len(self.follows) >= KEPT_PAIRS:
-                self.follows.clear()
-            ok = self.follows[key] = self._merged((last or "") + piece) == ([last, piece] if last else [piece])
-        return 0.0 if ok else np.inf
+    def _stays(self, last: str, piece: str) -> bool:
+        """Do the merge rules leave `last` and `piece` side by side as they are?"""
+        if self.pairs >= KEPT_PAIRS:
+            self.follows.clear()
+            self.pairs = 0
+        self.pairs += 1
+        return self._merged(last + piece) == ([last, piece] if last else [piece])
 
     def shortest(self, text: str) -> list[str]:
         """Pieces of the least-weight path through the composition of one chunk with the model."""
-        n = len(text)
-        cost = [0.0] + [np.inf] * n
+        return self._path_by_pairs(text) if self.bpe else self._path_by_scores(text)
+
+    def _path_by_pairs(self, text: str) -> list[str]:
+        """The one path of weight 0: an arc is free after a piece that it leaves as it is, and closed else."""
+        n, ids, single, longest = len(text), self.id, self.single, self.longest
         came: list[tuple[int, str] | None] = [None] * (n + 1)
+        came[0] = (0, "")
         for i in range(n):
-            if cost[i] == np.inf:
+            state = came[i]
+            if state is None:
                 continue
-            last = came[i][1] if i else None
+            free = self.follows.get(state[1])
+            if free is None:
+                free = self.follows.setdefault(state[1], {})
+            for j in range(i + 1, min(n, i + longest) + 1):
+                if came[j] is None:
+                    piece = text[i:j]
+                    arc = ids.get(piece)
+                    if arc is None:
+                        if j > i + 1 or piece in single:
+                            continue
+                        arc = piece
+                    ok = free.get(arc)
+                    if ok is None:
+                        ok = free[arc] = self._stays(state[1], piece)
+                    if ok:
+                        came[j] = (i, piece)
+        return self._back(came, text)
+
+    def _path_by_scores(self, text: str) -> list[str]:
+        """The path of least sum of negated scores."""
+        n = len(text)
+        cost = [0.0] + [np.inf] * n
+        came: list[tuple[int, str] | None] = [(0, "")] + [None] * n
+        for i in range(n):
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                if self.bpe and cost[j] == 0:  # the one finite path to j is known
-                    continue
                 piece = text[i:j]
-                if piece in self.id or (j == i + 1 and piece not in self.single):
-                    c = cost[i] + self._weight(last, piece)
+                if piece in self.score or (j == i + 1 and piece not in self.single):
+                    c = cost[i] + (-self.score[piece] if piece in self.score else self.unknown_cost)
                     if c < cost[j]:
                         cost[j], came[j] = c, (i, piece)
-        out, at = [], n
+        return self._back(came, text)
+
+    @staticmethod
+    def _back(came: list[tuple[int, str] | None], text: str) -> list[str]:
+        out, at = [], len(text)
         while at:
             if came[at] is None:
                 raise AssertionError(f"no path through {text[:80]!r}")
-            i, piece = came[at]
+            at, piece = came[at]
             out.append(piece)
-            at = i
-        return out[::-1]
+        out.reverse()
+        return out
 
     def chunk_ids(self, chunk: bytes) -> bytes:
         """Ids of a chunk as 32-bit integers."""
@@ -186,7 +214,7 @@ class Transducer:
                     ids += [self.bytes[b] for b in piece.encode()]
                 elif not ids or ids[-1] != self.unk:
                     ids.append(self.unk)
-            got = np.array(ids, np.int32).tobytes()
+            got = array("i", ids).tobytes()
             if len(self.chunks) >= KEPT_CHUNKS // 2:  # what was not used lately goes
                 self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = got

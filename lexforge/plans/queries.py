@@ -97,12 +97,12 @@ def latest_verdict(spark, sf_dir):
 
 @query("select paper_id, id, rank from (select paper_id, id, row_number() over (partition by paper_id order by complexity_score desc, id) as rank from figures) where rank <= 3", "figures")
 def top_figures_per_paper(spark, sf_dir):
-    return Rel.latest(view(spark, sf_dir, "figures"), ["paper_id"], [F.col("complexity_score").desc(), F.col("id")], 3).select("paper_id", "id", "rank")
+    return Rel.latest(view(spark, sf_dir, "figures"), ["paper_id"], [F.col("complexity_score").desc(), F.col("id")], 3).select("paper_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("select task_id, id, rank from (select task_id, id, row_number() over (partition by task_id order by created_at desc, id desc) as rank from attempts) where rank <= 5", "attempts")
 def last_attempts(spark, sf_dir):
-    return Rel.latest(view(spark, sf_dir, "attempts"), ["task_id"], [F.col("created_at").desc(), F.col("id").desc()], 5).select("task_id", "id", "rank")
+    return Rel.latest(view(spark, sf_dir, "attempts"), ["task_id"], [F.col("created_at").desc(), F.col("id").desc()], 5).select("task_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"select id, {half('complexity_score * case when is_dense then 1.3 else 1.0 end * case when figure_type = ' + quoted('chart_graph_text') + ' then 1.1 else 1.0 end', 4)} as score from figures order by complexity_score * case when is_dense then 1.3 else 1.0 end * case when figure_type = 'chart_graph_text' then 1.1 else 1.0 end desc, id limit 25", "figures")

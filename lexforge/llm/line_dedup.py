@@ -7,9 +7,9 @@ occurrence, whether or not that one is dropped itself.
 Lines without a character other than white space are never dropped.
 
 1. Lines become 128-bit digests, and equal lines one row with their first place.
-2. Of two lines within one edit one half is untouched, so they share the digest of a
-   half (of the shorter line's length). Lines that share no half with another line have
-   no neighbour and go no further.
+2. Of two lines within one edit all but one of n equal blocks are untouched, so they
+   share the digest of a line with a block left out. Lines that share no such digest for
+   2 blocks, and then for 16, have no neighbour and go no further.
 3. The others emit their neighbourhood: the digests of the line with each character left
    out, and of the whole line. Lines that leave out the same place alike differ in that
    character; a line that equals another with one left out is one character shorter.
@@ -43,42 +43,59 @@ def _digest(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(17), *parts).alias("b"))
 
 
-def _halves(line: Column, size: Column) -> Column:
-    """Keys of the halves of a line, as itself and as the longer of a pair."""
+def _omitted(line: Column, size: Column, parts: int) -> Column:
+    """Keys of a line with each of `parts` blocks left out, as itself and as the longer of a pair.
+
+    One edit lies in or at the edge of one block of the shorter line, so two lines
+    within one edit share a key.
+    """
     keys = []
     for short in (size, size - 1):
-        m = F.floor(short / 2).cast("int")
-        keys += [F.xxhash64(F.lit(1), short, F.substring(line, F.lit(1), m)), F.xxhash64(F.lit(2), short, F.substring(line, size - (short - m) + 1, short - m))]
+        for k in range(parts):
+            a, b = (F.floor(short * n / parts).cast("int") for n in (k, k + 1))
+            keys.append(F.xxhash64(F.lit(k), short, F.substring(line, F.lit(1), a), F.substring(line, size - (short - b) + 1, short - b)))
     return F.array_distinct(F.array(*keys))
 
 
+def _with_company(keyed: DataFrame) -> DataFrame:
+    """Rows (at, ...) of keyed(at, keys) that share a key with another row."""
+    each = keyed.select("at", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return each.join(shared, "key", "left_semi").select("at").distinct()
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Stored rows, to be broadcast if they are at most BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with text rewritten without the dropped lines, and n_lines and n_dropped appended."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__sum"), *names)
     lines = keyed.select("__id", "__sum", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.col("line").rlike(INK))
     size = F.length("line")
-    seen = stored(lines.select(F.struct("__id", "__sum", "place").alias("at"), _digest(F.col("line")).alias("digest"), F.when(size >= NEAR_LEAST, _halves(F.col("line"), size)).alias("halves")), "lines")
+    seen = stored(lines.select(F.struct("__id", "__sum", "place").alias("at"), _digest(F.col("line")).alias("digest"), F.when(size >= NEAR_LEAST, _omitted(F.col("line"), size, 2)).alias("keys")), "lines")
 
     # equal lines: the first place, and the halves, which are the same for all of them
-    distinct = stored(seen.groupBy("digest").agg(F.min("at").alias("at"), F.min("halves").alias("halves")), "distinct")
-    half = distinct.select("at", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    near = stored(half.join(shared, "half", "left_semi").select("at").distinct(), "near")
+    distinct = stored(seen.groupBy("digest").agg(F.min("at").alias("at"), F.min("keys").alias("keys")), "distinct")
+    near = stored(_with_company(distinct), "near")
     # their texts: by broadcast of the places while those are few, else by a join that moves all lines
-    few = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
     text_of = lines.select(F.struct("__id", "__sum", "place").alias("at"), "line")
-    close = stored(text_of.join(few, "at", "left_semi").groupBy("at").agg(F.min("line").alias("line")), "close")
+    found = stored(text_of.join(_few(near), "at", "left_semi").groupBy("at").agg(F.min("line").alias("line")), "found")
+    closer = _with_company(found.select("at", _omitted(F.col("line"), size, 16).alias("keys")))
+    close = stored(found.join(closer, "at", "left_semi"), "close")
 
-    # the deletion neighbourhood; place -1 is the whole line
+    # the deletion neighbourhood; spot -1 is the whole line
     spots = F.sequence(F.lit(0), size - 1)
     variant = F.transform(spots, lambda i: F.struct(i.alias("spot"), F.xxhash64(F.concat(F.substring("line", F.lit(1), i), F.substring(F.col("line"), i + 2, size))).alias("key")))
     whole = F.array(F.struct(F.lit(-1).alias("spot"), F.xxhash64("line").alias("key")))
-    around = close.select("at", F.explode(F.concat(whole, variant)).alias("v")).select("at", "v.key", "v.spot")
+    spread = close.repartition("at").select("at", F.explode(F.concat(whole, variant)).alias("v")).select("at", "v.key", "v.spot")
+    # digests of one line only are most of them and go first, by themselves
+    shared = stored(spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
+    around = stored(spread.join(_few(shared), "key", "left_semi"), "around")
     met = around.groupBy("key", "spot").agg(F.min("at").alias("same"), F.count("*").alias("n"))
-    per_key = met.groupBy("key").agg(
-        F.min(F.when(F.col("spot") < 0, F.col("same"))).alias("shorter"), F.min(F.when(F.col("spot") >= 0, F.col("same"))).alias("longer"), F.sum("n").alias("n"),
-    ).filter("n > 1").select("key", "shorter", "longer")
+    per_key = met.groupBy("key").agg(F.min(F.when(F.col("spot") < 0, F.col("same"))).alias("shorter"), F.min(F.when(F.col("spot") >= 0, F.col("same"))).alias("longer"))
     alike = met.filter("n > 1 and spot >= 0").select("key", "spot", "same")
     found = around.join(per_key, "key").join(alike, ["key", "spot"], "left")
     partner = F.when(F.col("spot") < 0, F.array("longer")).otherwise(F.array("same", "shorter"))

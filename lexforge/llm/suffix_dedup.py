@@ -6,16 +6,17 @@ fifty times, so the suffixes are thinned first without loss: in every SPAN-byte
 the `GRAM`-byte string of least hash is its anchor, equal strings have equal anchors at
 equal places, and a run of strings that share an anchor is one entry.
 
-1. Map: each task finds the entries of its texts, sorts them by anchor and content into
-   runs, and front-codes a run (shared prefix length and rest), one run a bucket of
-   anchor hashes, which goes to that bucket's reducer.
-2. Reduce: entries whose anchor is in one document only are dropped by their hashes. The
-   others are merged by a loser tree whose nodes keep the length of the prefix shared
-   with the last winner, so known prefixes are never compared again. Equal entries
-   coalesce to their least doc_id; the SPAN-byte strings of the remaining distinct ones
-   are compared by 64-bit hash, and each occurrence learns which of its strings start
-   in a document with a smaller doc_id.
-3. Removed ranges meet their text again by (doc_id, text hash), where they are united.
+1. The sorted hashes of all anchors are exchanged, packed by bucket. Anchors that are in
+   one document only go; a text learns the others.
+2. Map: each task finds the entries of its texts whose anchor is shared, sorts them by
+   anchor and content into runs, and front-codes a run (shared prefix length and rest),
+   one run a bucket of anchor hashes, which goes to that bucket's reducer.
+3. Reduce: runs are merged by a loser tree whose nodes keep the length of the prefix
+   shared with the last winner, so known prefixes are never compared again. Equal
+   entries coalesce to their least doc_id; the SPAN-byte strings of the remaining
+   distinct ones are compared by 64-bit hash, and each occurrence learns which of its
+   strings start in a document with a smaller doc_id.
+4. Removed ranges meet their text again by (doc_id, text hash), where they are united.
 
 Rows: texts are UTF-8 bytes, null or empty ones have none. Rows that repeat a doc_id are
 never compared with each other; rows without a doc_id count as the largest one. Extra
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,25 @@ STEPS = SPAN - GRAM + 1
 LONGEST = SPAN + STEPS - 1
 #: Entries a map task holds before it writes its runs.
 RUN_ENTRIES = 400_000
+#: Anchors that a map task holds before it writes them.
+HOLD_ANCHORS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
+#: Anchors are compared by the upper 48 bits of their hashes; a false match only keeps an entry longer.
+ANCHOR_SHIFT = np.uint64(16)
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def gram_hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of GRAM bytes, given as two 64-bit numbers."""
+    h = low * C1
+    h ^= h >> np.uint64(29)
+    h += high
+    h *= C2
+    h ^= h >> np.uint64(32)
+    h *= C1
+    return h
+
+
 def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, first byte, bytes, anchor offset, anchor hash) of every entry of a slice.
 
@@ -57,12 +74,7 @@ def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     m = len(data) - GRAM + 1
     low = np.ndarray(m, np.uint64, data, 0, (1,))
     high = np.ndarray(m, np.uint64, data, 8, (1,))
-    h = low * C1
-    h ^= h >> np.uint64(29)
-    h += high
-    h *= C2
-    h ^= h >> np.uint64(32)
-    h *= C1
+    h = gram_hash(low, high)
     best = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
     have = 1
     while have < STEPS:  # the minimum over STEPS starts, by doubling
@@ -109,7 +121,92 @@ def _runs(part: np.ndarray, ids: np.ndarray, sums: np.ndarray, first: np.ndarray
             o[some] = some[np.lexsort((at[sub][some], length[sub][some], key[some], h[sub][some]))]
         o = o + a
         same, rest = front_code(text[o], length[o])
-        yield int(part[a]), pack(h[o], ids[o], sums[o], first[o].astype(np.int64), length[o].astype(np.uint8), at[o].astype(np.uint8), same.astype(np.uint8), np.frombuffer(rest, np.uint8))
+        _, mine, local = np.unique(sums[o] ^ tx.mix(ids[o].view(np.uint64)), return_index=True, return_inverse=True)
+        yield int(part[a]), pack(local.astype(np.uint32), first[o].astype(np.int64), length[o].astype(np.uint8), at[o].astype(np.uint8), same.astype(np.uint8), np.frombuffer(rest, np.uint8), ids[o][mine], sums[o][mine])
+
+
+def _deal_anchors(parts: int):
+    """Anchor hashes of each task's texts, packed by bucket: sorted steps and the text of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        count = docs = 0
+
+        def flush() -> pa.RecordBatch:
+            h, owner, ids, sums = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            block = h % np.uint64(parts)
+            order = np.lexsort((h, block))
+            h, owner = h[order], owner[order]
+            edge = np.searchsorted(block[order], np.arange(parts + 1, dtype=np.uint64))
+            named = [p for p in range(parts) if edge[p] < edge[p + 1]]
+            blobs = []
+            for p in named:
+                mine, local = np.unique(owner[edge[p] : edge[p + 1]], return_inverse=True)
+                blobs.append(pack(np.diff(h[edge[p] : edge[p + 1]], prepend=np.uint64(0)), local.astype(np.uint32), ids[mine], sums[mine]))
+            return pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+        for batch in batches:
+            for i, j, data, offsets in tx.slices(batch.column(1), most=1_000_000):
+                doc, _, _, _, h = entries(data, offsets)
+                owner, h = _distinct(doc, h >> ANCHOR_SHIFT)
+                ids = batch.column(0).slice(i, j - i).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+                held.append((h, owner + docs, ids, tx.span_hash(tx.prefix_hash(data), offsets[:-1], offsets[1:])))
+                count, docs = count + len(h), docs + j - i
+                if count >= HOLD_ANCHORS:
+                    yield flush()
+                    count = docs = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[new], h[new]
+
+
+def _shared_anchors(parts: int):
+    """Bucket of anchors -> those of two documents or more, packed by the bucket of their texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got = [unpack(b, np.uint64, np.uint32, np.int64, np.uint64) for b in table.column("blob").to_pylist()]
+        h = np.concatenate([np.cumsum(g[0]) for g in got])
+        ids = np.concatenate([g[2][g[1]] for g in got])
+        sums = np.concatenate([g[3][g[1]] for g in got])
+        order = np.argsort(h)
+        h, ids, sums = h[order], ids[order], sums[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        some = np.repeat(several, np.diff(np.append(first, len(h))))
+        h, ids, sums = h[some], ids[some], sums[some]
+        to = sums % np.uint64(parts)
+        order = np.lexsort((sums, ids, to))
+        h, ids, sums = h[order], ids[order], sums[order]
+        edge = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64))
+        named, blobs = [p for p in range(parts) if edge[p] < edge[p + 1]], []
+        for p in named:
+            a, b = edge[p], edge[p + 1]
+            cut = np.flatnonzero(np.concatenate([[True], (ids[a + 1 : b] != ids[a : b - 1]) | (sums[a + 1 : b] != sums[a : b - 1])])) + a
+            blobs.append(pack((h[a:b] >> np.uint64(16)).astype(np.uint32), ids[cut], sums[cut], np.diff(np.append(cut, b)).astype(np.uint32)))
+        return pa.table({"part": pa.array(named, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _of_texts(table: pa.Table) -> pa.Table:
+    """Bucket of texts -> the shared anchors (upper halves of their hashes) of each text."""
+    got = [unpack(b, np.uint32, np.int64, np.uint64, np.uint32) for b in table.column("blob").to_pylist()]
+    h, ids, sums = np.concatenate([g[0] for g in got]), np.concatenate([np.repeat(g[1], g[3]) for g in got]), np.concatenate([np.repeat(g[2], g[3]) for g in got])
+    order = np.lexsort((h, sums, ids))
+    h, ids, sums = h[order], ids[order], sums[order]
+    cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])]))
+    lists = [h[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(h)), strict=True)]
+    return pa.table({"id": ids[cut], "sum": sums[cut].view(np.int64), "anchors": pa.array(lists, pa.binary())})
 
 
 def _map_runs(parts: int):
@@ -117,29 +214,36 @@ def _map_runs(parts: int):
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            got = list(_runs(*cols))
+        def flush() -> pa.RecordBatch:
+            got = list(_runs(*(np.concatenate(x) for x in zip(*held, strict=True))))
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["part", "run"])
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["part", "run"])
 
         for batch in batches:
-            for i, j, data, offsets in tx.slices(batch.column(1), most=1_000_000):
+            batch = batch.filter(batch.column("anchors").is_valid())
+            for a in range(0, batch.num_rows, 64):
+                b = batch.slice(a, 64)
+                unpress = zstandard.ZstdDecompressor()
+                texts = [unpress.decompress(t) for t in b.column("packed").to_pylist()]
+                data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
                 doc, first, length, at, h = entries(data, offsets)
+                known = [np.frombuffer(x, np.uint32) for x in b.column("anchors").to_pylist()]
+                keys = np.concatenate([x.astype(np.uint64) | np.uint64(k << 32) for k, x in enumerate(known)])
+                some = np.isin((h >> np.uint64(32)) | (doc.astype(np.uint64) << np.uint64(32)), keys)
+                doc, first, length, at, h = doc[some], first[some], length[some], at[some], h[some]
                 if not len(doc):
                     continue
-                ids = batch.column(0).slice(i, j - i).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-                sums = tx.span_hash(tx.prefix_hash(data), offsets[:-1], offsets[1:])
+                ids, sums = b.column("id").to_numpy(), b.column("sum").to_numpy().view(np.uint64)
                 padded = np.concatenate([data, np.zeros(LONGEST, np.uint8)])
                 text = np.lib.stride_tricks.sliding_window_view(padded, LONGEST)[first]
                 text[np.arange(LONGEST) >= length[:, None]] = 0
                 held.append(((h % np.uint64(parts)).astype(np.int64), ids[doc], sums[doc], first - offsets[doc], length, at, h, text))
                 count += len(doc)
                 if count >= RUN_ENTRIES:
-                    yield from flush()
+                    yield flush()
                     count = 0
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
@@ -208,17 +312,18 @@ class LoserTree:
 
 def _decode(run: bytes) -> list[np.ndarray]:
     """The columns of a run, and its texts as a zero-padded matrix."""
-    h, ids, sums, first, length, at, same, rest = unpack(run, np.uint64, np.int64, np.uint64, np.int64, np.uint8, np.uint8, np.uint8, np.uint8)
-    length, same = length.astype(np.int64), same.astype(np.int64)
+    local, first, length, at, same, rest, ids, sums = unpack(run, np.uint32, np.int64, np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.uint64)
+    length, at, same = length.astype(np.int64), at.astype(np.int64), same.astype(np.int64)
     place = np.arange(LONGEST)
-    text = np.zeros((len(h), LONGEST), np.uint8)
+    text = np.zeros((len(local), LONGEST), np.uint8)
     text[(place >= same[:, None]) & (place < length[:, None])] = rest
     # a shared byte comes from the nearest earlier row that stores it
-    source = np.where(place[None, :] >= same[:, None], np.arange(len(h))[:, None], 0)
+    source = np.where(place[None, :] >= same[:, None], np.arange(len(local))[:, None], 0)
     np.maximum.accumulate(source, axis=0, out=source)
     text = text[source, place[None, :]]
     text[place >= length[:, None]] = 0
-    return [h, ids, sums, first, length, at, text]
+    gram = np.ascontiguousarray(np.take_along_axis(text, at[:, None] + np.arange(GRAM), axis=1)).view(np.uint64)
+    return [tx.mix(gram_hash(gram[:, 0], gram[:, 1])), ids[local], sums[local], first, length, at, text]
 
 
 def merge_distinct(columns: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -322,8 +427,6 @@ def _reduce(table: pa.Table) -> pa.Table:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
     for batch in batches:
         for i, j, data, offsets in tx.slices(batch.column(1)):
             ids = batch.column(0).slice(i, j - i)
@@ -334,8 +437,6 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
     for batch in batches:
         rows = []
         for packed, ranges in zip(batch.column("packed").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
@@ -356,8 +457,13 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    runs = texts.mapInArrow(_map_runs(parts_of(spark)), "part int, run binary")
-    ranges = runs.groupBy("part").applyInArrow(_reduce, "id long, sum long, ranges binary").groupBy("id", "sum").agg(F.collect_list("ranges").alias("ranges"))
+    parts = parts_of(spark)
+    anchors = texts.mapInArrow(_deal_anchors(parts), "part int, blob binary").groupBy("part").applyInArrow(_shared_anchors(parts), "part int, blob binary")
+    of_texts = anchors.groupBy("part").applyInArrow(_of_texts, "id long, sum long, anchors binary")
+    # one exchange of the compressed texts by (id, sum) serves both joins
     whole = texts.mapInArrow(_sums, "doc_id long, id long, sum long, packed binary")
-    joined = whole.join(ranges, ["id", "sum"], "left").select("doc_id", "packed", "ranges")
+    # both are left joins, else Spark would filter one side and could not share the exchange
+    runs = whole.join(of_texts, ["id", "sum"], "left").select("doc_id", "id", "sum", "packed", "anchors").mapInArrow(_map_runs(parts), "part int, run binary")
+    ranges = runs.groupBy("part").applyInArrow(_reduce, "id long, sum long, ranges binary").groupBy("id", "sum").agg(F.collect_list("ranges").alias("ranges"))
+    joined = whole.join(ranges, ["id", "sum"], "left").select("doc_id", "id", "sum", "packed", "ranges")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -28,14 +28,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table that `stored` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parts_of(spark: SparkSession) -> int:
     """Buckets of packed exchanges: a multiple of the session's shuffle partitions."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,24 +2,21 @@
 
 1. Words (runs of letters, digits and non-ASCII characters, in lower case) are hashed to
    `FEATURES` features; their document counts over all texts give the weights (IDF).
-2. A randomised SVD of TF-IDF passages gives `RANK` latent directions: partial products
-   of the matrix with a random block are computed by partition and summed, with one
-   power iteration. The basis is the index's fit, on at most `FIT_PASSAGES` passages of
-   the benchmark and as many of the texts, those of least hash; the latter count little,
-   since the directions that matter are those in which benchmark items differ.
+2. The benchmark is read in blocks of at most `PASSAGES` passages (one longer item is a
+   block of its own). An SVD of a block's TF-IDF passages gives its latent directions, as
+   many as its passages need, so the rank grows with the benchmark and no item is outside.
 3. Every text, whole, is cut into windows of two `BLOCK`-word blocks, each block in two
    windows; windows and benchmark passages are projected, and pairs with a cosine of at
    least `SIMILAR` are candidates. The cosine's norms are those of the whole TF-IDF
-   vectors, so what the basis leaves out can only lower it.
+   vectors, and a block's basis spans its items, so the cosine is that of the vectors.
 4. Around its candidate windows a text is compared with the item: the longest common
    subsequence of words, and how many of the item's answer words occur there. The answer
    is the column `answer` if the benchmark has one, else the item's `KEY_WORDS` words of
    greatest weight. A share of LEAK of the item in order, or of PARAPHRASE and
    ANSWER of the answer words, is contamination.
 
-Items are a query set: they are read in blocks of `ITEM_BLOCK`, and each block meets all
-texts; nothing of the texts is collected but the counts (FEATURES numbers) and the fit's
-sums. Items with fewer than `SHORT` words count only when whole and in order; items
+Items are a query set: `TABLES` blocks at a time meet all texts; nothing of the texts is
+collected but the counts (FEATURES numbers). Items with fewer than `SHORT` words count only when whole and in order; items
 without words match nothing, nor do null and empty texts. Rows without an id keep a null
 id; a repeated row repeats its result; extra columns are ignored, and empty tables give
 an empty result.
@@ -27,7 +24,7 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import batched
 
 import numpy as np
@@ -36,18 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import stored
 
-FEATURES, RANK, EXTRA = 8192, 160, 16
-FIT_PASSAGES, FIT_TASKS = 20_000, 2
-#: What a passage of the texts counts in the fit; one of the benchmark counts 1.
-TEXT_WEIGHT = 0.1
+FEATURES = 8192
+#: Passages of a block, the most directions of its basis; blocks of a pass over the texts.
+PASSAGES, TABLES = 256, 8
 BLOCK, ITEM_PASSAGE = 16, 48
 SIMILAR, LEAK, PARAPHRASE, ANSWER = 0.3, 0.7, 0.45, 0.8
 KEY_WORDS, SHORT = 5, 8
-ITEM_BLOCK = 20_000
 SCHEMA = "doc_id long, item_id long, similarity double, common_share double, answer_share double, reason string"
-#: A slice is small here because every word gets a row of RANK numbers.
+#: A slice is small here because a block of words gets a row of up to PASSAGES numbers.
 SLICE = 400_000
 
 
@@ -84,59 +78,28 @@ def weights(docs: DataFrame) -> np.ndarray:
     return np.log((total[FEATURES] + 1) / (total[:FEATURES] + 1)) + 0.05
 
 
-def _passages(size: int, wide: int):
-    """Texts -> feature lists of passages of `wide` words, every `size` words."""
+def row_space(passages: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """FEATURES x rank orthonormal directions that span the TF-IDF vectors of passages, given as features."""
+    rows = np.zeros((len(passages), FEATURES), np.float32)
+    for row, f in zip(rows, passages, strict=True):
+        np.add.at(row, f, idf[f])
+        row /= np.linalg.norm(row)
+    values, turned = np.linalg.eigh((rows @ rows.T).astype(float))
+    some = values > 1e-5  # what is left out is below 0.004 of a passage
+    return (rows.T @ (turned[:, some] / np.sqrt(values[some]))).astype(np.float32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in tx.slices(batch.column(0)):
-                w = tokens(data, offsets)
-                f = feature(w.hash).astype(np.uint16)
-                out = [f[a : min(a + wide, e)].tobytes() for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True) for a in range(s, max(e - wide + size, s + (e > s)), size)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["f"])
 
-    return run
+def _passages(words: np.ndarray) -> list[np.ndarray]:
+    return [feature(words[a : a + ITEM_PASSAGE]) for a in range(0, len(words), ITEM_PASSAGE)]
 
 
-def _partial_product(basis: np.ndarray, idf: np.ndarray):
-    """One task's share of A' A B for the TF-IDF rows A of its passages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(basis.shape, np.float32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                rows = [np.frombuffer(f, np.uint16) for f in batch.column("f").slice(at, 2000).to_pylist()]
-                f, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-                value = idf[f].astype(np.float32)
-                norm = np.sqrt(np.bincount(owner, weights=value.astype(float) ** 2, minlength=len(rows)))
-                weight = batch.column("weight").slice(at, 2000).to_numpy()
-                value *= (weight / np.maximum(norm, 1e-9))[owner].astype(np.float32)
-                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                image = np.add.reduceat(value[:, None] * basis[f], first, axis=0)
-                order = np.argsort(f, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], f[order][1:] != f[order][:-1]]))
-                total[f[order][cut]] += np.add.reduceat((value[:, None] * image[owner])[order], cut, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["p"])
-
-    return run
+def _item_passages(text: str) -> list[np.ndarray]:
+    return [p for _, _, data, offsets in tx.slices(pa.array([text], pa.string())) for p in _passages(tokens(data, offsets).hash)]
 
 
-def latent_basis(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, fit: int = FIT_PASSAGES, seed: int = 0) -> np.ndarray:
-    """FEATURES x rank orthonormal directions by a distributed randomised SVD."""
-    spark = docs.sparkSession
-    several = docs.select(F.col("text").cast("string").alias("text")).filter("length(text) > 0").orderBy(F.xxhash64("text")).limit(fit // 8)
-    some = several.mapInArrow(_passages(2 * BLOCK, 2 * BLOCK), "f binary").orderBy(F.xxhash64("f")).limit(fit)
-    items = benchmark.select(F.col("text").cast("string").alias("text")).filter("length(text) > 0").mapInArrow(_passages(ITEM_PASSAGE, ITEM_PASSAGE), "f binary").orderBy(F.xxhash64("f")).limit(fit)
-    sample = stored(items.withColumn("weight", F.lit(1.0)).union(some.withColumn("weight", F.lit(TEXT_WEIGHT))).filter("length(f) > 0").repartition(FIT_TASKS), "passages")
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank + EXTRA), np.float32))[0]
-    for turn in range(3):
-        product = np.zeros(basis.shape, np.float32)
-        for row in sample.mapInArrow(_partial_product(basis, idf), "p binary").toLocalIterator():  # FIT_TASKS sums of some MB
-            product += np.frombuffer(row.p, np.float32).reshape(basis.shape)
-        if turn == 2:
-            values, turned = np.linalg.eigh(basis.T.astype(float) @ product)
-            return (basis @ turned[:, np.argsort(-values)[:rank]]).astype(np.float32)
-        basis = np.linalg.qr(product)[0]
+def latent_basis(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """The directions of a benchmark of one block; the texts count by their weights only."""
+    return row_space([p for r in benchmark.filter("text is not null").toLocalIterator() for p in _item_passages(r.text)], idf)
 
 
 def project(w: tx.Words, idf: np.ndarray, table: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,9 +195,8 @@ def candidates(w: tx.Words, idf: np.ndarray, table: np.ndarray, queries: np.ndar
     return a, np.minimum(a + 2 * BLOCK, w.first[doc[pick[r]] + 1]), q, cosine[r, q]
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, table: np.ndarray, items: Items) -> list[tuple]:
+def matches(w: tx.Words, idf: np.ndarray, table: np.ndarray, items: Items) -> list[tuple]:
     """(text, item number, cosine, share in order, share of the answer, verdict) of each text of a slice and item that it holds."""
-    w = tokens(data, offsets)
     a, e, q, cosine = candidates(w, idf, table, items.queries)
     item = items.of[q]
     order = np.lexsort((a, item))
@@ -256,54 +218,75 @@ def matches(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, table: np.nd
     return [(d, t, *x) for (d, t), x in best.items()]
 
 
-def _search(idf: np.ndarray, table: np.ndarray, items: Items):
+def _search(idf: np.ndarray, blocks: tuple):
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, offsets in tx.slices(batch.column(1), most=SLICE):
-                got = [(batch.column(0)[i + d].as_py(), items.ids[t], *x) for d, t, *x in matches(data, offsets, idf, table, items)]
+                w = tokens(data, offsets)
+                got = [(batch.column(0)[i + d].as_py(), items.ids[t], *x) for table, items in blocks for d, t, *x in matches(w, idf, table, items)]
                 cols = list(zip(*got, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
 
-def _fitted(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray, Iterator[Items]]:
-    """Weights, latent table, and the benchmark in blocks."""
+def item_blocks(rows: Iterable, idf: np.ndarray) -> Iterator[tuple[np.ndarray, Items]]:
+    """Latent table and items of blocks of at most PASSAGES passages."""
+
+    def block() -> tuple[np.ndarray, Items]:
+        table = (row_space(passages, idf) * idf[:, None]).astype(np.float32)
+        return table, Items(held, idf, table)
+
+    held, passages = [], []
+    for row in rows:
+        own = _item_passages(row.text)
+        if held and len(passages) + len(own) > PASSAGES:
+            yield block()
+            held, passages = [], []
+        if own:
+            held.append(row)
+            passages += own
+    if held:
+        yield block()
+
+
+def _fitted(docs: DataFrame, benchmark: DataFrame) -> tuple[np.ndarray, Iterator[tuple]]:
+    """Weights, and the benchmark's blocks, TABLES at a time."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     wanted = ["cast(item_id as long) as item_id", "cast(text as string) as text"] + (["cast(answer as string) as answer"] if "answer" in benchmark.columns else [])
     items = benchmark.selectExpr(*wanted).filter("text is not null")
     idf = weights(texts)
-    table = (latent_basis(texts, items, idf) * idf[:, None]).astype(np.float32)
-    return idf, table, (Items(list(rows), idf, table) for rows in batched(items.orderBy("item_id", "text").toLocalIterator(), ITEM_BLOCK))
+    return idf, batched(item_blocks(items.orderBy("item_id", "text").toLocalIterator(), idf), TABLES)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each text of docs(doc_id, text) and item of benchmark(item_id, text[, answer]) that it holds; see SCHEMA."""
-    idf, table, blocks = _fitted(docs, benchmark)
+    idf, passes = _fitted(docs, benchmark)
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for items in blocks:
-        out = out.union(texts.mapInArrow(_search(idf, table, items), SCHEMA))
+    for blocks in passes:
+        out = out.union(texts.mapInArrow(_search(idf, blocks), SCHEMA))
     return out
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark item. No shuffle."""
-    idf, table, blocks = _fitted(docs, benchmark)
+    idf, passes = _fitted(docs, benchmark)
 
-    def keep(items: Items):
+    def keep(blocks: tuple):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for i, _, data, offsets in tx.slices(batch.column("text"), most=SLICE):
-                    clean[[i + m[0] for m in matches(data, offsets, idf, table, items)]] = False
+                    w = tokens(data, offsets)
+                    clean[[i + m[0] for table, items in blocks for m in matches(w, idf, table, items)]] = False
                 yield batch.filter(pa.array(clean))
 
         return run
 
-    for items in blocks:
-        docs = docs.mapInArrow(keep(items), docs.schema)
+    for blocks in passes:
+        docs = docs.mapInArrow(keep(blocks), docs.schema)
     return docs

@@ -76,3 +76,25 @@ def test_common_subsequence(a, b, n):
     table = np.zeros((dc.FEATURES, 2), np.float32)
     x, y = (dc.Items([row(0, t)], idf, table) for t in (a, b))
     assert x.common(0, y.words[0]) == n
+
+
+def test_exact_copies_of_a_large_benchmark():
+    """No exact copy falls below SIMILAR when the benchmark has thousands of items."""
+    from collections import namedtuple
+
+    import pyarrow as pa
+
+    from lexforge.llm import _text as tx
+    from lexforge.llm import decontaminate as dc
+
+    row = namedtuple("row", "item_id text")
+    row.__fields__ = row._fields
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{x}" for x in range(20_000)]
+    items = [row(i, " ".join(vocabulary[min(int(x), 19_999)] for x in r.zipf(1.3, 40))) for i in range(3000)]
+    idf = np.log(1 + 1000 / (1 + np.bincount(np.concatenate([p for i in items for p in dc._item_passages(i.text)]), minlength=dc.FEATURES))) + 0.05
+    found = set()
+    for table, block in dc.item_blocks(items, idf):
+        for _, _, data, offsets in tx.slices(pa.array([i.text for i in items], pa.string())):
+            found |= {(d, block.ids[t]) for d, t, *_ in dc.matches(dc.tokens(data, offsets), idf, table, block) if d == block.ids[t]}
+    assert len(found) == len(items)

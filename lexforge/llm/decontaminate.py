@@ -9,6 +9,9 @@
    windows; windows and benchmark passages are projected, and pairs with a cosine of at
    least `SIMILAR` are candidates. The cosine's norms are those of the whole TF-IDF
    vectors, and a block's basis spans its items, so the cosine is that of the vectors.
+   Where a passage weighs less than a window its own norm stands for the window's in the
+   cut: an exact copy, of which some window holds half the weight, is always a candidate.
+   Runs of words that are a whole item of fewer than `SHORT` words are found by hash.
 4. Around its candidate windows a text is compared with the item: the longest common
    subsequence of words, and how many of the item's answer words occur there. The answer
    is the column `answer` if the benchmark has one, else the item's `KEY_WORDS` words of
@@ -16,8 +19,9 @@
    ANSWER of the answer words, is contamination.
 
 Items are a query set: `TABLES` blocks at a time meet all texts; nothing of the texts is
-collected but the counts (FEATURES numbers). Items with fewer than `SHORT` words count only when whole and in order; items
-without words match nothing, nor do null and empty texts. Rows without an id keep a null
+collected but the counts (FEATURES numbers). Items with fewer than `SHORT` words count only when whole and in order: word
+after word anywhere, with other words between only in a window that reaches SIMILAR by its
+own norm. Items without words match nothing, nor do null and empty texts. Rows without an id keep a null
 id; a repeated row repeats its result; extra columns are ignored, and empty tables give
 an empty result.
 """
@@ -120,17 +124,28 @@ def project(w: tx.Words, idf: np.ndarray, table: np.ndarray, size: int) -> tuple
     return latent, np.add.reduceat(idf[f] ** 2, head), head, w.doc[head]
 
 
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of `size` words."""
+    out = np.zeros(max(len(h) - size + 1, 0), np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+    return out
+
+
 class Items:
     """A block of benchmark items, ready to be compared."""
 
     def __init__(self, rows: list, idf: np.ndarray, table: np.ndarray):
         col = pa.array([r.text for r in rows], pa.string())
-        self.ids, self.words, self.answers, self.queries, self.of = [], [], [], [], []
+        self.ids, self.words, self.answers, self.queries, self.of, self.own = [], [], [], [], [], []
         for i, j, data, offsets in tx.slices(col):
             w = tokens(data, offsets)
-            latent, norm, _, doc = project(w, idf, table, ITEM_PASSAGE)
+            latent, norm, head, doc = project(w, idf, table, ITEM_PASSAGE)
             self.queries.append(latent / np.sqrt(np.maximum(norm, 1e-9))[:, None])
             self.of.append(doc + i)
+            # short items are found by runs, and the short last passage of a long item by its others
+            n, rest = np.diff(w.first)[doc], w.first[doc + 1] - head
+            self.own.append(np.where((n >= SHORT) & (rest >= np.minimum(n, ITEM_PASSAGE)), np.sqrt(norm), np.inf))
             for k in range(j - i):
                 own = w.hash[w.first[k] : w.first[k + 1]]
                 self.ids.append(rows[i + k].item_id)
@@ -139,6 +154,7 @@ class Items:
                 self.answers.append(set(own[top].tolist()))
         self.queries = np.concatenate(self.queries).astype(np.float32) if rows else np.zeros((0, table.shape[1]), np.float32)
         self.of = np.concatenate(self.of) if rows else np.zeros(0, np.int64)
+        self.own = np.concatenate(self.own).astype(np.float32) if rows else np.zeros(0, np.float32)
         if rows and "answer" in rows[0].__fields__:
             for i, j, data, offsets in tx.slices(pa.array([r.answer for r in rows], pa.string())):
                 w = tokens(data, offsets)
@@ -151,6 +167,12 @@ class Items:
             for k, x in enumerate(own):
                 masks[x] = masks.get(x, 0) | 1 << k
             self.bits.append(masks)
+        #: Number of words -> hash of the run -> items that are this run.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, own in enumerate(self.words):
+            if 0 < len(own) < SHORT:
+                (run,) = runs(np.array(own, np.uint64), len(own)).tolist()
+                self.short.setdefault(len(own), {}).setdefault(run, []).append(k)
 
     def common(self, item: int, text: list[int]) -> int:
         """Length of the longest common subsequence, a bit for each word of the item."""
@@ -176,8 +198,8 @@ class Items:
         return share, found, "paraphrase" if share >= PARAPHRASE and found >= ANSWER else None
 
 
-def candidates(w: tx.Words, idf: np.ndarray, table: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of the window, its end, query, cosine) of the pairs at or above SIMILAR."""
+def candidates(w: tx.Words, idf: np.ndarray, table: np.ndarray, queries: np.ndarray, own: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of the window, its end, query, cosine) of the pairs at or above SIMILAR, by the lesser of the window's norm and the query's `own`."""
     latent, norm, head, doc = project(w, idf, table, BLOCK)
     if not len(head):
         return head, head, head, np.zeros(0)
@@ -189,15 +211,16 @@ def candidates(w: tx.Words, idf: np.ndarray, table: np.ndarray, queries: np.ndar
     lone = np.ones(len(head), bool)  # a text's last block stands alone only if it is the first
     lone[1:] = two[1:] | (doc[1:] != doc[:-1])
     pick = np.flatnonzero(lone)
-    cosine = (wide[pick] / np.sqrt(np.maximum(size[pick], 1e-9))[:, None].astype(np.float32)) @ queries.T
-    r, q = np.nonzero(cosine >= SIMILAR)
+    norm = np.sqrt(np.maximum(size[pick], 1e-9))[:, None].astype(np.float32)
+    cosine = (wide[pick] / norm) @ queries.T
+    r, q = np.nonzero(cosine >= SIMILAR * np.minimum(1, own / norm))
     a = head[pick[r]]
     return a, np.minimum(a + 2 * BLOCK, w.first[doc[pick[r]] + 1]), q, cosine[r, q]
 
 
 def matches(w: tx.Words, idf: np.ndarray, table: np.ndarray, items: Items) -> list[tuple]:
     """(text, item number, cosine, share in order, share of the answer, verdict) of each text of a slice and item that it holds."""
-    a, e, q, cosine = candidates(w, idf, table, items.queries)
+    a, e, q, cosine = candidates(w, idf, table, items.queries, items.own)
     item = items.of[q]
     order = np.lexsort((a, item))
     best: dict[tuple[int, int], tuple] = {}
@@ -215,6 +238,14 @@ def matches(w: tx.Words, idf: np.ndarray, table: np.ndarray, items: Items) -> li
         share, found, verdict = items.judge(it, w.hash[lo:hi].tolist())
         if verdict and ((doc, it) not in best or (share, found) > best[doc, it][1:3]):
             best[doc, it] = (top, share, found, verdict)
+    for size, known in items.short.items():
+        run = runs(w.hash, size)
+        at = np.flatnonzero(np.isin(run, np.array(list(known), np.uint64)))
+        for x in at[w.doc[at] == w.doc[at + size - 1]].tolist():
+            for it in known[int(run[x])]:
+                text = w.hash[x : x + size].tolist()
+                if text == items.words[it] and (int(w.doc[x]), it) not in best:
+                    best[int(w.doc[x]), it] = (1.0, *items.judge(it, text))
     return [(d, t, *x) for (d, t), x in best.items()]
 
 

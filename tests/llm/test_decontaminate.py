@@ -98,3 +98,21 @@ def test_exact_copies_of_a_large_benchmark():
         for _, _, data, offsets in tx.slices(pa.array([i.text for i in items], pa.string())):
             found |= {(d, block.ids[t]) for d, t, *_ in dc.matches(dc.tokens(data, offsets), idf, table, block) if d == block.ids[t]}
     assert len(found) == len(items)
+
+
+def test_short_items_in_long_texts(spark):
+    from lexforge.llm.decontaminate import contaminated
+
+    # one copy each at many places of a text whose words all weigh more than the items'
+    items = {k: " ".join(f"usual{k}x{j}" for j in range(k)) for k in (1, 2, 3, 4, 5, 7, 8, 12, 20)}
+    filler = [(100 + i, " ".join(items.values())) for i in range(40)]
+    at = {}
+    for k, item in items.items():
+        for place in (0, 9, 31, 50, 120):
+            words = [f"rare{k}y{place}y{j}" for j in range(150)]
+            at[1000 * k + place] = (k, " ".join(words[:place] + item.split() + words[place:]))
+    apart = (7, "usual2x0 " + " ".join(f"between{j}" for j in range(9)) + " usual2x1 " + " ".join(f"after{j}" for j in range(90)))
+    docs = spark.createDataFrame([(d, t) for d, (_, t) in at.items()] + filler + [apart], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.common_share, r.reason) for r in contaminated(docs, bench).collect() if r.doc_id not in range(100, 140)}
+    assert got == {(d, k, 1.0, "leak") for d, (k, _) in at.items()}

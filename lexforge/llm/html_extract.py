@@ -6,7 +6,8 @@ half to the next ancestor and a third of that onwards; a container's points are
 discounted by the share of its text that stands in links. The container with the most
 points is kept with those siblings that look like parts of the same article. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out wherever they stand, by element, role, class or id.
+are left out wherever they stand, by element, role, class or id; a class or id alone
+does not remove an element that holds most of the text (a wrapper named after its layout).
 
 Text: character references are decoded, white space inside a block is one space, blocks
 are trimmed and joined in page order by one newline; nothing else is dropped or capped.
@@ -42,19 +43,24 @@ CHROME = re.compile(
     r"|share|sharing|social|related|recommend\w*|comment\w*|disqus|respond|replies|reply|pagination|pager|skip|toolbar|copyright|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Words of CHROME that a wrapper's class may hold to say how the page is laid out.
+LAYOUT = re.compile(r"nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|side|rail|widget\w*|banner\w*|toolbar", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 FAVOURED = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 #: A tag that the end of the page cuts off.
 CUT_OFF = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
+#: A numeric reference of more digits than int() takes.
+LONG_NUMBER = re.compile(r"&#(\d{20,});?")
 PARAGRAPH = {"p", "pre", "td", "blockquote", "h1", "h2", "h3", "li", "dd"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chrome", "score", "chars", "link_chars", "favour")
+    __slots__ = ("tag", "parent", "children", "chrome", "score", "chars", "link_chars", "favour", "named")
 
     def __init__(self, tag: str, parent: Node | None, chrome: bool = False, favour: bool = False):
         self.tag, self.parent, self.chrome, self.favour = tag, parent, chrome, favour
         self.children: list[Node | str] = []
+        self.named = 0  # chrome by class or id: 1 by words that layouts bear too, 2 by others
         self.score = 0.0
         self.chars = self.link_chars = 0
 
@@ -98,11 +104,13 @@ class TreeBuilder(HTMLParser):
         if tag in CLOSES:
             self._implied_end(CLOSES[tag])
         chrome, favour = tag in DROPPED, tag in ("article", "main")
+        named = 0
         for name, value in attrs:
             if not value:
                 chrome = chrome or name == "hidden"
             elif name in ("class", "id"):
-                chrome = chrome or (tag not in ("html", "body", "article", "main") and bool(CHROME.search(value)))
+                if tag not in ("html", "body", "article", "main"):
+                    named = max([named, *(1 if LAYOUT.fullmatch(m.strip(" \t\r\n_-")) else 2 for m in CHROME.findall(value))])
                 favour = favour or bool(FAVOURED.search(value))
             elif name == "role":
                 chrome, favour = chrome or value.lower() in ROLES, favour or value.lower() in ("main", "article")
@@ -110,7 +118,8 @@ class TreeBuilder(HTMLParser):
                 chrome = chrome or value.lower() == "true"
             elif name == "style":
                 chrome = chrome or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        node = Node(tag, self.at, chrome, favour)
+        node = Node(tag, self.at, chrome or named > 0, favour)
+        node.named = 0 if chrome else named
         if tag in VOID:
             self.at.children.append(node)
         else:
@@ -132,6 +141,12 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a malformed marked section is a bogus comment, as in browsers
+            return self.parse_bogus_comment(i)
+
     def unknown_decl(self, data: str) -> None:
         if data.startswith("CDATA["):
             self.at.children.append(data[6:])
@@ -139,14 +154,38 @@ class TreeBuilder(HTMLParser):
 
 def _parse(html: str) -> Node:
     builder = TreeBuilder()
-    try:
-        builder.feed(CUT_OFF.sub("", html))
-        builder.close()
-    except (AssertionError, ValueError):  # the parser gives up on a malformed declaration; what came before it stands
-        pass
+    builder.feed(LONG_NUMBER.sub(lambda m: f"&#{(m[1].lstrip('0') or '0')[:20]};", CUT_OFF.sub("", html)))
+    builder.close()
+    keep_wrappers(builder.root)
     return builder.root
 
 
+def keep_wrappers(root: Node) -> None:
+    """Let elements that are chrome by name only stand where they hold most of the text outside links (all of it, if the name is no layout's)."""
+    order, stack, wanted = [], [root], False
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        wanted = wanted or node.named > 0
+        stack.extend(x for x in node.children if isinstance(x, Node) and (not x.chrome or x.named))
+    if not wanted:
+        return
+    held: dict[int, int] = {}
+    for node in reversed(order):
+        own = 0 if node.tag == "a" else sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+        held[id(node)] = own + (0 if node.tag == "a" else sum(held.get(id(x), 0) for x in node.children if isinstance(x, Node)))
+    scopes = [(root, held[id(root)])]
+    while scopes:
+        node, total = scopes.pop()
+        for x in node.children:
+            if isinstance(x, Node) and id(x) in held:
+                if x.named:
+                    most = held[id(x)]
+                    x.chrome = not (most * 2 > total if x.named == 1 else most == total > 0)
+                if not x.chrome:
+                    scopes.append((x, held[id(x)] if x.named else total))
+
+
 def _in_order(root: Node) -> list[Node]:
     """Elements outside page chrome, parents first."""
     out, stack = [], [root]

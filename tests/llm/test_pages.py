@@ -94,3 +94,17 @@ def test_archives_validate(spark, tmp_path):
     (tmp_path / "c" / "z.warc.zst").write_bytes(zstandard.ZstdCompressor().compress(raw))
     rows = warc.read_warc(spark, f"file://{tmp_path}/c").collect()
     assert len(rows) == 51 and all(r.error is None for r in rows)
+
+
+def test_malformed_declarations_and_wrappers():
+    from lexforge.llm.html_extract import main_text
+
+    assert main_text("<p>one</p><![ foo]><p>two</p>") == "one\ntwo"
+    assert main_text("<p>one</p><![foo[x]]><p>two</p>") == "one\ntwo"
+    assert main_text("<p>one</p>&#" + "9" * 5000 + ";<p>two</p>").split("\n")[-1] == "two"
+    words = "<p>Words of the article, some of them, at a good length, and more.</p>" * 4
+    want = "\n".join(["Words of the article, some of them, at a good length, and more."] * 4)
+    aside = "<div class='sidebar'><p>Read, also, these, many, other, things.</p></div><div id='comments'><p>I, too, think, so, much.</p></div>"
+    for outer, inner in (("page with-sidebar", "content"), ("content no-sidebar", "x"), ("page with-sidebar", "content no-sidebar")):
+        assert main_text(f"<body><div class='{outer}'><div class='{inner}'>{words}</div>{aside}</div></body>") == want, (outer, inner)
+    assert main_text("<p>A short article, which is all.</p><div id='comments'>" + words + "</div>") == "A short article, which is all."

@@ -1,5 +1,7 @@
 """Public licence texts and notices, and spellings that count as equal."""
 
+from pathlib import Path
+
 MIT = """The MIT License
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -83,3 +85,8 @@ SPELLINGS = [
     (" copyright owner ", " copyright holder "),
     (" https ", " http "),
 ]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """The whole texts of the longer licences, of the folder license_files."""
+    return [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_files").glob("*.txt"))]

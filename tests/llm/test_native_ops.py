@@ -98,7 +98,7 @@ def test_sentencepiece_equals_the_library(spark):
     alpha = "abcdefgh  ▁  \n\t\0éñ漢字🙂.,!=<s>0123 THEtheing"
     cases = ["".join(random.choice(alpha) for _ in range(random.randrange(60))) for _ in range(400)]
     cases += ["", "   ", " a", "a ", "▁x y▁▁z", " " * 40, "a" * 90, "=" * 70, "hello</s><unk><0x0A>", "\r\n\r\n", "word " * 20_000, "x" * 3000, None]
-    cases += [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect()]
+    cases += [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     df = spark.createDataFrame([(i, t, "old", 3) for i, t in enumerate(cases)], "doc_id int, text string, ids string, decoded int").repartition(4)
     got = {r.doc_id: r for r in decode(encode(df, MODEL), MODEL).collect()}
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -125,6 +125,61 @@ def message(fields):
     return out
 
 
+def hand_made(kind, texts, rules, fallback, user):
+    """A model of short strings of the texts, with made-up scores; nothing is trained."""
+    import struct
+
+    rng = random.Random(3)
+    words = ["▁" + w for t in texts for w in (t or "").split()]
+    names = sorted({w[a : a + n] for w in words for n in (1, 2, 3, 5) for a in range(0, len(w), 2) if len(w[a : a + n]) == n})
+    rng.shuffle(names)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    pieces += [(u, 0.0, 4) for u in user]
+    # in 1/8 steps, so that many paths weigh the same
+    pieces += [(p, -rng.randrange(8, 80) / 8 if kind == 1 else -float(i), 1) for i, p in enumerate(x for x in names if x not in user)]
+    size = lambda b: bytes([len(b)]) if len(b) < 128 else bytes([len(b) & 127 | 128, len(b) >> 7 & 127 | 128, len(b) >> 14 & 127 | 128, len(b) >> 21])
+    body = b"".join(b"\x0a" + size(m) + m for m in (message([(1, p.encode()), (2, s), (3, k)]) for p, s, k in pieces))
+    spec = message([(1, b"hand-made"), (3, 1), (4, 1), (5, 1)]) + (b"\x12" + size(rules) + rules if rules else b"")
+    trainer = message([(3, kind)]) + struct.pack("<BBB", 0x98, 0x02, int(fallback))
+    return body + b"\x12" + size(trainer) + trainer + b"\x1a" + size(spec) + spec
+
+
+@pytest.mark.parametrize(("kind", "rewritten", "fallback", "user"), [(1, True, False, ()), (1, True, True, ("[TAG]",)), (2, True, True, ("[TAG]", "ab")), (2, False, True, ()), (1, False, False, ())])
+def test_sentencepiece_kinds_equal_the_library(spark, tmp_path, kind, rewritten, fallback, user):
+    import sentencepiece
+
+    from lexforge.llm.sentencepiece_fst import Transducer, _fields, decode, encode
+
+    rules = dict(_fields(dict(_fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]))[2] if rewritten else b""
+    docs = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    model = hand_made(kind, docs[:40], rules, fallback, user)
+    (tmp_path / "m.model").write_bytes(model)
+    random.seed(4)
+    alpha = "abcde ﬁ①Ａ́e\u0301\u0308가\u1100\u1161\t\u00a0\u200b\u3000 [TAG]ab ½Å漢\x07"
+    cases = ["".join(random.choice(alpha) for _ in range(random.randrange(50))) for _ in range(200)] + docs + ["", None, " ", "[TAG]", "x[TAG] [TAG]y", "ab" * 400, "é" * 300, "№ ™ ﷺ"]
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string").repartition(3)
+    got = {r.doc_id: r for r in decode(encode(df, str(tmp_path / "m.model")), str(tmp_path / "m.model")).collect()}
+    wrong = [t for i, t in enumerate(cases) if got[i].ids != lib.encode(t or "") or got[i].decoded != lib.decode(got[i].ids)]
+    assert not wrong, (len(wrong), wrong[0], Transducer(model))
+
+
+def test_chunks_together_equal_chunks_alone():
+    from lexforge.llm.sentencepiece_fst import Transducer
+
+    with open(MODEL, "rb") as f:
+        fst = Transducer(f.read())
+    random.seed(5)
+    chunks = ["▁" * random.randrange(3) + "".join(random.choice("abcdetheing漢é\n0=") for _ in range(random.randrange(1, 40))) for _ in range(3000)]
+    flat, many = fst.shortest_all(chunks)
+    at = 0
+    for c, n in zip(chunks, many.tolist(), strict=True):
+        assert [fst._name(p) for p in flat[at : at + n].tolist()] == fst.shortest(c)
+        at += n
+    assert fst.shortest_all([])[0].tolist() == []
+
+
 def test_unigram_takes_the_lightest_path():
     import numpy as np
 

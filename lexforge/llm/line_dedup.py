@@ -7,109 +7,143 @@ occurrence, whether or not that one is dropped itself.
 Lines without a character other than white space are never dropped.
 
 1. Lines become 128-bit digests, and equal lines one row with their first place.
-2. Of two lines within one edit all but one of n equal blocks are untouched, so they
-   share the digest of a line with a block left out. Lines that share no such digest for
-   2 blocks, and then for 16, have no neighbour and go no further.
-3. The others emit their neighbourhood: the digests of the line with each character left
-   out, and of the whole line. Lines that leave out the same place alike differ in that
-   character; a line that equals another with one left out is one character shorter.
-   Equal digests are pre-aggregated to the earliest line, so a group of n neighbours
-   gives n rows and not its pairs.
-4. Each line and its earliest partner are verified with levenshtein(), and the texts get
-   their lines filtered.
-
-Null and empty texts have no lines and stay as they are. Rows without a doc_id come
-last. Rows that repeat doc_id and text are one document and keep the same lines. Extra
-columns stay; `n_lines` and `n_dropped` are replaced if there. Any text length; an empty
-table gives an empty result.
+2. Of two lines within one edit a half is untouched. Lines that share neither half with
+   another have no neighbour and go no further.
+3. The deletion neighbourhood of the others is emitted by blocks, so that a long line
+   costs its length and not its square: each key leaves one of `BLOCKS` blocks out, lines
+   that share a key differ in that block only, and the block is what is left of them.
+   Blocks of more than `SHORT` characters are cut again. Of a short one all variants
+   with a character left out are emitted as hashed keys.
+4. Equal keys are pre-aggregated to the earliest line, so a group of n neighbours gives n
+   rows and not its pairs. Each line and its earliest partner are verified, their block
+   with levenshtein(), and the texts get their lines filtered.
+
+A place in the corpus is one decimal: doc_id, 30 bits of the text's hash, place in the
+text; for rows without a doc_id, which come last, 63 bits of the hash stand for it. Two
+texts that repeat a doc_id and agree in those bits would be taken for one.
+
+Null and empty texts have no lines and stay as they are. Rows that repeat doc_id and text
+are one document and keep the same lines. Extra columns stay; `n_lines` and `n_dropped`
+are replaced if there. Any text length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import stored
 
 NEAR_LEAST = 20
-#: Places of some 30 bytes each that are sent to every executor at most.
-BROADCAST_ROWS = 200_000
-LAST = 9223372036854775807
+#: Blocks that a long line or block is cut into, and the length up to which every character is left out in turn.
+BLOCKS, SHORT = 16, 32
+#: Rows of one key each, of some 30 bytes, that are sent to every executor at most.
+BROADCAST_ROWS = 100_000
 #: White space at which a line counts as blank, as the words of the other operators have it.
 INK = "[^\\x20\\x09-\\x0D]"
+#: First place of a document: 2^31 places for each of 2^30 hashes for each doc_id.
+BASE = """
+cast(case when doc_id is not null then cast(cast(doc_id as bigint) as decimal(20,0)) + 9223372036854775808BD
+     else 18446744073709551616BD + cast(shiftrightunsigned(xxhash64({text}), 1) as decimal(20,0)) end as decimal(20,0)) * 2305843009213693952BD
++ cast(xxhash64({text}) & 1073741823 as decimal(10,0)) * 2147483648BD"""
 
 
-def _digest(*parts: Column) -> Column:
-    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(17), *parts).alias("b"))
-
-
-def _omitted(line: Column, size: Column, parts: int) -> Column:
-    """Keys of a line with each of `parts` blocks left out, as itself and as the longer of a pair.
+def _few(rows: DataFrame) -> DataFrame:
+    """Stored rows, to be broadcast if they are at most BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    One edit lies in or at the edge of one block of the shorter line, so two lines
-    within one edit share a key.
-    """
-    keys = []
-    for short in (size, size - 1):
-        for k in range(parts):
-            a, b = (F.floor(short * n / parts).cast("int") for n in (k, k + 1))
-            keys.append(F.xxhash64(F.lit(k), short, F.substring(line, F.lit(1), a), F.substring(line, size - (short - b) + 1, short - b)))
-    return F.array_distinct(F.array(*keys))
 
+def _halves(line: Column, size: Column) -> list[Column]:
+    """Keys of both halves, cut so that lines of nearly equal length have one in common."""
+    out = []
+    for drop in (0, 2):
+        half = (F.floor(size / 4) * 2 - drop).cast("int")
+        ok = (size >= NEAR_LEAST) if drop == 0 else (size >= NEAR_LEAST) & (size % 4 == 0)
+        out += [F.when(ok, F.xxhash64(F.lit(0), half, F.substring(line, F.lit(1), half))), F.when(ok, F.xxhash64(F.lit(1), half, F.substring(line, size - half + 1, half)))]
+    return out
 
-def _with_company(keyed: DataFrame) -> DataFrame:
-    """Rows (at, ...) of keyed(at, keys) that share a key with another row."""
-    each = keyed.select("at", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return each.join(shared, "key", "left_semi").select("at").distinct()
 
+def _blocks(rest: DataFrame, parts: int) -> DataFrame:
+    """rest(key, pos, start, size, s) with s cut down to one block, where other rows share all but the block.
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Stored rows, to be broadcast if they are at most BROADCAST_ROWS."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    `size` is that of the shorter line of a pair, by which both are cut; s is as long or
+    one longer. Pairs of two longer ones are found by their own size.
+    """
+    cut = lambda k: F.floor(F.col("size") * k / BLOCKS).cast("int")
+    each = rest.repartition(parts, "pos").select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("k")).select("*", cut(F.col("k")).alias("a"), cut(F.col("k") + 1).alias("b"))
+    tail = F.col("size") - F.col("b")
+    key = F.xxhash64("key", "k", F.substring(F.col("s"), F.lit(1), F.col("a")), F.substring(F.col("s"), F.length("s") - tail + 1, tail))
+    left = F.substring(F.col("s"), F.col("a") + 1, F.length("s") - tail - F.col("a"))
+    made = stored(each.select(key.alias("key"), "pos", (F.col("start") + F.col("a")).alias("start"), (F.col("b") - F.col("a")).alias("size"), left.alias("s")), "blocks")
+    shared = stored(made.groupBy("key").agg(F.count("*").alias("n"), F.min(F.length("s") - F.col("size")).alias("longer")).filter("n > 1 and longer = 0").select("key"), "shared")
+    return stored(made.join(_few(shared), "key", "left_semi"), "rest")
+
+
+def _partners(lines: DataFrame) -> DataFrame:
+    """Each of lines(pos, line) and an earlier one, `first`, that its deletion neighbourhood meets, with the block in which they may differ."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.length("line")
+    most = lines.agg(F.max(size)).first()[0] or 0
+    rest = lines.select("pos", "line", F.explode(F.array(size, size - 1)).alias("size")).select(F.xxhash64("size").alias("key"), "pos", F.lit(0).alias("start"), "size", F.col("line").alias("s"))
+    done = [rest.filter(F.col("size") <= SHORT)]
+    while most > SHORT:
+        rest, most = _blocks(rest.filter(F.col("size") > SHORT), parts), -(-most // BLOCKS)
+        done.append(rest.filter(F.col("size") <= SHORT))
+    # side 0: a character replaced; 1 and 2: the shorter and the longer of a pair
+    every = reduce(DataFrame.union, done).repartition(parts, "pos").select("*", F.length("s").alias("n"))
+    spots = every.select("*", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("i")).filter("i >= 0 or n = size")
+    variant = F.when(F.col("i") < 0, F.col("s")).otherwise(F.concat(F.substring(F.col("s"), F.lit(1), F.col("i")), F.substring(F.col("s"), F.col("i") + 2, F.col("n"))))
+    side = F.when(F.col("n") > F.col("size"), 2).when(F.col("i") < 0, 1).otherwise(0)
+    spread = stored(spots.select("*", side.alias("side")).select(F.xxhash64("key", F.when(F.col("side") == 0, F.col("i")).otherwise(-1), variant).alias("key"), "pos", "start", "size", "side"), "spread")
+    met = stored(spread.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("side") < 2, F.col("pos"))).alias("lo"), F.min(F.when(F.col("side") == 2, F.col("pos"))).alias("hi")).filter("n > 1").drop("n"), "met")
+    return spread.join(_few(met), "key").select("pos", "start", "size", F.when(F.col("side") == 1, F.col("hi")).otherwise(F.col("lo")).alias("first")).filter("first < pos").distinct()
+
+
+def _within_one() -> Column:
+    """Are `line` and `other` within one edit, which lies in the block of `size` characters of the shorter one after `start`?
+
+    Whole long lines are compared for equality only, in time that grows with their length.
+    """
+    line, other, start = F.col("line"), F.col("other"), F.col("start")
+    after = F.least(F.length(line), F.length(other)) - start - F.col("size")
+    head = lambda s: F.substring(s, F.lit(1), start)
+    tail = lambda s: F.substring(s, F.length(s) - after + 1, after)
+    block = lambda s: F.substring(s, start + 1, F.length(s) - after - start)
+    return (head(line) == head(other)) & (tail(line) == tail(other)) & F.levenshtein(block(line), block(other), 1).between(0, 1)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with text rewritten without the dropped lines, and n_lines and n_dropped appended."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__sum"), *names)
-    lines = keyed.select("__id", "__sum", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.col("line").rlike(INK))
+    keyed = docs.select(F.expr(BASE.format(text="coalesce(cast(text as string), '')")).cast("decimal(38,0)").alias("__base"), *names)
+    place = (F.col("__base") + F.col("place")).cast("decimal(38,0)")
+    lines = keyed.select("__base", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.col("line").rlike(INK)).select(place.alias("pos"), "line")
     size = F.length("line")
-    seen = stored(lines.select(F.struct("__id", "__sum", "place").alias("at"), _digest(F.col("line")).alias("digest"), F.when(size >= NEAR_LEAST, _omitted(F.col("line"), size, 2)).alias("keys")), "lines")
+    halves = [f"h{k}" for k in range(4)]
+    seen = stored(lines.select("pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(17), "line").alias("b"), *(h.alias(n) for h, n in zip(_halves(F.col("line"), size), halves, strict=True))), "lines")
 
     # equal lines: the first place, and the halves, which are the same for all of them
-    distinct = stored(seen.groupBy("digest").agg(F.min("at").alias("at"), F.min("keys").alias("keys")), "distinct")
-    near = stored(_with_company(distinct), "near")
+    distinct = stored(seen.groupBy("a", "b").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), *(F.min(h).alias(h) for h in halves)), "distinct")
+    each = distinct.select("pos", F.explode(F.array_compact(F.array(*halves))).alias("key"))
+    shared = stored(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
+    near = stored(each.join(_few(shared), "key", "left_semi").select("pos").distinct(), "near")
     # their texts: by broadcast of the places while those are few, else by a join that moves all lines
-    text_of = lines.select(F.struct("__id", "__sum", "place").alias("at"), "line")
-    found = stored(text_of.join(_few(near), "at", "left_semi").groupBy("at").agg(F.min("line").alias("line")), "found")
-    closer = _with_company(found.select("at", _omitted(F.col("line"), size, 16).alias("keys")))
-    close = stored(found.join(closer, "at", "left_semi"), "close")
-
-    # the deletion neighbourhood; spot -1 is the whole line
-    spots = F.sequence(F.lit(0), size - 1)
-    variant = F.transform(spots, lambda i: F.struct(i.alias("spot"), F.xxhash64(F.concat(F.substring("line", F.lit(1), i), F.substring(F.col("line"), i + 2, size))).alias("key")))
-    whole = F.array(F.struct(F.lit(-1).alias("spot"), F.xxhash64("line").alias("key")))
-    spread = close.repartition("at").select("at", F.explode(F.concat(whole, variant)).alias("v")).select("at", "v.key", "v.spot")
-    # digests of one line only are most of them and go first, by themselves
-    shared = stored(spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
-    around = stored(spread.join(_few(shared), "key", "left_semi"), "around")
-    met = around.groupBy("key", "spot").agg(F.min("at").alias("same"), F.count("*").alias("n"))
-    per_key = met.groupBy("key").agg(F.min(F.when(F.col("spot") < 0, F.col("same"))).alias("shorter"), F.min(F.when(F.col("spot") >= 0, F.col("same"))).alias("longer"))
-    alike = met.filter("n > 1 and spot >= 0").select("key", "spot", "same")
-    found = around.join(per_key, "key").join(alike, ["key", "spot"], "left")
-    partner = F.when(F.col("spot") < 0, F.array("longer")).otherwise(F.array("same", "shorter"))
-    pairs = found.select("at", F.explode(partner).alias("first")).filter("first < at").distinct()
-    verified = pairs.join(close, "at").join(close.select(F.col("at").alias("first"), F.col("line").alias("other")), "first").filter(F.levenshtein("line", "other", 1).between(0, 1))
-    edited = verified.select("at").distinct().withColumn("edited", F.lit(True))
-
-    firsts = distinct.join(edited, "at", "left").select("digest", F.col("at").alias("first"), "edited")
-    masks = seen.join(firsts, "digest").filter("edited or at > first").select("at.__id", "at.__sum", "at.place")
-    masks = masks.groupBy("__id", "__sum", F.expr("place div 63").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 63))").alias("mask"), F.count_distinct("place").alias("n"))
+    found = stored(lines.join(_few(near), "pos", "left_semi").groupBy("pos").agg(F.min("line").alias("line")), "found")
+
+    other = found.select(F.col("pos").alias("first"), F.col("line").alias("other"))
+    verified = _partners(found).join(found, "pos").join(other, "first").filter(_within_one())
+    edited = stored(verified.select("pos").distinct(), "edited").withColumn("edited", F.lit(True))
+
+    firsts = distinct.join(edited, "pos", "left").filter("n > 1 or edited").select("a", "b", F.col("pos").alias("first"), "edited")
+    masks = seen.join(firsts, ["a", "b"]).filter("edited or pos > first").select("pos", F.expr("cast(pos % 2147483648BD as int)").alias("place"))
+    masks = masks.select((F.col("pos") - F.col("place")).cast("decimal(38,0)").alias("__base"), "place")
+    masks = masks.groupBy("__base", F.expr("place div 63").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 63))").alias("mask"))
     # a document's own lines, 63 to a number, are all that is collected in a group
-    gone = masks.groupBy("__id", "__sum").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("gone"), F.max("word").alias("most"), F.sum("n").alias("n_dropped"))
+    gone = masks.groupBy("__base").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("gone"), F.max("word").alias("most"), F.sum(F.bit_count("mask")).alias("n_dropped"))
     dense = F.transform(F.sequence(F.lit(0).cast("long"), F.col("most").cast("long")), lambda w: F.coalesce(F.try_element_at("gone", w), F.lit(0).cast("long")))
-    joined = keyed.join(gone.select("__id", "__sum", "n_dropped", dense.alias("__gone")), ["__id", "__sum"], "left").withColumn("__parts", F.split("text", "\n"))
+    joined = keyed.join(gone.select("__base", "n_dropped", dense.alias("__gone")), "__base", "left").withColumn("__parts", F.split("text", "\n"))
     bit = lambda i: F.coalesce(F.get("__gone", F.floor(i / 63).cast("int")).bitwiseAND(F.pow(F.lit(2.0), i % 63).cast("long")), F.lit(0))
     kept = F.filter("__parts", lambda x, i: bit(i) == 0)
     text = F.when(F.col("n_dropped") > 0, F.concat_ws("\n", kept)).otherwise(F.col("text"))

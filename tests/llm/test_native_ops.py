@@ -47,9 +47,7 @@ def line_rows():
 def test_line_dedup(spark, which):
     from lexforge.llm.line_dedup import line_dedup
 
-    rows = line_rows() if which == "lines" else odd_rows()[:-2] if which == "odd" else [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    if which == "odd":
-        rows = [r for r in rows if r[0] is not None] + [(None, "no id, one line only in this text")]
+    rows = line_rows() if which == "lines" else odd_rows() if which == "odd" else [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     df = spark.createDataFrame([(d, t, 5, "x") for d, t in rows], "doc_id long, text string, n_lines int, gone string").repartition(3)
     got = line_dedup(df)
     assert got.columns == ["doc_id", "text", "gone", "n_lines", "n_dropped"]
@@ -58,6 +56,27 @@ def test_line_dedup(spark, which):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_dedup_of_repeated_ids_and_long_lines(spark):
+    import time
+    from collections import Counter
+
+    from lexforge.llm.line_dedup import line_dedup
+
+    random.seed(11)
+    long = "".join(random.choice("abcdefghij é") for _ in range(1_000_000))
+    rows = [(5, "first of five\nthis line is in all of them"), (5, "second of five\nthis line is in all of them"), (5, "second of five\nthis line is in all of them"), (None, "this line is in all of them\nno id, one"), (None, "no id, two\nno id, both"), (None, "no id, both\nno id, three")]
+    rows += [(6, long), (7, long[:700_000] + "X" + long[700_001:]), (8, long[:1] + long[2:]), (9, long + "."), (10, long[:10] + "XY" + long[12:]), (11, long[:500_000])]
+    start = time.time()
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert time.time() - start < 90
+    kept = {r.doc_id: r.text for r in got if r.doc_id and r.doc_id > 5}
+    # 10 is two edits from 6, 7, 8 and 9
+    assert kept == {6: long, 7: "", 8: "", 9: "", 10: rows[-2][1], 11: long[:500_000]}
+    lines = Counter(x for r in {(r.doc_id, r.text) for r in got if r.doc_id in (5, None)} for x in r[1].split("\n"))
+    assert lines == {"first of five": 1, "second of five": 1, "this line is in all of them": 1, "no id, one": 1, "no id, two": 1, "no id, both": 1, "no id, three": 1}
+    assert len({(r.text) for r in got if r.doc_id == 5}) == 2
+
+
 def test_license_scan(spark):
     from lexforge.llm.license_scan import license_scan
     from lexforge.llm.license_texts import BSD_3, MIT

@@ -47,8 +47,8 @@ from . import _text as tx
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE_MARK = "▁"
-#: Characters of the chunks that are composed together.
-SHORT_CHUNK = 48
+#: Characters of the chunks that are composed together, and how many of those.
+SHORT_CHUNK, TOGETHER = 48, 8000
 #: Pairs of pieces whose weight a process keeps.
 KEPT_PAIRS = 300_000
 #: Bytes of text that are encoded at a time.
@@ -435,13 +435,17 @@ class Transducer:
         """Ids of all chunks, and how many each has."""
         v = len(self.pieces)
         short = np.array([len(c) <= SHORT_CHUNK and c not in self.user for c in chunks], bool)
-        flat, many = self.shortest_all([c for c, s in zip(chunks, short.tolist(), strict=True) if s])
-        size = np.zeros(len(chunks), np.int64)
-        size[short] = many
+        some, size, paths = [c for c, s in zip(chunks, short.tolist(), strict=True) if s], np.zeros(len(chunks), np.int64), []
+        many = []
+        for k in range(0, len(some), TOGETHER):
+            found, n = self.shortest_all(some[k : k + TOGETHER])
+            paths.append(found.astype(np.int32))
+            many.append(n)
+        size[short] = np.concatenate([*many, np.zeros(0, np.int64)])
         for k in np.flatnonzero(~short).tolist():
-            path = [self.id.get(p, v + ord(p[0])) for p in self.shortest(chunks[k])]
-            size[k] = len(path)
-            flat = np.concatenate([flat, path])
+            paths.append(np.array([self.id.get(p, v + ord(p[0])) for p in self.shortest(chunks[k])], np.int32))
+            size[k] = len(paths[-1])
+        flat = np.concatenate([*paths, np.zeros(0, np.int32)])
         place = np.zeros(len(chunks), np.int64)
         order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
         place[order] = np.cumsum(size[order]) - size[order]

@@ -7,7 +7,9 @@ discounted by the share of its text that stands in links. The container with the
 points is kept with those siblings that look like parts of the same article. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are left out wherever they stand, by element, role, class or id; a class or id alone
-does not remove an element that holds most of the text (a wrapper named after its layout).
+does not remove an element that holds most of the text (a wrapper named after its layout),
+nor does a form that holds it, nor the class of an article's own title block. A malformed
+declaration is read over; a comment that never ends goes to the end of the page.
 
 Text: character references are decoded, white space inside a block is one space, blocks
 are trimmed and joined in page order by one newline; nothing else is dropped or capped.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose content is never text of the article.
-DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "label", "iframe", "object", "embed", "svg", "canvas", "menu", "dialog"}
+DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "button", "select", "option", "textarea", "input", "label", "iframe", "object", "embed", "svg", "canvas", "menu", "dialog"}
 #: Elements that begin and end a block of text.
 BLOCK = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary",
@@ -45,12 +47,15 @@ CHROME = re.compile(
 )
 #: Words of CHROME that a wrapper's class may hold to say how the page is laid out.
 LAYOUT = re.compile(r"nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|side|rail|widget\w*|banner\w*|toolbar", re.I)
+#: Class names of the block that holds an article's own title.
+TITLE_BLOCK = re.compile(r"(?:article|content|entry|post|story)[_-]+(?:header|heading|title)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 FAVOURED = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 #: A tag that the end of the page cuts off.
 CUT_OFF = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 #: A numeric reference of more digits than int() takes.
 LONG_NUMBER = re.compile(r"&#(\d{20,});?")
+PROSE_END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*\Z")
 PARAGRAPH = {"p", "pre", "td", "blockquote", "h1", "h2", "h3", "li", "dd"}
 
 
@@ -71,6 +76,7 @@ class TreeBuilder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
+        self.ending = False
         self.depth: dict[str, int] = {}
 
     def _open(self, node: Node) -> None:
@@ -104,13 +110,14 @@ class TreeBuilder(HTMLParser):
         if tag in CLOSES:
             self._implied_end(CLOSES[tag])
         chrome, favour = tag in DROPPED, tag in ("article", "main")
-        named = 0
+        # a form may wrap the whole page, so it is judged by what it holds, as layout names are
+        named = 1 if tag == "form" else 0
         for name, value in attrs:
             if not value:
                 chrome = chrome or name == "hidden"
             elif name in ("class", "id"):
                 if tag not in ("html", "body", "article", "main"):
-                    named = max([named, *(1 if LAYOUT.fullmatch(m.strip(" \t\r\n_-")) else 2 for m in CHROME.findall(value))])
+                    named = max([named, *(1 if LAYOUT.fullmatch(m.strip(" \t\r\n_-")) else 2 for m in CHROME.findall(TITLE_BLOCK.sub(" ", value)))])
                 favour = favour or bool(FAVOURED.search(value))
             elif name == "role":
                 chrome, favour = chrome or value.lower() in ROLES, favour or value.lower() in ("main", "article")
@@ -141,6 +148,10 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 and self.ending else end  # one that never ends goes to the end of the page
+
     def parse_html_declaration(self, i: int) -> int:
         try:
             return super().parse_html_declaration(i)
@@ -155,6 +166,7 @@ class TreeBuilder(HTMLParser):
 def _parse(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(LONG_NUMBER.sub(lambda m: f"&#{(m[1].lstrip('0') or '0')[:20]};", CUT_OFF.sub("", html)))
+    builder.ending = True
     builder.close()
     keep_wrappers(builder.root)
     return builder.root
@@ -196,6 +208,11 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
+def ends_as_prose(node: Node) -> bool:
+    """Does a paragraph in here end as sentences do?"""
+    return any(x.tag in PARAGRAPH and PROSE_END.search(text_of([x])) for x in _in_order(node))
+
+
 def best_containers(root: Node) -> list[Node]:
     """The container with the most points, with siblings that belong to it, in page order."""
     nodes = _in_order(root)
@@ -239,6 +256,7 @@ def best_containers(root: Node) -> list[Node]:
             continue
         density = x.link_chars / max(x.chars, 1)
         part = x is best or x.score * (1 - density) >= max(10, 0.2 * most)
+        part = part or (x.tag in ("div", "section") and density < 0.25 and ends_as_prose(x))
         part = part or (x.tag in ("p", "blockquote", "pre", "h1", "h2") and x.chars > 0 and density < 0.25 and (x.chars > 80 or x.tag in ("h1", "h2")))
         if part:
             out.append(x)

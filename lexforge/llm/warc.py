@@ -4,11 +4,12 @@ File format: a skippable frame (magic 0x184D2A5D) holds the dictionary, plain or
 zstd frame of its own; then every record is one zstd frame that uses it. Readers step
 over other skippable frames and padding frames.
 
-Writing. Frames are rows of Spark's text sink, so an archive goes to whatever store the
-path names, under the sink's commit protocol. The sink puts its line separator after
-each row; the separator chosen here is an empty skippable frame, which every reader of
-the format steps over. One task writes one file. Each file's dictionary is built from
-the file's own first payloads.
+Writing. An archive of about `FILE_BYTES` is one row of Spark's text sink, which writes
+a row a file, so archives go to whatever store the path names, under the sink's commit
+protocol, and no task or reader holds more than one of them (or one record, if larger). The
+sink puts its line separator after the row; the separator chosen here is an empty
+skippable frame, which every reader of the format steps over. Each file's dictionary is
+built from the file's own first payloads.
 
 Records: of records with equal payloads of at least `LEAST` bytes the one with the
 smallest id is a response, the others are revisits that name it; smaller ones are all
@@ -18,7 +19,8 @@ rows with the smallest id are responses. An empty table gives no archive rows.
 
 Reading. Each file is one row of the binaryFile source and one decoder at a time; a
 record's frame, header lines, lengths and digests are checked, and a record that
-fails gives a row with `error` set instead of ending the job.
+fails gives a row with `error` set instead of ending the job. Length and digest of a
+revisit's payload are those that the record itself declares, so they need no join.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 PAD = "P*M\x18\0\0\0\0"
 #: Payload bytes that a file's dictionary is made of.
 DICT_BYTES = 32_768
+#: Compressed bytes at which a file ends.
+FILE_BYTES = 32_000_000
 #: Digests of 40 bytes each that are sent to every executor at most.
 BROADCAST_ROWS = 200_000
 
@@ -50,15 +54,25 @@ def digest_header(sha: bytes) -> str:
     return "sha256:" + base64.b32encode(sha).decode().rstrip("=")
 
 
-def record_bytes(kind: str, page_id: int | None, url: str | None, payload: bytes, sha: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: header lines, blank line, block, two line ends."""
+def digest_hex(header: str | None) -> str | None:
+    """Hexadecimal form of a digest header, None if it is none of SHA-256."""
+    kind, _, text = (header or "").partition(":")
+    try:
+        sha = base64.b32decode(text + "=" * (-len(text) % 8))
+    except ValueError:
+        return None
+    return sha.hex() if kind == "sha256" and len(sha) == 32 else None
+
+
+def record_bytes(kind: str, page_id: int | None, url: str | None, payload: bytes, sha: bytes, refers_to: int | None, length: int | None = None) -> bytes:
+    """One WARC/1.1 record: header lines, blank line, block, two line ends. `length` is that of a revisit's payload."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2020-01-01T00:00:00Z"]
     lines += [f"WARC-Target-URI: {target}"] if url is not None else []
     lines += [f"WARC-Payload-Digest: {digest_header(sha)}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if length is None else length)
     block = head + (payload if kind == "response" else b"")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -140,6 +154,8 @@ def parse_record(raw: bytes) -> dict:
             return out | {"error": "payload digest"}
     elif out["record_type"] == "revisit" and "warc-refers-to" not in fields:
         return out | {"error": "no warc-refers-to"}
+    elif out["record_type"] == "revisit" and (size is None or digest_hex(out["declared"]) is None):
+        return out | {"error": "no declared payload"}
     return out
 
 
@@ -158,45 +174,67 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return out.select("page_id", "url", "payload", "sha", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("head")).alias("refers_to"))
 
 
-def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frames of one file: the dictionary first, then a frame a record."""
-    held: list[tuple] = []
-    size, press = 0, None
-
-    def begin() -> bytes:
-        nonlocal press
-        sample = b"".join(r[2] for r in held if r[4] == "response")[:DICT_BYTES]
-        # record headers are what every frame repeats
-        sample += record_bytes("response", 0, "http://www.example.com/en/", b"", b"\0" * 32, None)
-        book = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        press = zstandard.ZstdCompressor(level=3, dict_data=book, write_checksum=True, write_content_size=True)
-        return struct.pack("<II", DICT_MAGIC, len(sample)) + sample
-
-    def frames(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([press.compress(record_bytes(k, i, u, p, s, r)) for i, u, p, s, k, r in rows], pa.binary())], names=["frame"])
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            rows = list(zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True))
-            if press is None:
-                held += rows
-                size += sum(len(r[2]) for r in rows)
-                if size < DICT_BYTES:
-                    continue
-                rows, first = held, begin()
-                yield pa.RecordBatch.from_arrays([pa.array([first], pa.binary())], names=["frame"])
-            yield frames(rows)
-            held = []
-    if press is None and held:
-        yield pa.RecordBatch.from_arrays([pa.array([begin()], pa.binary())], names=["frame"])
-        yield frames(held)
-
-
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write planned records as archives below path, one file a task; nothing is exchanged for it."""
-    sent = records.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")))
-    frames = sent.select("page_id", "url", "payload", "sha", "record_type", "refers_to").mapInArrow(_archives, "frame binary")
-    frames.selectExpr("cast(frame as string) as value").write.option("lineSep", PAD).text(path)
+def _archives(file_bytes: int):
+    """Rows of record fields -> whole archives: the dictionary first, then a frame a record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        frames: list[bytes] = []
+        size, press = 0, None
+
+        def begin() -> None:
+            """Start a file with the records held back for its dictionary."""
+            nonlocal press
+            sample = b"".join(r[2] for r in held if r[4] == "response")[:DICT_BYTES]
+            # record headers are what every frame repeats
+            sample += record_bytes("response", 0, "http://www.example.com/en/", b"", b"\0" * 32, None)
+            book = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            press = zstandard.ZstdCompressor(level=3, dict_data=book, write_checksum=True, write_content_size=True)
+            frames.append(struct.pack("<II", DICT_MAGIC, len(sample)) + sample)
+            for r in held:
+                add(r)
+            held.clear()
+
+        def add(record: tuple) -> None:
+            nonlocal size
+            page_id, url, payload, sha, kind, refers_to, length = record
+            frames.append(press.compress(record_bytes(kind, page_id, url, payload, sha, refers_to, length)))
+            size += len(frames[-1])
+
+        def end() -> pa.RecordBatch:
+            nonlocal press, size
+            archive = pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], names=["archive"])
+            frames.clear()
+            press, size = None, 0
+            return archive
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                for record in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
+                    if press is not None:
+                        add(record)
+                    else:
+                        held.append(record)
+                        size += len(record[2])
+                        if size >= DICT_BYTES:
+                            size = 0
+                            begin()
+                    if press is not None and size >= file_bytes:
+                        yield end()
+        if held:
+            size = 0
+            begin()
+        if frames:
+            yield end()
+
+    return run
+
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write planned records as archives of about file_bytes below path; nothing is exchanged for it."""
+    sent = records.withColumn("length", F.octet_length("payload")).withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")))
+    archives = sent.select("page_id", "url", "payload", "sha", "record_type", "refers_to", "length").mapInArrow(_archives(file_bytes), "archive binary")
+    archives.selectExpr("cast(archive as string) as value").write.option("lineSep", PAD).option("maxRecordsPerFile", 1).text(path)
 
 
 SCHEMA = "file string, page_id long, url string, record_type string, refers_to long, declared string, payload binary, payload_bytes long, payload_digest string, error string"
@@ -225,7 +263,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 except zstandard.ZstdError as e:
                     row = {"error": f"bad frame: {e}"}
                 row["file"] = file
-                if row.get("payload") is not None:
+                if row.get("record_type") == "revisit" and row["error"] is None:
+                    row |= {"payload_bytes": row["length"], "payload_digest": digest_hex(row["declared"])}
+                elif row.get("payload") is not None:
                     row |= {"payload_bytes": len(row["payload"]), "payload_digest": hashlib.sha256(row["payload"]).hexdigest()}
                 rows.append(row)
                 size += len(row.get("payload") or b"") + 500
@@ -239,18 +279,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives below path, revisits unresolved; see SCHEMA."""
+    """Records of the archives below path, see SCHEMA; a revisit's payload is null, its length and digest are the declared ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_read, SCHEMA)
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """records with payload_bytes and payload_digest of revisits taken from the response they name."""
-    known = records.filter("record_type = 'response' and error is null and page_id is not null").groupBy(F.col("page_id").alias("target")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("full"))
-    joined = records.join(known, F.expr("record_type = 'revisit' and refers_to = target"), "left")
-    return joined.withColumns({c: F.coalesce(c, f"full.{c}") for c in ("payload_bytes", "payload_digest")}).drop("target", "full")
-
-
 def warc_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Archive every row of pages(page_id, url, html), read the archives back, and return a row a record."""
     import uuid
@@ -258,5 +291,5 @@ def warc_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or f"{shared_folder(spark)}/lexforge/warc-{uuid.uuid4().hex}"
     write_warc(plan_records(pages), path)
-    got = resolve(read_warc(spark, path).drop("payload"))
+    got = read_warc(spark, path)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")

@@ -61,13 +61,54 @@ def test_odd_pages(spark):
     assert html_extract(none).count() == 0 and warc_round_trip(none).count() == 0
 
 
+def brute_records(rows):
+    heads = {}
+    for i, _, h in rows:
+        b = (h or "").encode()
+        if len(b) >= 100 and i is not None:
+            heads[b] = min(i, heads.get(b, i))
+    out = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        revisit = len(b) >= 100 and i is not None and i > heads[b]
+        out.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", heads[b] if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_warc_equals_brute_force(spark):
+    from lexforge.llm.warc import warc_round_trip
+
+    # ids that repeat with other payloads: each revisit keeps its own length and digest
+    rows = [(4, "a", "A" * 200), (4, "b", "B" * 300), (5, "c", "A" * 200), (6, "d", "B" * 300), (6, "d", "B" * 300), (4, "a", "A" * 200), (7, "e", "é" * 50), (8, "f", "é" * 50), (None, "g", "A" * 200)]
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    for case in (rows, pages + [(i + 10**6, u, h) for i, u, h in pages[:50]]):
+        got = warc_round_trip(spark.createDataFrame(case, "page_id long, url string, html string").repartition(4))
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()), key=str) == brute_records(case)
+        assert got.filter("error is not null").count() == 0
+
+
+def test_files_end_at_a_size(spark, tmp_path):
+    from lexforge.llm import warc
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", hashlib.sha256(b"%d" % i).hexdigest() * 200) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.plan_records(pages), f"file://{tmp_path}/a", 5_000)
+    files = glob.glob(f"{tmp_path}/a/part-*")
+    assert len(files) > 2
+    for file in files:
+        data = open(file, "rb").read()
+        book, frames, error = warc.split_frames(data)
+        assert book and frames and error is None
+    got = warc.read_warc(spark, f"file://{tmp_path}/a")
+    assert sorted(r.page_id for r in got.filter("error is null").collect()) == list(range(300))
+
+
 def test_archives_validate(spark, tmp_path):
     import zstandard
 
     from lexforge.llm import warc
 
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{'text ' * 40}{i % 7}</p>") for i in range(50)], "page_id long, url string, html string")
-    warc.write_warc(warc.plan_records(pages), f"file://{tmp_path}/a")
+    warc.write_warc(warc.plan_records(pages).coalesce(1), f"file://{tmp_path}/a")
     (file,) = glob.glob(f"{tmp_path}/a/part-*")
     data = open(file, "rb").read()
     book, frames, error = warc.split_frames(data)
@@ -108,3 +149,20 @@ def test_malformed_declarations_and_wrappers():
     for outer, inner in (("page with-sidebar", "content"), ("content no-sidebar", "x"), ("page with-sidebar", "content no-sidebar")):
         assert main_text(f"<body><div class='{outer}'><div class='{inner}'>{words}</div>{aside}</div></body>") == want, (outer, inner)
     assert main_text("<p>A short article, which is all.</p><div id='comments'>" + words + "</div>") == "A short article, which is all."
+
+
+def test_what_surrounds_an_article():
+    from lexforge.llm.html_extract import main_text
+
+    assert main_text("<article><p>A</p><![zzz[ x ]]><p>B</p></article>") == "A\nB"
+    assert main_text("<article><p>A</p><p>B</p><!-- unclosed comment <p>C</p>") == "A\nB"
+    assert main_text("<article><p>A</p><!-- closed --><p>B</p><!-->") == "A\nB"
+    words = "<p>Words of the article, some of them, at a good length, and more.</p>" * 4
+    lines = ["Words of the article, some of them, at a good length, and more."] * 4
+    form = "<form class='search'><p>Find, all, that, you, may, want.</p><input name=q></form>"
+    assert main_text(f"<body><form action='/page.aspx'><input type=hidden name=v><div class='content'>{words}</div>{form}</form></body>") == "\n".join(lines)
+    assert main_text(f"<div class='post'><div class='entry-header'><h1>Title</h1></div>{words}</div>") == "\n".join(["Title", *lines])
+    assert main_text(f"<body><div><div>{words}</div><div><p>It ends so.</p></div><div><a href=x>More</a></div></div></body>") == "\n".join([*lines, "It ends so."])
+    # no article element: the densest container, without links and comments beside it
+    links = "<ul>" + "<li><a href=x>One, of the, other, pages here, with a long name</a>" * 9 + "</ul>"
+    assert main_text(f"<table><tr><td>{links}</td><td id='story'>{words}</td></tr></table><div id='comments'>{words}</div>") == "\n".join(lines)

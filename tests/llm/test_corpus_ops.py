@@ -1,6 +1,7 @@
 """Operators 5, 6, 9 and 10 against brute force on small tables, odd rows included."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -72,27 +73,35 @@ def key(row):
 def test_suffix_dedup(spark, odd, which):
     from lexforge.llm.suffix_dedup import suffix_dedup
 
-    rows = odd_rows() if which == "odd" else documents(spark)[:120]
+    rows = odd_rows() if which == "odd" else documents(spark)
     df = odd if which == "odd" else spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in suffix_dedup(df).drop("kept").collect()]
     assert sorted(got, key=key) == sorted(brute_suffix(rows), key=key)
 
 
-def test_loser_tree_never_compares_known_prefixes():
-    from lexforge.llm.suffix_dedup import LoserTree
-
-    runs = []
-    for k in range(5):
-        keys = sorted({f"common-prefix-{(i * 7919 + k * 31) % 211:04d}".encode() for i in range(60)})
-        same = [0] + [next(n for n in range(99) if a[:n] != b[:n]) - 1 for a, b in zip(keys, keys[1:], strict=False)]
-        runs.append((keys, same))
-    tree = LoserTree(runs)
-    out = [(runs[r][0][i], shared) for r, i, shared in tree]
-    flat = [k for k, _ in out]
-    assert flat == sorted(k for keys, _ in runs for k in keys)
-    for (a, _), (b, shared) in zip(out, out[1:], strict=False):
-        assert shared == len(a) if a == b else a[:shared] == b[:shared] and a[shared : shared + 1] != b[shared : shared + 1]
-    assert tree.compared < 6 * sum(len(k) for k, _ in runs)
+def test_loser_trees_never_compare_known_prefixes():
+    import numpy as np
+
+    from lexforge.llm.suffix_dedup import WIDTH, LoserTrees, shared_prefix
+
+    rng = random.Random(2)
+    groups = [[sorted({f"{g:03d}common-prefix-{rng.randrange(900):05d}".encode().ljust(WIDTH, b"\0") for _ in range(rng.randrange(1, 40))}) for _ in range(4)] for g in range(30)]
+    flat = [k for runs in groups for keys in runs for k in keys]
+    words = np.frombuffer(b"".join(flat), ">u8").reshape(-1, WIDTH // 8).astype(np.uint64)
+    same = np.concatenate([[0], shared_prefix(words[1:], words[:-1])])
+    size = np.array([[len(keys) for keys in runs] for runs in groups])
+    end = np.cumsum(size.reshape(-1)).reshape(size.shape)
+    trees = LoserTrees(words, same, end - size, end)
+    out = {g: [] for g in range(30)}
+    for g, record, shared in trees:
+        for x, r, n in zip(g.tolist(), record.tolist(), shared.tolist(), strict=True):
+            out[x].append((flat[r], n))
+    for g, runs in enumerate(groups):
+        assert [k for k, _ in out[g]] == sorted(k for keys in runs for k in keys)
+        for (a, _), (b, n) in zip(out[g], out[g][1:], strict=False):
+            assert n == WIDTH if a == b else a[:n] == b[:n] and a[n] != b[n]
+    # a record's prefix is read once or little more, not once a match
+    assert trees.compared < 1.6 * sum(len(k.rstrip(b"\0")) + (WIDTH if k in seen else 0) for seen, k in (({*flat[:i]}, k) for i, k in enumerate(flat)))
 
 
 def brute_join(rows):

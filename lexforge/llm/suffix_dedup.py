@@ -189,7 +189,7 @@ def _map_runs(parts: int):
         held = []
         for a, data, offsets in _slices(table, order):
             doc, first, length, at, h = entries(data, offsets)
-            some = np.isin(h >> ANCHOR_SHIFT, known)
+            some = known[np.minimum(np.searchsorted(known, h >> ANCHOR_SHIFT), len(known) - 1)] == h >> ANCHOR_SHIFT if len(known) else np.zeros(len(h), bool)
             doc, first, length, at, h = doc[some], first[some], length[some], at[some], h[some]
             if len(doc):
                 held.append((((h >> ANCHOR_SHIFT) % np.uint64(parts)).astype(np.int64), doc + a, first + at - offsets[doc], _records(data, first, length, at), h))

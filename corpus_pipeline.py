@@ -44,7 +44,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with what they decode to compared with the text."""
-    both = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, MODEL), MODEL)
+    both = sentencepiece_fst.encode(docs, MODEL, decoded="decoded")
     same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
     return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
 

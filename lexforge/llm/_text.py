@@ -52,6 +52,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+def forget() -> None:
+    """Drop the tables kept for later calls."""
+    _powers.clear()
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) with offsets[0] == 0; null texts are empty."""
     if column.null_count:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._spark import frugal
 
 FEATURES = 8192
 #: Passages of a block, the most directions of its basis; blocks of a pass over the texts.
@@ -76,7 +77,7 @@ def _sum_counts(table: pa.Table) -> pa.Table:
 
 def weights(docs: DataFrame) -> np.ndarray:
     """IDF of every feature over all texts; 64 partial sums of FEATURES numbers reach the driver."""
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(_counts, "counts binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(frugal(_counts), "counts binary")
     summed = parts.groupBy(F.pmod(F.xxhash64("counts"), F.lit(64)).alias("g")).applyInArrow(_sum_counts, "counts binary").collect()
     total = sum((np.frombuffer(r.counts, np.int64) for r in summed), np.zeros(FEATURES + 1, np.int64))
     return np.log((total[FEATURES] + 1) / (total[:FEATURES] + 1)) + 0.05
@@ -299,7 +300,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     out = docs.sparkSession.createDataFrame([], SCHEMA)
     for blocks in passes:
-        out = out.union(texts.mapInArrow(_search(idf, blocks), SCHEMA))
+        out = out.union(texts.mapInArrow(frugal(_search(idf, blocks)), SCHEMA))
     return out
 
 
@@ -319,5 +320,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for blocks in passes:
-        docs = docs.mapInArrow(keep(blocks), docs.schema)
+        docs = docs.mapInArrow(frugal(keep(blocks)), docs.schema)
     return docs

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import components, pack, parts_of, stored, unpack
+from ._spark import components, frugal, pack, parts_of, stored, unpack
 
 WORDS, PERCENT = 5, 75
 #: Rounds in which classes merge before the remaining pairs are multiplied.
@@ -221,7 +221,7 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """pairs(row, row2) whose sets link, as (a, b)."""
     one = pairs.join(rows.select("row", "n", "cols"), "row")
     both = one.join(rows.select(F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("cols").alias("cols2")), "row2")
-    return both.select("row", "n", "cols", "row2", "n2", "cols2").mapInArrow(_overlaps, "a long, b long")
+    return both.select("row", "n", "cols", "row2", "n2", "cols2").mapInArrow(frugal(_overlaps), "a long, b long")
 
 
 def _rooted(columns: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -331,11 +331,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = parts_of(spark)
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    sets = stored(texts.mapInArrow(_sets, "doc_id long, n long, row long"), "sets")
-    postings = texts.select("text").mapInArrow(_deal(parts), "part int, blob binary")
+    sets = stored(texts.mapInArrow(frugal(_sets), "doc_id long, n long, row long"), "sets")
+    postings = texts.select("text").mapInArrow(frugal(_deal(parts)), "part int, blob binary")
     shared = postings.groupBy("part").applyInArrow(_shared(parts), "part int, blob binary")
     rows = stored(shared.groupBy("part").applyInArrow(_rows, "row long, n long, first long, cols binary"), "rows")
-    columns = stored(rows.mapInArrow(_columns, "col long, row long, n long"), "columns")
+    columns = stored(rows.mapInArrow(frugal(_columns), "col long, row long, n long"), "columns")
 
     roots, links = _merge_classes(columns, rows)
     # what is left apart, exactly: columns of few rows by their pairs, the others by blocks of rows

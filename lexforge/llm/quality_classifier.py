@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._spark import frugal
 
 PASSAGE_WORDS = 64
 HASHED = 24
@@ -150,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # `chosen` has max_train rows at most; a doc_id that repeats counts once, by its first text
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, x binary").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(frugal(_bags), "doc_id long, label int, x binary").collect()
     first = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.x))):
         first.setdefault(r.doc_id, r)
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                     p = forward(model, *passages(data, offsets))["p"]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(p)], names=[*names, "score"])
 
-    return own.mapInArrow(run, StructType([*own.schema.fields, StructField("score", DoubleType())]))
+    return own.mapInArrow(frugal(run), StructType([*own.schema.fields, StructField("score", DoubleType())]))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

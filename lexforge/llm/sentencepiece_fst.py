@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import _text as tx
+from ._spark import frugal
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE_MARK = "▁"
@@ -566,20 +567,21 @@ def _with(schema: StructType, name: str, kind: object) -> StructType:
     return StructType([*(f for f in schema.fields if f.name != name), StructField(name, kind)])
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column of ids appended."""
+def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with a column of ids appended, and with what they decode to if a name for it is given."""
     model, schema = _model(model_path), _with(df.schema, ids, ArrayType(IntegerType(), False))
+    schema = _with(schema, decoded, StringType()) if decoded else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compiled(model)
         for batch in batches:
-            names = [n for n in batch.schema.names if n != ids]
+            names = [n for n in batch.schema.names if n not in (ids, decoded)]
             for i, j, data, offsets in tx.slices(batch.column(text), most=ENCODE_BYTES):
                 flat, edge = fst.encode(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), lists], names=[*names, ids])
+                new = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat, pa.int32())), *([fst.decode(flat, edge)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), *new], names=[*names, ids, *([decoded] if decoded else [])])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -598,4 +600,4 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
                 texts = fst.decode(flat, np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), texts], names=[*names, text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)

@@ -70,10 +70,15 @@ def usage_cost(attempts: DataFrame) -> DataFrame:
 
 
 def latency_profile(attempts: DataFrame, key: str) -> DataFrame:
-    """avg, min, max and the upper median (the n div 2-th in order, from 0) of positive times of each key."""
-    rows = attempts.filter("elapsed_ms > 0")
-    ranked = rows.withColumns({"rn": F.row_number().over(Window.partitionBy(key).orderBy("elapsed_ms", "id")), "n": F.count("*").over(Window.partitionBy(key))})
-    return ranked.groupBy(key).agg(T.half_up(F.avg("elapsed_ms"), 1).alias("avg_ms"), F.min("elapsed_ms").alias("min_ms"), F.max("elapsed_ms").alias("max_ms"), F.max(F.when(F.col("rn") == F.expr("n div 2") + 1, F.col("elapsed_ms"))).alias("p50_ms"))
+    """avg, min, max and the upper median (the n div 2-th in order, from 0) of positive times of each key.
+
+    Equal times are counted before the exchange, so a key's window holds its distinct times only.
+    """
+    counted = attempts.filter("elapsed_ms > 0").groupBy(key, "elapsed_ms").agg(F.count("*").alias("k"))
+    w = Window.partitionBy(key)
+    ranked = counted.withColumns({"upto": F.sum("k").over(w.orderBy("elapsed_ms")), "n": F.sum("k").over(w)})
+    median = F.min(F.when(F.col("upto") > F.expr("n div 2"), F.col("elapsed_ms"))).alias("p50_ms")
+    return ranked.groupBy(key).agg(T.half_up(F.sum(F.col("elapsed_ms") * F.col("k")) / F.sum("k"), 1).alias("avg_ms"), F.min("elapsed_ms").alias("min_ms"), F.max("elapsed_ms").alias("max_ms"), median)
 
 
 def success_by(attempts: DataFrame, key: str) -> DataFrame:

@@ -24,14 +24,17 @@ def exact_copies(df: DataFrame, content: str, key: str) -> DataFrame:
 def near_copies(hashes: DataFrame, below: int = 8) -> DataFrame:
     """For each hash(id, group_id, phash) the least earlier id of its group within fewer than `below` bits.
 
-    Two hashes that differ in fewer than 8 of 64 bits agree in one of 8 bytes, so rows
-    meet by (group, byte place, byte) and not by all pairs of a group.
+    Equal hashes of a group are one with their least id. Two hashes that differ in fewer
+    than 8 of 64 bits agree in one of 8 bytes, so distinct ones meet by (group, byte
+    place, byte) and not by all pairs of a group.
     """
+    one = hashes.groupBy("group_id", "phash").agg(F.min("id").alias("least"))
     bands = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.substring("phash", 2 * i + 1, 2).alias("byte")) for i in range(8)))).alias("band")
-    left = hashes.select("id", "group_id", "phash", bands)
-    right = hashes.select(F.col("id").alias("first"), "group_id", F.col("phash").alias("other"), bands)
-    pairs = left.join(right, ["group_id", "band"]).filter((F.col("first") < F.col("id")) & (hamming(F.col("phash"), F.col("other")) < below))
-    return pairs.groupBy("id").agg(F.min("first").alias("first"))
+    left = one.select("group_id", "phash", bands)
+    right = one.select("group_id", F.col("phash").alias("other"), F.col("least").alias("first"), bands)
+    # a hash is near to itself, so each has the least id that is near to it
+    near = left.join(right, ["group_id", "band"]).filter(hamming(F.col("phash"), F.col("other")) < below).groupBy("group_id", "phash").agg(F.min("first").alias("first"))
+    return hashes.join(near, ["group_id", "phash"]).filter(F.col("first") < F.col("id")).select("id", "first")
 
 
 def orphans(disk: DataFrame, rows: DataFrame, path: str = "image_path") -> DataFrame:

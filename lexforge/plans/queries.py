@@ -14,6 +14,7 @@ from lexforge.functions import rules as R
 from lexforge.functions import text as T
 from lexforge.functions.parse import parse_response
 from lexforge.operators import analytics as A
+from lexforge.operators import authoring as Au
 from lexforge.operators import figures as Fig
 from lexforge.operators import relational as Rel
 from lexforge.operators import search as S
@@ -136,11 +137,10 @@ def queue_position_by_priority(spark, sf_dir):
     return Rel.queue_order(view(spark, sf_dir, "jobs"), "priority").select("id", F.col("place").cast("long").alias("place"), "n_queued")
 
 
-@query("""select image_path, 'disk' as side from (select distinct image_path from figures where id % 2 = 0) where image_path not in (select image_path from figures where id % 3 = 0)
-union all select image_path, 'table' as side from (select distinct image_path from figures where id % 3 = 0) where image_path not in (select image_path from figures where id % 2 = 0)""", "figures")
+@query("""select image_path, 'disk' as side from (select distinct image_path from figures) where image_path not in (select image_path from tasks where image_path is not null)
+union all select image_path, 'table' as side from (select distinct image_path from tasks where image_path <> '') where image_path not in (select image_path from figures where image_path is not null)""", "figures tasks")
 def orphans(spark, sf_dir):
-    f = view(spark, sf_dir, "figures")
-    return Fig.orphans(f.filter("id % 2 = 0"), f.filter("id % 3 = 0"))
+    return Fig.orphans(view(spark, sf_dir, "figures"), view(spark, sf_dir, "tasks"))
 
 
 @query("select t.id, coalesce(f.caption, '') as title, coalesce(nullif(t.image_path, ''), f.image_path, '') as image_path from tasks t left join figures f on t.figure_id = f.id", "tasks figures")
@@ -537,6 +537,121 @@ def suitability(spark, sf_dir):
     return view(spark, sf_dir, "figures").select("id", T.suitability(F.col("complexity_score"), F.col("is_dense"), F.col("figure_type") == "chart_graph_text").alias("likelihood"))
 
 
+# ---- histories and roll-ups of authoring --------------------------------------------
+_ISSUE_LINE = "'reason=' || reason || case when description <> '' then ' (' || description || ')' else '' end || case when corrected_answer <> '' then ' | CORRECTED ANSWER: ' || corrected_answer else '' end"
+_ATTEMPT_LINE = """concat_ws(' | ', 'Attempt ' || n || ': ' || generation_type, case when difficulty <> '' then 'difficulty=' || difficulty end, case when question <> '' then 'question=' || question end, case when answer <> '' then 'answer=' || answer end,
+  case when quality > 0 then 'quality=' || cast(cast(round_even(quality, 0) as bigint) as varchar) end, case when json_valid(validation_errors) and json_type(validation_errors) = 'ARRAY' and json_array_length(validation_errors) > 0 then 'errors=' || array_to_string(list_slice(from_json(validation_errors, '["varchar"]'), 1, 3), '; ') end,
+  case when qwen_passes + gemini_passes > 0 then 'model_runs: Qwen=' || qwen_passes || '/' || (qwen_passes + gemini_passes) || ' Gemini=' || gemini_passes || '/' || (qwen_passes + gemini_passes) end)"""
+
+
+def _issues(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "issue_reports").withColumn("corrected_answer", F.when(F.col("id") % 2 == 0, "12").otherwise(""))
+
+
+@query(f"""with a as (select *, row_number() over (partition by task_id order by created_at, id) as n from (select *, row_number() over (partition by task_id order by created_at desc, id desc) as r from attempts) where r <= 5),
+i as (select task_id, l, min(id) as id, arg_min(coalesce(generation_attempt_id, -1), id) as attempt_id from (select *, {_ISSUE_LINE} as l from (select *, case when id % 2 = 0 then '12' else '' end as corrected_answer from issue_reports)) group by 1, 2),
+e as (select task_id, n as "at", -1 as sub, {_ATTEMPT_LINE} as l from a
+  union all select i.task_id, a.n, i.id, '  USER FEEDBACK on this attempt: ' || i.l from i join a on i.task_id = a.task_id and i.attempt_id = a.id
+  union all select task_id, 1000000, id, '  USER FEEDBACK: ' || l from i where attempt_id = -1)
+select task_id, count(*) as n_lines, array_to_string(list_transform(list_sort(list(struct_pack(place := "at", sub := sub, l := l))), x -> x.l), chr(10)) as history from e group by task_id""", "attempts issue_reports")
+def attempt_history(spark, sf_dir):
+    return Au.history(view(spark, sf_dir, "attempts"), _issues(spark, sf_dir), "task_id")
+
+
+@query(f"""with r as (select * from attempts order by created_at desc, id desc limit 50),
+e as (select json_extract_string(x, '$') as value, count(*) as n, min(id) as f from (select id, unnest(cast(json_extract(validation_errors, '$[*]') as json[])) as x from r where json_valid(validation_errors) and json_type(validation_errors) = 'ARRAY') group by 1 order by n desc, f, value limit 10),
+c as (select coalesce(nullif(figure_type, ''), 'any') || '/' || coalesce(nullif(difficulty, ''), 'any') || '/' || coalesce(nullif(model_name, ''), 'any') as value, count(*) as n, avg(quality) as q from r where quality > 0 group by 1 order by q desc, value limit 1),
+l as (select cast(id as varchar) as value, quality from r where quality > 0 and quality < 60 order by created_at desc, id desc limit 3)
+select 'difficulty' as section, coalesce(nullif(difficulty, ''), 'unknown') as value, count(*) as n, count(*) filter (where success) as ok, {half('coalesce(avg(quality) filter (where quality > 0), 0)', 1)} as average from r group by 2
+union all select 'model', coalesce(nullif(model_name, ''), 'unknown'), count(*) filter (where quality > 0), null, {half('coalesce(avg(quality) filter (where quality > 0), 0)', 1)} from r group by 2
+union all select 'figure_type', coalesce(nullif(figure_type, ''), 'unknown'), count(*) filter (where quality > 0), null, {half('coalesce(avg(quality) filter (where quality > 0), 0)', 1)} from r group by 2
+union all select 'error', value, n, null, null from e union all select 'best', value, n, null, {half('q', 1)} from c union all select 'low', value, null, null, quality from l""", "attempts")
+def recent_analytics(spark, sf_dir):
+    return Au.recent_analytics(view(spark, sf_dir, "attempts"))
+
+
+@query("select total, passed, total - passed as failed, (select reason from issue_reports group by reason order by count(*) desc, min(id) limit 1) as top_reason, (select count(*) as n from issue_reports group by reason order by n desc limit 1) as top_count from (select count(*) filter (where id % 3 <> 0) as total, count(*) filter (where id % 6 = 1) as passed from tasks)", "tasks issue_reports")
+def review_stats(spark, sf_dir):
+    t = view(spark, sf_dir, "tasks").withColumns({"rhea_reviewed": F.col("id") % 3 != 0, "rhea_passed": F.col("id") % 6 == 1})
+    return Au.review_stats(t, view(spark, sf_dir, "issue_reports"))
+
+
+@query("select count(*) as total, count(*) filter (where success) as ok, count(*) filter (where generation_type <> 'simple') as drafts, floor(1000.0 * ok / greatest(drafts, 1) + 0.5) / 10 as rate from attempts", "attempts")
+def overall_success(spark, sf_dir):
+    a = view(spark, sf_dir, "attempts")
+    return Au.success_rate(a, F.col("generation_type") != "simple").crossJoin(a.agg(F.count("*").alias("total")))
+
+
+@query(f"select count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, {half(f'sum({COST_SQL})', 2)} as cost from attempts", "attempts")
+def usage_totals(spark, sf_dir):
+    return Au.usage_totals(view(spark, sf_dir, "attempts")).select("calls", "input_tokens", "output_tokens", T.half_up(F.col("cost"), 2).alias("cost"))
+
+
+@query(f"select coalesce((select generation_type from (select generation_type, {half('avg(quality)', 1)} as q from attempts where success and quality > 0 and generation_type <> '' group by 1 having count(*) >= 3) where q > 0 order by q desc, generation_type limit 1), 'self_critique') as generation_type", "attempts")
+def recommended_pipeline(spark, sf_dir):
+    return Au.recommend(A.best_groups(view(spark, sf_dir, "attempts"), "generation_type"), "generation_type", "self_critique")
+
+
+@query("select (select count(*) from figures where image_path not in (select image_path from tasks)) as broken, (select count(distinct image_path) from tasks where image_path not in (select image_path from figures)) as orphans, (select count(distinct image_path) from tasks) as files, (select count(*) from figures) as figures", "figures tasks")
+def broken_and_orphaned(spark, sf_dir):
+    return Au.broken_and_orphaned(view(spark, sf_dir, "figures"), view(spark, sf_dir, "tasks"))
+
+
+@query("select figure_type, count(*) as n, count(*) filter (where is_suitable) as suitable from figures group by 1", "figures")
+def type_counts(spark, sf_dir):
+    return Au.type_counts(view(spark, sf_dir, "figures"))
+
+
+_VERDICT_SQL = "case when starts_with(replace(upper(trim(v)), ' ', '_'), 'NOT_') then 'NOT_SUPPORTED' when starts_with(replace(upper(trim(v)), ' ', '_'), 'UNVERIFI') or starts_with(replace(upper(trim(v)), ' ', '_'), 'CANNOT') then 'UNVERIFIABLE' else 'SUPPORTED' end"
+
+
+@query(f"with c as (select task_id, run, l_partkey, trim(model_answer) as claim, case l_partkey % 7 when 0 then 'not supported' when 1 then 'Unverifiable' when 2 then 'cannot tell' else 'supported' end as v from answer_reads) select task_id, count(*) as n_claims, coalesce(string_agg(claim, ';' order by run, l_partkey, claim) filter (where {_VERDICT_SQL} <> 'SUPPORTED'), '') as unsupported, case when bool_or({_VERDICT_SQL} <> 'SUPPORTED') then 'fail' else 'pass' end as verdict from c where claim <> '' group by task_id", "answer_reads")
+def fact_checks(spark, sf_dir):
+    said = F.when(F.col("l_partkey") % 7 == 0, "not supported").when(F.col("l_partkey") % 7 == 1, "Unverifiable").when(F.col("l_partkey") % 7 == 2, "cannot tell").otherwise("supported")
+    claims = view(spark, sf_dir, "answer_reads").select("task_id", F.struct("run", "l_partkey").alias("at"), F.col("model_answer").alias("claim"), said.alias("verdict"))
+    return Au.fact_check(claims, "task_id").withColumn("unsupported", F.array_join("unsupported", ";"))
+
+
+@query("select count(*) filter (where age < 3600) as alive, count(*) as total, case when count(*) filter (where age < 3600) > 0 then 'ok' else 'error' end as status from (select worker_id, epoch((select max(created_at) from jobs)) - epoch(max(created_at)) as age from jobs group by 1)", "jobs")
+def worker_health(spark, sf_dir):
+    j = view(spark, sf_dir, "jobs")
+    newest = j.agg(F.max("created_at")).first()[0]
+    return Au.worker_health(j.select("worker_id", F.col("created_at").alias("ts")), F.lit(newest), 3600)
+
+
+@query("select id, cast(step as int) as step, description from (select id, unnest(range(len(d))) as step, unnest(d) as description from (select id, case when difficulty = 'hardest' then case when figure_type = 'chart_graph_text' then " + "[" + ", ".join(map(quoted, Au.CHART_STEPS)) + "] else [" + ", ".join(map(quoted, Au.OBJECT_STEPS)) + "] end else [question] end as d from tasks))", "tasks")
+def prompt_steps(spark, sf_dir):
+    return Au.split_prompt(view(spark, sf_dir, "tasks").select("id", "difficulty", "figure_type", F.col("question").alias("prompt")))
+
+
+@query("select id, case when id % 4 = 0 and trim(q) <> '' and trim(a) <> '' then trim(q) else question end as question, case when id % 4 = 0 and trim(q) <> '' and trim(a) <> '' then trim(a) else answer end as answer, coalesce(id % 4 = 0 and trim(q) <> '' and trim(a) <> '', false) as restored from tasks left join (select task_id, arg_max(question, id) as q, arg_max(answer, id) as a from attempts group by 1) x on x.task_id = tasks.id", "tasks attempts")
+def restored_tasks(spark, sf_dir):
+    t, a = view(spark, sf_dir, "tasks").select("id", "question", "answer"), view(spark, sf_dir, "attempts")
+    wanted = a.filter("task_id % 4 = 0").groupBy("task_id").agg(F.max("id").alias("attempt_id"))
+    return Au.restore(t, a, wanted).select("id", "question", "answer", "restored")
+
+
+@query("select id, case when id % 9 = 0 then 'rejected' else status end as status from figures", "figures")
+def bulk_rejected(spark, sf_dir):
+    f = view(spark, sf_dir, "figures").select("id", "status")
+    return Au.set_status(f, f.filter("id % 9 = 0").select("id", F.lit("rejected").alias("status")))
+
+
+@query("select a.id, a.task_id, case when t.id % 5 = 0 then t.qwen_raw else a.qwen_passes end as qwen_passes, case when t.id % 5 = 0 then t.gemini_passes else a.gemini_passes end as gemini_passes from attempts a left join tasks t on a.task_id = t.id", "attempts tasks")
+def submitted_attempts(spark, sf_dir):
+    t = tasks_of(spark, sf_dir).withColumns({"rhea_passed": F.lit(True), "rhea_notes": F.lit("ok")})
+    chosen = t.filter("id % 5 = 0").select("id", F.lit("p").alias("platform_task_id"))
+    _, attempts, _, _ = Au.submit(t, view(spark, sf_dir, "attempts").withColumn("rhea_notes", F.lit("")).withColumn("rhea_passed", F.col("rhea_passed") == 1), chosen, F.lit("2024-01-01").cast("timestamp"))
+    return attempts.select("id", "task_id", F.col("qwen_passes").cast("long").alias("qwen_passes"), F.col("gemini_passes").cast("long").alias("gemini_passes"))
+
+
+@query(f"with l as ({LATEST_SQL}), v as (select id, review_status, difficulty, case when review_status = 'too_easy' then case difficulty when 'hardest' then 'challenging' when 'challenging' then 'easy' else difficulty end when review_status = 'too_hard' then case difficulty when 'easy' then 'challenging' when 'challenging' then 'hardest' else difficulty end else difficulty end as d from tasks join l on l.task_id = tasks.id) select id as task_id, review_status as verdict, d as new_difficulty, d <> difficulty as changed, case when review_status = 'too_easy' then 0.0::double else 1.0::double end as quality_score from v where review_status in ('too_easy', 'too_hard', 'approved')", "tasks submission_logs")
+def verdict_events(spark, sf_dir):
+    e = Au.verdict_events(view(spark, sf_dir, "tasks"), view(spark, sf_dir, "submission_logs"), F.lit("2024-01-01").cast("timestamp"))
+    field = lambda n: F.get_json_object("details", f"$.{n}")
+    return e.select("task_id", field("verdict").alias("verdict"), field("new_difficulty").alias("new_difficulty"), (field("difficulty_changed") == "true").alias("changed"), "quality_score")
+
+
 # ---- transitions and state --------------------------------------------------------
 @query(f"with l as ({LATEST_SQL}) select id, difficulty, case when review_status = 'too_easy' then case difficulty when 'hardest' then 'challenging' when 'challenging' then 'easy' else difficulty end when review_status = 'too_hard' then case difficulty when 'easy' then 'challenging' when 'challenging' then 'hardest' else difficulty end else difficulty end as new_difficulty from tasks left join l on l.task_id = tasks.id", "tasks submission_logs")
 def verdict_shift(spark, sf_dir):
@@ -554,10 +669,13 @@ def delete_cascade(spark, sf_dir):
     return Tr.delete_cascade(view(spark, sf_dir, "attempts"), view(spark, sf_dir, "tasks").filter("id % 3 = 0")).select("id", "task_id")
 
 
-@query("select user_id as job_id, case when bool_or(event_type in ('error', 'purchase')) then arg_min(case event_type when 'error' then 'cancelled' else 'done' end, (ts, event_id)) filter (where event_type in ('error', 'purchase')) when arg_max(event_type, (ts, event_id)) = 'click' and count(*) filter (where event_type = 'click') < 9 then 'queued' when arg_max(event_type, (ts, event_id)) = 'click' then 'failed' else 'running' end as state, count(*) filter (where event_type = 'click') as failures from events where event_id % 17 < 9 and (user_id % 4 <> 0 or event_type not in ('error', 'purchase')) group by user_id")
+_STATUS = "case when event_type = 'error' and user_id % 4 = 1 then 'cancelled' when event_type = 'purchase' and user_id % 4 = 2 then 'done' when event_type = 'click' then 'failed' else 'running' end"
+
+
+@query(f"with e as (select user_id, ts, event_id, {_STATUS} as s from events) select user_id as job_id, case when bool_or(s in ('cancelled', 'done')) then arg_min(s, (ts, event_id)) filter (where s in ('cancelled', 'done')) when arg_max(s, (ts, event_id)) = 'failed' and count(*) filter (where s = 'failed') < 9 then 'queued' else arg_max(s, (ts, event_id)) end as state, count(*) filter (where s = 'failed') as failures from e group by user_id")
 def job_states(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 17 < 9 and (user_id % 4 <> 0 or event_type not in ('error', 'purchase'))")
-    status = F.when(F.col("event_type") == "error", "cancelled").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "failed").otherwise("running")
+    e = table(spark, sf_dir, "events")
+    status = F.expr(_STATUS)
     return Tr.job_states(e.select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), F.lit(9).alias("max_attempts")))
 
 

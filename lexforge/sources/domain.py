@@ -62,7 +62,7 @@ JSON = "<json>"  # rendered as the dialect's access to $.k of props
 VIEWS = {
     "attempts": f"""
 select event_id as id, user_id as task_id, event_id % 500 as figure_id, ts as created_at, event_type <> 'error' as success,
-  case when event_id % 11 = 0 then 0.0 else cast(floor(value * 2) / 10.0 as double) end as quality,
+  case when event_id % 11 = 0 then 0.0 when event_id % 11 = 1 then 80.0 + event_id % 20 else cast(floor(value * 2) / 10.0 as double) end as quality,
   case event_type when 'view' then 'minimax-m3' when 'click' then 'GPT-5-codex' when 'purchase' then 'claude-sonnet-4' when 'error' then 'gemini-2.5-flash' else '' end as model_name,
   {_pick(["simple", "rag_enhanced", "consensus", "self_critique", "rare"], "case when event_id % 997 = 0 then 4 else event_id % 4 end")} as generation_type,
   {_pick(["easy", "challenging", "hardest", ""], "event_id")} as difficulty, {_pick(["chart_graph_text", "general_image", ""], _div("event_id", 4))} as figure_type,
@@ -87,7 +87,7 @@ select event_id as id, user_id as task_id, {_pick(["check_answer", "determinism_
     "issue_reports": f"select event_id as id, case when event_id % 9 = 0 then null else event_id - event_id % 7 end as generation_attempt_id, user_id as task_id, {_pick(['too_easy', 'wrong_answer', 'unclear', 'other', 'not_visual'], _div('event_id', 5))} as reason, {_pick(['', 'calculation_error seen', 'needs single_step only', 'text_only_question'], 'event_id')} as description from events where event_type = 'error'",
     "figures": f"""
 select p_partkey as id, p_brand as paper_id, p_name as caption, cast(p_size as double) / 50.0 as complexity_score, case when p_type like '%{{0}}%' then 'chart_graph_text' else {_pick(["chart_graph_text", "general_image", ""], "p_partkey")} end as figure_type,
-  p_partkey % 3 = 0 as is_dense, p_partkey % 4 <> 0 as is_suitable, cast(50 + p_partkey % 400 as double) / 100.0 as width_height_ratio, 3000 + (p_partkey * 37) % 9000 as filesize_bytes, case p_partkey % 3 when 0 then 'new' when 1 then 'used' else 'rejected' end as status, 'img/' || cast(p_partkey % 900 as varchar(20)) || '.png' as image_path, p_retailprice as price
+  p_partkey % 3 = 0 as is_dense, p_partkey % 4 <> 0 as is_suitable, cast(50 + p_partkey % 400 as double) / 100.0 as width_height_ratio, 3000 + (p_partkey * 37) % 9000 as filesize_bytes, case p_partkey % 3 when 0 then 'new' when 1 then 'used' else 'rejected' end as status, 'img/' || cast(p_partkey % 90 as varchar(20)) || '.png' as image_path, p_retailprice as price
 from part""".replace("{0}", "STEEL"),
     "papers": f"select p_partkey as id, {_pick(TITLES, 'p_partkey')} as title, {_pick(CATEGORIES, _div('p_partkey', 3))} as categories, p_brand as source from part",
     "jobs": f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TELEMETRY = "ts string, model string, ok boolean, elapsed_s double, difficulty string, figure_type string, figure_path string, error string"
@@ -43,8 +43,8 @@ def read_index(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """Paths and sizes below a folder, without reading contents."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length")
+    """Paths and sizes below a folder in order of the paths, without reading contents."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length").orderBy("path")
 
 
 def log_tail(lines: DataFrame, n: int = 50) -> DataFrame:
@@ -57,6 +57,43 @@ def upsert_vectors(collection: DataFrame, new: DataFrame) -> DataFrame:
     return new.unionByName(collection.join(new.select("id"), "id", "left_anti"))
 
 
+def delete_vectors(collection: DataFrame, ids: DataFrame) -> DataFrame:
+    """A collection without the rows of ids(id); clearing it is limit(0), counting it count()."""
+    return collection.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def cache_entries(results: DataFrame, at: Column, ttl_s: int = 3600) -> DataFrame:
+    """Rows (id, content, metadata, embedding) to be put in a semantic cache, from results(prompt, figure_id, question, answer, answer_format, task_type, embedding)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    digest = F.substring(F.sha2("prompt", 256), 1, 16)
+    named = [F.lit("prompt_hash"), digest, F.lit("cached_at"), F.unix_seconds(at.cast("timestamp")).cast("string"), F.lit("ttl"), F.lit(str(ttl_s))]
+    for c in ("figure_id", "question", "answer", "answer_format", "task_type"):
+        named += [F.lit(c), text(c)]
+    return results.select(digest.alias("id"), F.col("prompt").alias("content"), F.create_map(*named).alias("metadata"), "embedding")
+
+
+def write_log(entries: DataFrame, path: str) -> None:
+    """Append structured log entries as JSON lines; fields without a value are left out."""
+    entries.write.mode("append").option("ignoreNullFields", "true").json(path)
+
+
+def write_evaluation(results: DataFrame, path: str) -> None:
+    """Replace a batch evaluation's JSON lines."""
+    results.write.mode("overwrite").json(path)
+
+
+def settings(spark: SparkSession, values: dict) -> DataFrame:
+    """(key, value) of nested settings, such as a configuration file read by the driver; keys are dotted, lists are numbered."""
+
+    def walk(prefix: str, value: object) -> list[tuple[str, str | None]]:
+        if isinstance(value, dict | list) and value:
+            items = value.items() if isinstance(value, dict) else enumerate(value)
+            return [row for k, v in items for row in walk(f"{prefix}.{k}" if prefix else str(k), v)]
+        return [(prefix, None if value is None else str(value))]
+
+    return spark.createDataFrame([row for k, v in values.items() for row in walk(str(k), v)], "key string, value string")
+
+
 def by_metadata(collection: DataFrame, equal: dict[str, str]) -> DataFrame:
     for k, v in equal.items():
         collection = collection.filter(F.element_at("metadata", k) == v)

@@ -318,12 +318,12 @@ def question_classes(spark, sf_dir):
 
 def _guard_sql() -> str:
     each = " ".join(f"when {rx('lower(text)', [p])} then {i}" for i, p in enumerate([*P.INJECTION, *P.SENSITIVE], 1))
-    return f"select doc_id, case when {rx('lower(text)', P.INJECTION + P.SENSITIVE)} then 'blocked' when length(text) > 5000 then 'suspicious' else 'safe' end as risk, case {each} end as reason from documents where lang = 'en'"
+    return f"select doc_id, case when {rx('lower(text)', P.INJECTION + P.SENSITIVE)} then 'blocked' when length(text) > 5000 then 'suspicious' else 'safe' end as risk, case {each} end as reason from documents"
 
 
 @query(_guard_sql())
 def input_guard(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", G.input_risk(F.col("text")).alias("risk"), G.input_reason(F.col("text")).alias("reason"))
+    return table(spark, sf_dir, "documents").select("doc_id", G.input_risk(F.col("text")).alias("risk"), G.input_reason(F.col("text")).alias("reason"))
 
 
 def _pii_sql() -> str:
@@ -332,13 +332,13 @@ def _pii_sql() -> str:
         out = f"regexp_replace({out}, {quoted(p)}, '[REDACTED]', 'g')"
     any_ = " or ".join(f"regexp_matches(text, {quoted(p)})" for _, p in P.PII)
     toxic = f"regexp_matches(lower(text), {quoted(P.TOXIC_WORDS)})"
-    return f"select doc_id, {toxic} as toxic, {any_} as pii, case when {toxic} or {any_} then sha256({out}) end as redacted_sha256 from documents where lang = 'en'"
+    return f"select doc_id, {toxic} as toxic, {any_} as pii, case when {toxic} or {any_} then sha256({out}) end as redacted_sha256 from documents"
 
 
 @query(_pii_sql())
 def pii_redaction(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", G.toxic(t).alias("toxic"), (F.size(G.pii_kinds(t)) > 0).alias("pii"), F.sha2(G.redacted(t), 256).alias("redacted_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", G.toxic(t).alias("toxic"), (F.size(G.pii_kinds(t)) > 0).alias("pii"), F.sha2(G.redacted(t), 256).alias("redacted_sha256"))
 
 
 @query("select conv_id, turn, " + " + ".join(f"cast({rx('lower(text)', [p])} as int)" for p in P.LEAKAGE) + " as n_leaks from conversations")

@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from .license_texts import LICENSES, SPELLINGS
+from .license_texts import LICENSES, SPELLINGS, whole_texts
 
 LINE_DEDUP = r"""
 with l as (
@@ -36,7 +36,7 @@ def _canonical(text: str) -> str:
     return f"trim({out})"
 
 
-_KNOWN = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in LICENSES)
+_KNOWN = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in LICENSES + whole_texts() if k)
 LICENSE_SCAN = f"""
 with known as (
   select sha256({_canonical("t")}) as digest, min(license_id) as license_id from (values {_KNOWN}) v(license_id, t) group by 1),
@@ -45,7 +45,7 @@ n as (
   select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices
   from (select doc_id, unnest(string_split(text, chr(10))) as line from d)
   join known on sha256({_canonical("line")}) = known.digest
-  where regexp_matches(lower(line), 'licen[cs]|copyright|warrant|spdx|public domain') group by doc_id)
+  group by doc_id)
 select d.doc_id, d.digest, known.license_id, coalesce(notices, '') as notices
 from d left join known using (digest) left join n on d.doc_id = n.doc_id
 """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import guards as G
 from lexforge.functions import parse, rules
 from lexforge.functions import text as T
-from lexforge.operators import figures, relational, search, transitions
+from lexforge.operators import authoring, figures, relational, search, transitions
 from lexforge.sources import io
 from lexforge.streaming import state
 
@@ -133,3 +133,43 @@ def test_sources(spark, tmp_path):
     assert io.read_index(spark, f"file://{tmp_path}", "id string").count() == 2
     assert io.list_files(spark, f"file://{tmp_path}", ".json").count() == 3
     assert [r.value for r in io.log_tail(spark.createDataFrame([(str(i),) for i in range(9)], "value string").coalesce(1), 3).collect()] == ["6", "7", "8"]
+
+
+def test_review_status_and_verdict_rows(spark):
+    tasks = spark.createDataFrame([(1, "draft", None, None), (2, "draft", True, "old"), (3, "draft", None, None)], "id long, status string, rhea_passed boolean, rhea_notes string")
+    reviews = spark.createDataFrame([(1, True, "fine", False), (2, False, "mine", True), (9, True, "gone", False)], "id long, passed boolean, notes string, override boolean")
+    got = {r.id: (r.rhea_reviewed, r.rhea_passed, r.rhea_notes, r.rhea_override_notes) for r in authoring.review(tasks, reviews).collect()}
+    assert got == {1: (True, True, "fine", None), 2: (None, False, "old", "mine"), 3: (None, None, None, None)}
+    at = F.lit("2024-01-02").cast("timestamp")
+    logs = spark.createDataFrame([(1, 1, datetime(2024, 1, 1), "", ""), (2, 1, datetime(2024, 1, 2), "", "")], "id long, task_id long, submitted_at timestamp, review_status string, reviewer_notes string")
+    marks = spark.createDataFrame([(1, "approved", "ok"), (3, "rework", "no")], "task_id long, status string, notes string")
+    new, touched = authoring.mark_status(tasks, logs, marks)
+    assert {r.id: r.status for r in new.collect()} == {1: "approved", 2: "draft", 3: "rework"}
+    assert {r.id: (r.review_status, r.reviewer_notes) for r in touched.collect()} == {1: ("", ""), 2: ("approved", "ok")}
+    verdicts = spark.createDataFrame([(1, "too_easy", "n"), (3, "approved", None)], "task_id long, verdict string, notes string")
+    rows = authoring.record_verdicts(logs, verdicts, at).collect()
+    assert sorted((r.task_id, r.review_status) for r in rows) == [(1, ""), (1, "too_easy"), (3, "approved")]
+
+
+def test_preferences_and_prompt_blocks(spark):
+    configs = spark.createDataFrame([(1, {"preferred_model": "a", "k": "v"}), (2, {"k": "v"})], "user_id long, config map<string,string>")
+    profiles = spark.createDataFrame([(1, "b", "", "default")], "user_id long, preferred_model string, preferred_difficulty string, prompt_style string")
+    kept = spark.createDataFrame([(1, {"tone": "dry"})], "user_id long, preferences map<string,string>")
+    got = {r.user_id: r.config for r in authoring.with_preferences(configs, profiles, kept).collect()}
+    assert got == {1: {"k": "v", "preferred_model": "b", "user_tone": "dry"}, 2: {"k": "v"}}
+    asked = spark.createDataFrame([(1, "hardest", "chart_graph_text", "p"), (2, "easy", "", "q")], "id long, difficulty string, figure_type string, prompt string")
+    blocks = {r.id: r.block for r in authoring.prompt_block(authoring.split_prompt(asked)).collect()}
+    assert blocks[2] == "q" and blocks[1].startswith("Step 1: Identify") and blocks[1].count("\n") == 3
+
+
+def test_sinks_and_settings(spark, tmp_path):
+    io.write_log(spark.createDataFrame([("1", "INFO", None)], "ts string, level string, message string"), f"file://{tmp_path}/log")
+    assert spark.read.text(f"file://{tmp_path}/log").first()[0] == '{"ts":"1","level":"INFO"}'
+    io.write_evaluation(spark.createDataFrame([(1, True)], "id long, passed boolean"), f"file://{tmp_path}/eval")
+    io.write_evaluation(spark.createDataFrame([(2, True)], "id long, passed boolean"), f"file://{tmp_path}/eval")
+    assert [r.id for r in spark.read.json(f"file://{tmp_path}/eval").collect()] == [2]
+    assert {(r.key, r.value) for r in io.settings(spark, {"a": {"b": 1, "c": ["x", None]}, "d": {}}).collect()} == {("a.b", "1"), ("a.c.0", "x"), ("a.c.1", None), ("d", "{}")}
+    v = spark.createDataFrame([("p", 3, "q", [0.5])], "prompt string, figure_id long, question string, embedding array<double>").withColumns({c: F.lit(None).cast("string") for c in ("answer", "answer_format", "task_type")})
+    row = io.cache_entries(v, F.lit("1970-01-01 00:00:09").cast("timestamp")).first()
+    assert row.metadata["prompt_hash"] == row.id and len(row.id) == 16 and row.metadata["figure_id"] == "3" and row.metadata["cached_at"] == "9"
+    assert io.delete_vectors(spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a",)], "id string")).count() == 1

@@ -29,12 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each class of near-duplicates.
-
-    Documents without a doc_id cannot be named as copies, so they stay.
-    """
-    copies = stored(ngram_join.ngram_join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "copies")
-    return docs.join(copies, docs.doc_id == copies.id, "left_anti")
+    """One document of each class of near-duplicates, that of smallest doc_id."""
+    return ngram_join.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
@@ -74,9 +74,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, offsets in tx.slices(batch.column(1)):
+        for i, j, data, offsets in tx.slices(batch.column("text")):
             _, size, digest = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(digest.view(np.int64))], names=["doc_id", "n", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("code").slice(i, j - i), pa.array(size), pa.array(digest.view(np.int64))], names=["doc_id", "code", "n", "row"])
 
 
 def _deal(parts: int):
@@ -326,12 +326,12 @@ def _merge_classes(columns: DataFrame, rows: DataFrame) -> tuple[DataFrame, Data
     return roots, links
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, code (of its text), n (shingles) and class of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     parts = parts_of(spark)
-    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    sets = stored(texts.mapInArrow(frugal(_sets), "doc_id long, n long, row long"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _code(docs).alias("code"), F.col("text").cast("string").alias("text"))
+    sets = stored(texts.mapInArrow(frugal(_sets), "doc_id long, code long, n long, row long"), "sets")
     postings = texts.select("text").mapInArrow(frugal(_deal(parts)), "part int, blob binary")
     shared = postings.groupBy("part").applyInArrow(_shared(parts), "part int, blob binary")
     rows = stored(shared.groupBy("part").applyInArrow(_rows, "row long, n long, first long, cols binary"), "rows")
@@ -354,8 +354,43 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         links = found if links is None else links.union(found)
         roots = components(links)
 
-    classed = sets.join(roots, sets.row == roots.node, "left").select("doc_id", "n", F.coalesce("root", "row").alias("class"))
+    return sets.join(roots, sets.row == roots.node, "left").select("doc_id", "code", "n", F.coalesce("root", "row").alias("class"))
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
+    classed = _classes(docs)
     names = classed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     empty = F.col("n") == 0
     out = classed.join(names, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class, all columns: that of least doc_id, and of least text hash among rows of that doc_id.
+
+    Rows without a doc_id stand last. Of rows that repeat doc_id and text the one whose
+    other columns are least as JSON stays. Rows without a word are linked with nothing, so
+    all of them stay.
+    """
+    classed = stored(_classes(docs).filter("n > 0"), "classed")
+    lead = classed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "code")).alias("lead"))
+    copy = ~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("code") == F.col("lead.code")))
+    copies = stored(classed.join(lead, "class").filter(copy).select("doc_id", "code").distinct(), "copies")
+    twins = stored(classed.groupBy("doc_id", "code").agg(F.count("*").alias("many")).filter("many > 1").select("doc_id", "code"), "twins")
+
+    def named(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (_code(rows) == keys["code"]), how)
+
+    kept = named(docs, copies, "left_anti")
+    if twins.isEmpty():
+        return kept
+    again = named(kept, twins, "left_semi")
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    once = again.groupBy(F.col("doc_id").cast("long").alias("id"), _code(again).alias("code")).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*rest))).alias("row"))
+    return named(kept, twins, "left_anti").union(once.select("row.*"))
+
+
+def _code(docs: DataFrame) -> Column:
+    """Hash that stands for the text of a row."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))

@@ -40,3 +40,16 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_one_document_of_each_class_stays(spark):
+    import corpus_pipeline as cp
+
+    body = " ".join(f"w{i}" for i in range(60))
+    near, other = body.replace("w59", "x"), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, body, "b"), (3, body, "a"), (3, body, "a"), (5, near, "c"), (5, other, "c"), (7, other, None), (None, near, "d"), (None, body.upper(), "d"), (None, "one two", "e"), (None, "one two", "e"), (9, None, "f"), (9, None, "f"), (9, "", "f"), (10, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, code string")
+    kept = cp.near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    want = [(3, body, "a"), (5, other, "c"), (None, "one two", "e"), (9, None, "f"), (9, None, "f"), (9, "", "f"), (10, " ", None)]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))

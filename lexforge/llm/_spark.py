@@ -103,3 +103,21 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of roots after further links (a, b): each link stands for one between its ends' classes.
+
+    Links that roots already holds are not gone through again, so a large class costs its
+    links once, however often others are added.
+    """
+    if roots is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(f"{end}_node"), F.col("root").alias(f"{end}_root"))
+        ends = ends.join(own, ends[end] == own[f"{end}_node"], "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_node", f"{end}_root")
+    up = components(ends.filter("a <> b"))
+    tops = up.select(F.col("node").alias("via"), F.col("root").alias("top"))
+    known = roots.join(tops, roots.root == tops.via, "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stored(known.union(up.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import components, frugal, pack, parts_of, stored, unpack
+from ._spark import components, frugal, merged, pack, parts_of, stored, unpack
 
 WORDS, PERCENT = 5, 75
 #: Rounds in which classes merge before the remaining pairs are multiplied.
@@ -299,15 +299,15 @@ def _product(table: pa.Table) -> pa.Table:
     return pa.table({"a": row[some], "b": row[label[some]]})
 
 
-def _merge_classes(columns: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes and links found by rounds in which each class tries one partner.
+def _merge_classes(columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """Classes found by rounds in which each class tries one partner.
 
     In every column each class has its smallest row stand for it and meets the smallest
     row of the column; of the partners so met, a class tries the one met most often. A
     group of n copies so takes about n products in all and not its pairs. The number of
     rounds only decides how much is left for the exact step that follows.
     """
-    roots, links, tried = None, None, None
+    roots, tried = None, None
     for _ in range(ROUNDS):
         heads = _rooted(columns, roots).groupBy("col", "root").agg(F.min(F.struct("n", "row")).alias("head"))
         tops = heads.groupBy("col").agg(F.min("head").alias("top"), F.count("*").alias("many")).filter("many > 1").select("col", "top")
@@ -319,11 +319,10 @@ def _merge_classes(columns: DataFrame, rows: DataFrame) -> tuple[DataFrame, Data
         pairs = stored(best.select("m.row", "m.row2"), "pairs")
         found = stored(_linked(pairs, rows), "links")
         tried = pairs if tried is None else tried.union(pairs)
-        if links is not None and found.isEmpty():
+        if roots is not None and found.isEmpty():
             break
-        links = found if links is None else links.union(found)
-        roots = components(links)
-    return roots, links
+        roots = merged(roots, found)
+    return roots
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -337,7 +336,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     rows = stored(shared.groupBy("part").applyInArrow(_rows, "row long, n long, first long, cols binary"), "rows")
     columns = stored(rows.mapInArrow(frugal(_columns), "col long, row long, n long"), "columns")
 
-    roots, links = _merge_classes(columns, rows)
+    roots = _merge_classes(columns, rows)
     # what is left apart, exactly: columns of few rows by their pairs, the others by blocks of rows
     many = columns.groupBy("col").agg(F.count("*").alias("many"))
     apart = stored(_mixed(_rooted(columns, roots)).join(many, "col"), "apart")
@@ -346,13 +345,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     sized = (F.col("row") < F.col("row2")) & (F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
     found = stored(_linked(cold.join(other, "col").filter(sized).select("row", "row2").distinct(), rows), "links")
     if not found.isEmpty():
-        links = found if links is None else links.union(found)
-        roots = components(links)
+        roots = merged(roots, found)
     hot = stored(_mixed(_rooted(apart.filter(F.col("many") > COLD).select("col", "row", "n"), roots)), "hot")
     if not hot.isEmpty():
-        found = stored(_block_products(hot, rows), "links")
-        links = found if links is None else links.union(found)
-        roots = components(links)
+        roots = merged(roots, stored(_block_products(hot, rows), "links"))
 
     return sets.join(roots, sets.row == roots.node, "left").select("doc_id", "code", "n", F.coalesce("root", "row").alias("class"))
 

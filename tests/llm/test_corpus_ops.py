@@ -168,6 +168,22 @@ def brute_rules(rows):
     return out
 
 
+def test_merged_classes_equal_classes_of_all_links(spark):
+    import random
+
+    from lexforge.llm._spark import components, merged
+
+    draw = random.Random(3)
+    links = [(draw.randrange(150), draw.randrange(150)) for _ in range(110)] + [(40, 40), (149, 0), (149, 0)]
+    links = [(a, b) for a, b in links if a != b]
+    of = lambda ls: spark.createDataFrame(ls, "a long, b long")
+    roots = None
+    for part in (links[:40], links[40:80], [], links[60:]):
+        roots = merged(roots, of(part))
+    want = sorted(map(tuple, components(of(links)).select("node", "root").collect()))
+    assert sorted(map(tuple, roots.select("node", "root").collect())) == want
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_quality_rules(spark, odd, which):
     from lexforge.llm.quality_rules import quality_rules

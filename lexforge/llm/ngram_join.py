@@ -244,8 +244,8 @@ def _block_products(hot: DataFrame, rows: DataFrame) -> DataFrame:
     Every pair of blocks is one task's product, but for pairs within the cluster's
     largest class, whose rows are linked already.
     """
-    edges = hot.select(F.col("row").alias("a"), F.xxhash64(F.lit("col"), "col").alias("b"))
-    clusters = components(edges)
+    least = hot.groupBy("col").agg(F.min("row").alias("b"))  # copies share it in most columns, so their many postings are few edges
+    clusters = components(hot.join(least, "col").select(F.col("row").alias("a"), "b").distinct())
     owned = stored(hot.select("row", "root").distinct().join(clusters, F.col("row") == clusters.node).select("row", hot.root, clusters.root.alias("cluster")), "owned")
     sizes = owned.groupBy("cluster", "root").agg(F.count("*").alias("k"))
     top = sizes.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("k"))

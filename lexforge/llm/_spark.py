@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,24 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where it is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/lexforge-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df in the shared folder and read it back: lineage ends at files every executor sees."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lexforge.storage import stored
 
 
 def parts_of(spark: SparkSession) -> int:

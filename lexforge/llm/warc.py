@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_folder, stored
+from lexforge.storage import run_folder, stored
 
 LEAST = 100
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -289,7 +289,7 @@ def warc_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     import uuid
 
     spark = pages.sparkSession
-    path = path or f"{shared_folder(spark)}/lexforge/warc-{uuid.uuid4().hex}"
+    path = path or f"{run_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(plan_records(pages), path)
     got = read_warc(spark, path)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")

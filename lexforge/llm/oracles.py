@@ -49,3 +49,31 @@ n as (
 select d.doc_id, d.digest, known.license_id, coalesce(notices, '') as notices
 from d left join known using (digest) left join n on d.doc_id = n.doc_id
 """
+
+#: crc32 of each distinct word byte by byte, from the table of the reversed polynomial; DuckDB's hex() gives the UTF-8 bytes.
+IMPORTANCE = r"""
+with recursive step as (
+  select i as first, i as c, 0 as k from range(256) t(i)
+  union all select first, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from step where k < 8),
+crc as (select list(c order by first) as lut from step where k = 8),
+w as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from documents),
+q as (select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+d as (select distinct word from (select word from w union all select word from q)),
+b as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: ('0x' || substr(hex(word), 2 * i - 1, 2))::bigint)),
+    lambda c, x: xor(c >> 8, lut[xor(c, x) % 256 + 1])), 4294967295) % 10000 as bucket
+  from d, crc),
+s as (select bucket, count(*) as s from w join b using (word) group by bucket),
+t as (select bucket, count(*) as t from q join b using (word) group by bucket),
+g as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from w) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from q) + 10000)::double)))::bigint as gain
+  from s full join t using (bucket)),
+f as (select doc_id, count(*) as n_features, sum(gain)::bigint as weight from w join b using (word) join g using (bucket) group by doc_id),
+a as (
+  select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from documents left join f using (doc_id)),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from a where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (select 10 * count(*) // 100 from r) then rank end as rank
+from a left join r using (doc_id)
+"""

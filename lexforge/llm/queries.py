@@ -85,11 +85,17 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(_table(spark, sf_dir, "documents"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance_resample
+
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import LICENSE_SCAN, LINE_DEDUP
+    from .oracles import IMPORTANCE, LICENSE_SCAN, LINE_DEDUP
 
-    return {"op1_line_dedup": LINE_DEDUP, "op7_license_scan": LICENSE_SCAN}
+    return {"op1_line_dedup": LINE_DEDUP, "op7_license_scan": LICENSE_SCAN, "op12_importance": IMPORTANCE}

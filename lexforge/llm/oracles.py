@@ -77,3 +77,26 @@ r as (select doc_id, row_number() over (order by score desc, doc_id) as rank fro
 select doc_id, n_features, weight, score, case when rank <= (select 10 * count(*) // 100 from r) then rank end as rank
 from a left join r using (doc_id)
 """
+
+FILTER_AUDIT = r"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+x as (
+  select doc_id, part, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by text), false)] as fails
+  from t),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by doc_id),
+m as (select part, fails, count(*) as n, count(*) filter (good = 1) as good, count(*) filter (bad = 1) as bad from x left join l using (doc_id) group by all),
+f as (select unnest([1, 2, 3, 4, 5]) as f),
+o as (
+  select [a.f, b.f, c.f, d.f, e.f] as o from f a, f b, f c, f d, f e where a.f not in (b.f, c.f, d.f, e.f) and b.f not in (c.f, d.f, e.f) and c.f not in (d.f, e.f) and d.f <> e.f),
+s as (
+  select part, list_aggregate(list_transform(o, lambda i: chr(64 + i)), 'string_agg', '') as filter_order, step::int as step, o[step] as letter, n, good, bad, fails[o[step]] as failed,
+    list_bool_or(list_transform(o[1:step - 1], lambda i: fails[i])) as earlier, len(list_filter(fails, lambda b: b)) as many
+  from m, o, unnest([1, 2, 3, 4, 5]) u(step)),
+r as (
+  select part, filter_order, step, letter, coalesce(sum(n) filter (not failed and not coalesce(earlier, false)), 0)::bigint as kept, coalesce(sum(n) filter (failed and not coalesce(earlier, false)), 0)::bigint as removed,
+    coalesce(sum(n) filter (failed and earlier), 0)::bigint as redundant, coalesce(sum(n) filter (failed and many = 1), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (failed and not coalesce(earlier, false)), 0)::bigint as good_lost, coalesce(sum(bad) filter (failed and not coalesce(earlier, false)), 0)::bigint as toxic_lost
+  from s group by all)
+select * exclude (letter), (sum(removed) over (partition by part, letter))::bigint as shapley from r
+"""

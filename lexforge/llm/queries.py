@@ -91,11 +91,17 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import IMPORTANCE, LICENSE_SCAN, LINE_DEDUP
+    from .oracles import FILTER_AUDIT, IMPORTANCE, LICENSE_SCAN, LINE_DEDUP
 
-    return {"op1_line_dedup": LINE_DEDUP, "op7_license_scan": LICENSE_SCAN, "op12_importance": IMPORTANCE}
+    return {"op1_line_dedup": LINE_DEDUP, "op7_license_scan": LICENSE_SCAN, "op12_importance": IMPORTANCE, "op13_filter_audit": FILTER_AUDIT}

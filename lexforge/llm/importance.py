@@ -35,8 +35,8 @@ from lexforge.storage import stored
 from ._spark import frugal
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 2024, 10, 20
-#: Bits of a radix digit.
-DIGIT = 13
+#: Bits of a radix digit, and texts counted at once.
+DIGIT, SLICE = 13, 100
 #: ASCII letters lower-cased, other ASCII but digits a space, bytes of other characters kept.
 WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
@@ -50,8 +50,9 @@ def buckets_of(text: str | None) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text in batch.column("text"):
-            total += np.bincount(buckets_of(text.as_py()), minlength=BUCKETS)
+        for at in range(0, batch.num_rows, SLICE):
+            some = batch.column("text").slice(at, SLICE).drop_null().to_pylist()
+            total += np.bincount(buckets_of(" ".join(some)), minlength=BUCKETS)  # no word crosses the space between texts
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
@@ -81,10 +82,12 @@ def noise(doc_id: int) -> int:
 def _scored(gains: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [buckets_of(t.as_py()) for t in batch.column("text")]
-            weight = [int(gains[b].sum()) for b in found]
-            score = [None if d is None else w + noise(d) for d, w in zip(batch.column("doc_id").to_pylist(), weight, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("code"), pa.array([len(b) for b in found], pa.int64()), pa.array(weight, pa.int64()), pa.array(score, pa.int64())], names=["doc_id", "code", "n_features", "weight", "score"])
+            size, weight = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for i, text in enumerate(batch.column("text")):
+                found = buckets_of(text.as_py())
+                size[i], weight[i] = len(found), gains[found].sum()
+            score = [None if d is None else w + noise(d) for d, w in zip(batch.column("doc_id").to_pylist(), weight.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("code"), pa.array(size), pa.array(weight), pa.array(score, pa.int64())], names=["doc_id", "code", "n_features", "weight", "score"])
 
     return run
 

@@ -34,7 +34,8 @@ def query(sql: str | None = None, views: str = ""):
         if sql:
             head = ", ".join(f"{v} as ({view_sql(v, 'duckdb')})" for v in views.split())
             body = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql.strip())
-            ORACLES[f.__name__] = body if not head else f"with {head}{', ' + body[5:] if body.lower().startswith('with ') else ' ' + body}"
+            start = next((w for w in ("with recursive ", "with ") if body.startswith(w)), "")
+            ORACLES[f.__name__] = body if not head else f"{start or 'with '}{head}{', ' + body[len(start) :] if start else ' ' + body}"
         return f
 
     return add
@@ -526,10 +527,26 @@ def figure_audit(spark, sf_dir):
     return Fig.audit(view(spark, sf_dir, "figures")).select("id", "flags", T.half_up(F.col("audit_quality"), 1).alias("audit_quality"))
 
 
-@query("select id, paper_id from (select id, paper_id, row_number() over (partition by paper_id order by complexity_score desc, id) as r from figures where complexity_score >= 0.2 and filesize_bytes >= 5000 and image_path not in (select image_path from figures where id % 7 = 0)) where r <= 3", "figures")
+@query("""with recursive f as (select *, row_number() over (order by paper_id, id) as n from extracted where not known),
+old as (select list(distinct image_hash) as hashes, list({'paper': paper_id, 'phash': phash}) filter (phash <> '') as prints from extracted where known),
+-- figures one by one, with what is kept: of papers that are done their hashes, of the paper at hand whole rows
+walk as (
+  select cast(0 as bigint) as n, cast('' as varchar) as paper, cast([] as varchar[]) as hashes, cast([] as struct(c double, id bigint, h varchar, p varchar)[]) as mine, cast([] as struct(id bigint, o varchar)[]) as done, cast(0 as bigint) as id, cast('' as varchar) as outcome
+  union all
+  select n, paper, hashes, case when o = '' then list_append(mine, {'c': -complexity_score, 'id': id, 'h': image_hash, 'p': phash}) else mine end, done, id, o from (
+    select f.n, f.paper_id as paper, f.id, f.complexity_score, f.image_hash, f.phash, b.hashes, b.mine, b.done,
+      case when width_height_ratio > 5 or width_height_ratio < 0.2 then 'logo' when complexity_score < 0.2 then 'simple' when filesize_bytes < 5000 then 'small'
+        when list_contains(old.hashes, f.image_hash) or list_contains(b.hashes, f.image_hash) or len(list_filter(b.mine, lambda m: m.h = f.image_hash)) > 0 then 'copy'
+        when f.phash <> '' and len(list_filter(list_concat(list_transform(list_filter(old.prints, lambda m: m.paper = f.paper_id), lambda m: m.phash), list_transform(list_filter(b.mine, lambda m: m.p <> ''), lambda m: m.p)),
+          lambda p: bit_count(xor(cast('0x' || p[1:8] as bigint), cast('0x' || f.phash[1:8] as bigint))) + bit_count(xor(cast('0x' || p[9:16] as bigint), cast('0x' || f.phash[9:16] as bigint))) < 8)) > 0 then 'near copy' else '' end as o
+    from (select n, g.paper <> w.paper as turned, case when g.paper <> w.paper then list_concat(hashes, list_transform(list_sort(mine)[1:3], lambda m: m.h)) else hashes end as hashes, case when g.paper <> w.paper then [] else mine end as mine,
+        case when g.paper <> w.paper then list_transform(list_sort(mine)[4:], lambda m: {'id': m.id, 'o': 'capped'}) else [] end as done from walk w join (select n - 1 as before, paper_id as paper from f) g on g.before = w.n) b
+      join f on f.n = b.n + 1, old)),
+gone as (select unnest(done, recursive := true) from walk union all select unnest(list_transform(list_sort(mine)[4:], lambda m: {'id': m.id, 'o': 'capped'}), recursive := true) from walk where n = (select max(n) from f))
+select f.id, f.paper_id, case when w.outcome <> '' then w.outcome when gone.id is not null then 'capped' else 'kept' end as outcome from f join walk w on f.n = w.n left join gone on gone.id = f.id""", "extracted")
 def ingested(spark, sf_dir):
-    f = view(spark, sf_dir, "figures")
-    return Fig.ingest(f, f.filter("id % 7 = 0")).select("id", "paper_id")
+    f = view(spark, sf_dir, "extracted")
+    return Fig.ingest(f.filter("not known"), f.filter("known"))
 
 
 @query("select id, case when complexity_score >= case when figure_type = 'chart_graph_text' then 0.85 else 0.75 end and is_dense then 'HARDEST' when complexity_score >= case when figure_type = 'chart_graph_text' then 0.55 else 0.45 end then 'CHALLENGING' else 'EASY' end as likelihood from figures", "figures")

@@ -89,6 +89,11 @@ select event_id as id, user_id as task_id, {_pick(["check_answer", "determinism_
 select p_partkey as id, p_brand as paper_id, p_name as caption, cast(p_size as double) / 50.0 as complexity_score, case when p_type like '%{{0}}%' then 'chart_graph_text' else {_pick(["chart_graph_text", "general_image", ""], "p_partkey")} end as figure_type,
   p_partkey % 3 = 0 as is_dense, p_partkey % 4 <> 0 as is_suitable, cast(50 + p_partkey % 400 as double) / 100.0 as width_height_ratio, 3000 + (p_partkey * 37) % 9000 as filesize_bytes, case p_partkey % 3 when 0 then 'new' when 1 then 'used' else 'rejected' end as status, 'img/' || cast(p_partkey % 90 as varchar(20)) || '.png' as image_path, p_retailprice as price
 from part""".replace("{0}", "STEEL"),
+    # image and perceptual hashes stand for pictures: one of a few boxes, and as many low bits as the size says, so sizes near each other look alike
+    "extracted": """
+select id, paper_id, md5(box || kind || cast(size as varchar(20))) as image_hash, case when id % 23 = 0 then '' else substring(md5(box), 1, 8) || substring(lpad(substring('0137', cast(ones % 4 + 1 as int), 1) || repeat('f', cast(floor(ones / 4.0) as int)), 9, '0'), 2, 8) end as phash,
+  cast(size as double) / 50.0 as complexity_score, filesize_bytes, ratio as width_height_ratio, id % 13 = 1 as known
+from (select p_partkey as id, p_brand as paper_id, p_type as box, split_part(p_name, ' ', 2) as kind, p_size as size, cast(floor(p_size * 32 / 50.0) as bigint) as ones, 4000 + (p_partkey * 37) % 9000 as filesize_bytes, cast(15 + p_partkey % 500 as double) / 100.0 as ratio from part)""",
     "papers": f"select p_partkey as id, {_pick(TITLES, 'p_partkey')} as title, {_pick(CATEGORIES, _div('p_partkey', 3))} as categories, p_brand as source from part",
     "jobs": f"""
 select event_id as id, {_pick(["generate_qa", "regenerate_task", "validate_batch", "rag_index"], "event_id")} as type, case event_type when 'view' then 'queued' when 'click' then 'running' when 'purchase' then 'done' when 'error' then 'failed' else 'cancelled' end as status,
@@ -104,7 +109,7 @@ def view_sql(name: str, dialect: str) -> str:
     return VIEWS[name].replace(JSON, access)
 
 
-BASE = {"attempts": "events", "tasks": "orders", "submission_logs": "lineitem", "task_events": "events", "issue_reports": "events", "figures": "part", "papers": "part", "jobs": "events", "answer_reads": "lineitem"}
+BASE = {"attempts": "events", "tasks": "orders", "submission_logs": "lineitem", "task_events": "events", "issue_reports": "events", "figures": "part", "extracted": "part", "papers": "part", "jobs": "events", "answer_reads": "lineitem"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import placed
+
 
 def filtered(df: DataFrame, equal: dict | None = None, least: dict | None = None, true: list[str] | None = None) -> DataFrame:
     """Predicates whose argument is given (not empty, above zero); the others are left out."""
@@ -69,34 +71,31 @@ def without(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFr
 def queue_order(jobs: DataFrame, by: str = "id") -> DataFrame:
     """Queued jobs with their place and how many there are; by 'id' or by 'priority' (highest, then oldest).
 
-    Places are counted by range: each job's bucket is summed first, so no task sorts all
-    jobs. Buckets are the ids' or priorities' own values.
+    Places are counted by ranges of the whole order, so one priority that all jobs have is
+    dealt to many tasks.
     """
     queued = jobs.filter("status = 'queued'")
-    total = queued.agg(F.count("*").alias("n_queued"))
-    if by == "id":
-        width = 1024
-        bucketed = queued.withColumn("bucket", F.floor(F.col("id") / width))
-        order, down = [F.col("id")], False
-    else:
-        bucketed = queued.withColumn("bucket", F.col("priority"))
-        order, down = [F.col("created_at"), F.col("id")], True
-    counts = bucketed.groupBy("bucket").agg(F.count("*").alias("k"))
-    # one row a bucket: small beside the jobs
-    ahead = counts.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.col("bucket").desc() if down else F.col("bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    return bucketed.withColumn("own", own).join(ahead, "bucket").crossJoin(F.broadcast(total)).select("id", (F.col("own") + F.col("before")).alias("place"), "n_queued")
+    order = [F.col("id")] if by == "id" else [F.col("priority").desc(), F.col("created_at"), F.col("id")]
+    ranked = placed(queued.select("id", "priority", "created_at"), order)
+    return ranked.select("id", "place").crossJoin(F.broadcast(queued.agg(F.count("*").alias("n_queued"))))  # one row
 
 
 def chunks(df: DataFrame, size: int, order: list[Column], value: str, last: int = 10) -> DataFrame:
-    """Averages of runs of `size` rows in order, with the difference to the run before; of bounded inputs."""
+    """Averages of runs of `size` rows in order, with the difference to the run before; the last runs."""
     from lexforge.functions.text import half_up
 
-    ranked = df.withColumn("rn", F.row_number().over(Window.orderBy(*order))).withColumn("chunk", F.floor((F.col("rn") - 1) / size))
+    ranked = placed(df, order, "rn").withColumn("chunk", F.floor((F.col("rn") - 1) / size))
     out = ranked.groupBy("chunk").agg(F.count("*").alias("n"), half_up(F.avg(value), 1).alias("average"))
-    w = Window.orderBy("chunk")
-    out = out.withColumns({"trend": half_up(F.col("average") - F.lag("average").over(w), 1), "label": F.concat(F.lit("#"), (F.col("chunk") * size + 1).cast("string"), F.lit("-"), (F.col("chunk") * size + F.col("n")).cast("string"))})
-    return out.withColumn("_top", F.max("chunk").over(Window.partitionBy())).filter(F.col("chunk") > F.col("_top") - last).drop("_top")
+    before = out.select((F.col("chunk") + 1).alias("chunk"), F.col("average").alias("before"))
+    label = F.concat(F.lit("#"), (F.col("chunk") * size + 1).cast("string"), F.lit("-"), (F.col("chunk") * size + F.col("n")).cast("string"))
+    top = out.agg(F.max("chunk").alias("top"))
+    out = out.join(before, "chunk", "left").withColumns({"trend": half_up(F.col("average") - F.col("before"), 1), "label": label}).drop("before")
+    return out.crossJoin(F.broadcast(top)).filter(F.col("chunk") > F.col("top") - last).drop("top")  # one row
+
+
+def page_numbers(df: DataFrame, per_page: int, order: list[Column]) -> DataFrame:
+    """Every row with its place and the page it stands on."""
+    return placed(df, order).withColumn("page", F.ceil(F.col("place") / per_page).cast("long"))
 
 
 def distinct_first(df: DataFrame, text: str, order: list[Column], n: int) -> DataFrame:

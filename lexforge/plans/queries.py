@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,8 @@ from lexforge.operators import relational as Rel
 from lexforge.operators import search as S
 from lexforge.operators import transitions as Tr
 from lexforge.sources.domain import table, view, view_sql
+from lexforge.storage import run_folder
+from lexforge.streaming import queue as Qu
 from lexforge.streaming import state as St
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +141,11 @@ def queue_position_by_priority(spark, sf_dir):
     return Rel.queue_order(view(spark, sf_dir, "jobs"), "priority").select("id", F.col("place").cast("long").alias("place"), "n_queued")
 
 
+@query("select id, row_number() over (order by price desc, id) as place, cast(ceil(row_number() over (order by price desc, id) / 50.0) as bigint) as page from tasks", "tasks")
+def tasks_pages(spark, sf_dir):
+    return Rel.page_numbers(view(spark, sf_dir, "tasks").select("id", "price"), 50, Rel.ordered(None, "price", "desc", ["price"])[:1] + [F.col("id")]).drop("price")
+
+
 @query("""select image_path, 'disk' as side from (select distinct image_path from figures) where image_path not in (select image_path from tasks where image_path is not null)
 union all select image_path, 'table' as side from (select distinct image_path from tasks where image_path <> '') where image_path not in (select image_path from figures where image_path is not null)""", "figures tasks")
 def orphans(spark, sf_dir):
@@ -696,6 +704,54 @@ def job_states(spark, sf_dir):
     return Tr.job_states(e.select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), F.lit(9).alias("max_attempts")))
 
 
+def _job_log(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("id"), F.expr(_STATUS).alias("status"), F.lit(9).cast("long").alias("max_attempts"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+_SILENT_S, _AS_OF = 12 * 3600, "2025-01-01 00:00:00"
+_TRANSITIONS_SQL = f"""with e as (select user_id as job_id, event_id as id, ts, {_STATUS} as status from events),
+c as (select *, count(*) filter (where status = 'failed') over w as failures, first_value(case when status in ('done', 'cancelled') then status end ignore nulls) over w as ended, lead(ts) over (partition by job_id order by ts, id) as next
+  from e window w as (partition by job_id order by ts, id rows unbounded preceding)),
+s as (select *, case when ended is not null then ended when status = 'failed' and failures < 9 then 'queued' else status end as state, ts + interval {_SILENT_S} second as lost_at from c),
+l as (select *, state = 'running' and case when next is null then lost_at <= timestamp '{_AS_OF}' else next > lost_at end as lost from s),
+b as (select *, lag(case when lost then 'queued' else state end) over (partition by job_id order by ts, id) as before from l)
+select job_id, ts, id, before as old_state, state as new_state, failures, false as silent from b where before is distinct from state
+union all select job_id, lost_at, id, state, 'queued', failures, true from b where lost"""
+
+
+@query(_TRANSITIONS_SQL)
+def job_transitions(spark, sf_dir):
+    return Qu.transitions(_job_log(spark, sf_dir), F.lit(_AS_OF).cast("timestamp"), _SILENT_S)
+
+
+@query(_TRANSITIONS_SQL)
+def job_transition_stream(spark, sf_dir):
+    """The same rows from a stream over the log in files of mixed times, stopped and started again from its checkpoint."""
+    home = f"{run_folder(spark)}/job-stream-{uuid.uuid4().hex}"
+    log = _job_log(spark, sf_dir)
+    # beyond all times, so that the watermark passes _AS_OF once the log is through
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.col("id"), F.lit("queued").alias("status"), F.lit(1).cast("long").alias("max_attempts"), (F.lit(_AS_OF).cast("timestamp") + F.expr("interval 400 days")).alias("ts"))
+    for part in (log.repartition(6, "id"), end):
+        part.write.mode("append").parquet(f"{home}/log")
+        source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/log")
+        Qu.transition_stream(source, "400 days", _SILENT_S).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(Qu.TRANSITION).parquet(f"{home}/out")
+
+
+@query("""with j as (select id, row_number() over (order by priority desc, created_at, id) as place from jobs where status = 'queued'),
+p as (select event_id as poll_id, user_id % 6 as worker_id, row_number() over (order by ts, event_id) as place from events where event_type = 'purchase')
+select id as job_id, worker_id, poll_id from j join p using (place)""", "jobs")
+def assigned_jobs(spark, sf_dir):
+    """Jobs given to polls that come in four micro-batches, the stream started anew for each."""
+    home = f"{run_folder(spark)}/assign-{uuid.uuid4().hex}"
+    polls = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("poll_id"), (F.col("user_id") % 6).alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"))
+    for quarter in range(4):
+        polls.filter(F.least(F.floor((F.dayofyear("ts") - 1) / 8), F.lit(3)) == quarter).write.mode("append").parquet(f"{home}/polls")
+        source = spark.readStream.schema(polls.schema).parquet(f"{home}/polls")
+        Qu.assign_stream(source, view(spark, sf_dir, "jobs"), f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return Qu.assignments(spark, f"{home}/out").drop("batch")
+
+
 @query("select id, worker_id from jobs where status = 'running' and worker_id not in (1, 3)", "jobs")
 def stale_jobs(spark, sf_dir):
     return Tr.stale_jobs(view(spark, sf_dir, "jobs"), spark.createDataFrame([(1,), (3,)], "worker_id long")).select("id", "worker_id")

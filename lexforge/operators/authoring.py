@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import text as T
 
 from .analytics import n_if
-from .relational import best_per_key, padded_union
+from .relational import best_per_key, latest
 from .transitions import apply_verdicts
 
 #: The steps that a prompt for the hardest level is split into.
@@ -91,12 +91,43 @@ def history(attempts: DataFrame, issues: DataFrame, key: str, newest: int = 5) -
     return lines.select(key, F.size("lines").cast("long").alias("n_lines"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("history"))
 
 
-def task_history(attempts: DataFrame, events: DataFrame) -> DataFrame:
-    """Attempts and events of tasks as one shape; what an event's JSON details name is overlaid on its columns."""
-    detail = lambda path: F.get_json_object("details", path)
-    a = attempts.select("task_id", "id", F.lit("attempt").alias("kind"), "quality", "question", "answer", "created_at")
-    e = events.select("task_id", "id", F.lit("event").alias("kind"), "event_type", "created_at", detail("$.vlm_answer").alias("answer"), detail("$.reason").alias("reason"), detail("$.match").alias("match"))
-    return padded_union(a, e)
+#: What the history of a task shows of an event, and of what its details say where they say it.
+EVENT_TEXTS = ["generation_type", "difficulty", "model_name", "generated_question", "generated_answer", "generated_answer_format", "reason", "description", "corrected_answer", "old_question", "new_question", "old_answer", "new_answer", "old_difficulty", "new_difficulty", "rhea_notes"]
+EVENT_NUMBERS = ["total_tokens", "input_tokens", "output_tokens", "qwen_passes", "gemini_passes"]
+EVENT_LISTS = ["errors", "fact_check_errors", "determinism_errors", "changed_fields"]
+EVENT_MAPS = ["old_values", "new_values"]
+
+
+def event_details(events: DataFrame) -> DataFrame:
+    """(task_id, id, key, value): a row for each key of an event's JSON details, whatever the key; text as it is, other values as JSON.
+
+    Details that are empty, malformed or no object have no keys.
+    """
+    parsed = events.select("task_id", "id", F.try_parse_json("details").alias("v"))
+    pairs = events.sparkSession.tvf.variant_explode(F.col("v").outer())
+    rows = parsed.lateralJoin(pairs.alias("d")).filter(F.col("d.key").isNotNull())
+    return rows.select("task_id", "id", F.col("d.key").alias("key"), F.try_variant_get(F.col("d.value"), "$", "string").alias("value"))
+
+
+def task_history(attempts: DataFrame, events: DataFrame, newest: int = 50) -> DataFrame:
+    """The newest attempts and events of every task in one shape, `newest` of each kind.
+
+    What an event's details name is laid over the defaults, as text, number, list or map;
+    a value of another type, and null, leaves the default. So do malformed details.
+    """
+    order = [F.col("created_at").desc(), F.col("id").desc()]
+    a = latest(attempts, ["task_id"], order, newest)
+    e = latest(events, ["task_id"], order, newest).withColumn("v", F.try_parse_json("details"))
+    said = lambda key, kind: F.try_variant_get("v", f"$.{key}", kind)
+    none = {k: F.lit("") for k in EVENT_TEXTS} | {k: F.lit(0).cast("long") for k in EVENT_NUMBERS} | {k: F.array().cast("array<string>") for k in EVENT_LISTS} | {k: F.create_map().cast("map<string,string>") for k in EVENT_MAPS} | {"rhea_passed": F.lit(False), "quality": F.lit(0.0)}
+    kinds = dict.fromkeys(EVENT_TEXTS, "string") | dict.fromkeys(EVENT_NUMBERS, "long") | dict.fromkeys(EVENT_LISTS, "array<string>") | dict.fromkeys(EVENT_MAPS, "map<string,string>") | {"rhea_passed": "boolean", "quality": "double"}
+    own = {"generation_type": "generation_type", "difficulty": "difficulty", "model_name": "model_name", "generated_question": "question", "generated_answer": "answer", "input_tokens": "input_tokens", "output_tokens": "output_tokens", "quality": "quality"}
+    errors = F.coalesce(F.from_json("validation_errors", "array<string>", {"mode": "PERMISSIVE"}), none["errors"])
+    of_attempt = none | {k: F.coalesce(F.col(c).cast(kinds[k]), none[k]) for k, c in own.items()} | {"errors": errors, "total_tokens": F.coalesce(F.col("input_tokens") + F.col("output_tokens"), F.lit(0).cast("long"))}
+    base = ["task_id", "id", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("minute")]
+    left = a.select(*base, F.lit("regeneration").alias("event_type"), *(c.alias(k) for k, c in of_attempt.items()))
+    right = e.select(*base, F.coalesce(said("event_type", "string"), F.col("event_type")).alias("event_type"), *(F.coalesce(said(k, kinds[k]), none[k]).alias(k) for k in of_attempt))
+    return left.unionByName(right)
 
 
 # ---- roll-ups -----------------------------------------------------------------------

@@ -13,7 +13,7 @@ from lexforge.functions import guards as G
 from lexforge.functions import patterns as P
 from lexforge.functions import rules as R
 from lexforge.functions import text as T
-from lexforge.functions.parse import parse_response
+from lexforge.functions.parse import parse_draft, parse_response
 from lexforge.operators import analytics as A
 from lexforge.operators import authoring as Au
 from lexforge.operators import figures as Fig
@@ -677,6 +677,45 @@ def verdict_events(spark, sf_dir):
     return e.select("task_id", field("verdict").alias("verdict"), field("new_difficulty").alias("new_difficulty"), (field("difficulty_changed") == "true").alias("changed"), "quality_score")
 
 
+_JSON = "try_cast(case when json_valid(details) then details end as json)"
+
+
+@query(f"""select task_id, id, key, json_extract_string(d, '$."' || key || '"') as value
+from (select *, unnest(json_keys(d)) as key from (select task_id, id, {_JSON} as d from task_events) where json_type(d) = 'OBJECT')""", "task_events")
+def event_details(spark, sf_dir):
+    return Au.event_details(view(spark, sf_dir, "task_events"))
+
+
+@query(f"""with a as (select *, row_number() over (partition by task_id order by created_at desc, id desc) as r from attempts),
+e as (select *, {_JSON} as d, row_number() over (partition by task_id order by created_at desc, id desc) as r from task_events)
+select task_id, id, 'regeneration' as event_type, strftime(created_at, '%Y-%m-%d %H:%M') as minute, quality, difficulty, question as generated_question, '' as reason, '' as description, '' as old_answer, '' as new_answer, input_tokens + output_tokens as total_tokens,
+  cast(0 as bigint) as qwen_passes, cast(0 as bigint) as gemini_passes, false as rhea_passed, case when json_valid(validation_errors) and json_type(validation_errors) = 'ARRAY' then array_to_string(from_json(validation_errors, '["varchar"]'), ';') else '' end as errors, '' as changed_fields, '' as old_values, '' as new_values
+from a where r <= 50
+union all select task_id, id, event_type, strftime(created_at, '%Y-%m-%d %H:%M'), coalesce(cast(json_extract_string(d, '$.quality') as double), 0), '', '', coalesce(json_extract_string(d, '$.reason'), ''), coalesce(json_extract_string(d, '$.description'), ''), coalesce(json_extract_string(d, '$.old_answer'), ''),
+  coalesce(json_extract_string(d, '$.new_answer'), ''), 0, coalesce(cast(json_extract_string(d, '$.qwen_passes') as bigint), 0), coalesce(cast(json_extract_string(d, '$.gemini_passes') as bigint), 0), coalesce(cast(json_extract_string(d, '$.rhea_passed') as boolean), false), '',
+  coalesce(array_to_string(from_json(json_extract(d, '$.changed_fields'), '["varchar"]'), ';'), ''), coalesce('answer=' || json_extract_string(d, '$.old_values.answer'), ''), coalesce('answer=' || json_extract_string(d, '$.new_values.answer') || ';question=' || json_extract_string(d, '$.new_values.question'), '')
+from e where r <= 50""", "attempts task_events")
+def task_histories(spark, sf_dir):
+    """All tasks; the lists and maps as text."""
+    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias(c)
+    h = Au.task_history(view(spark, sf_dir, "attempts"), view(spark, sf_dir, "task_events"))
+    return h.select("task_id", "id", "event_type", "minute", "quality", "difficulty", "generated_question", "reason", "description", "old_answer", "new_answer", "total_tokens", "qwen_passes", "gemini_passes", "rhea_passed", *(F.array_join(c, ";").alias(c) for c in ("errors", "changed_fields")), pairs("old_values"), pairs("new_values"))
+
+
+# each turn as a model might wrap it: plain, thought over first, after broken braces, as a number, not at all
+_TURN = "replace(replace(replace(substring(text, 1, 80), chr(92), ' '), chr(34), ' '), chr(10), ' ')"
+_RESPONSE = f"""case turn % 5 when 0 then 'Sure. ```json' || chr(10) || '{{"question": "' || {_TURN} || '", "answer": "' || role || '"}}```' when 1 then '<think>{{"question": "no", "answer": "no"}} ' || role || '</think> so {{"x": {{"question": "' || {_TURN} || '", "answer": "a }} b"}}}}'
+  when 2 then text || ' {{not json {{"broken": "{{' || '"question" {{"question": "' || {_TURN} || '", "answer": 12, "task_type": "spatial"}} ' || text when 3 then text else '{{"question": " ", "answer": 1}} {{"question": "' || {_TURN} || '", "answer": 0.5, "answer_format": "word"}}' end"""
+
+
+@query(f"""select conv_id, turn, case when turn % 5 = 3 then '' else {_TURN} end as question, case turn % 5 when 0 then role when 1 then 'a }} b' when 2 then '12' when 3 then '' else '0.5' end as answer,
+  case turn % 5 when 3 then '' when 4 then 'word' else 'number' end as answer_format, case turn % 5 when 2 then 'spatial' when 3 then '' else 'chart' end as task_type, case when turn % 5 = 1 then '{{"question": "no", "answer": "no"}} ' || role else '' end as reasoning, turn % 5 <> 3 as found
+from conversations""")
+def drafts_in_responses(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", parse_draft(F.expr(_RESPONSE)).alias("p")).select("conv_id", "turn", "p.*")
+
+
 # ---- transitions and state --------------------------------------------------------
 @query(f"with l as ({LATEST_SQL}) select id, difficulty, case when review_status = 'too_easy' then case difficulty when 'hardest' then 'challenging' when 'challenging' then 'easy' else difficulty end when review_status = 'too_hard' then case difficulty when 'easy' then 'challenging' when 'challenging' then 'hardest' else difficulty end else difficulty end as new_difficulty from tasks left join l on l.task_id = tasks.id", "tasks submission_logs")
 def verdict_shift(spark, sf_dir):

@@ -82,7 +82,9 @@ from orders""",
     "task_events": f"""
 select event_id as id, user_id as task_id, {_pick(["check_answer", "determinism_check", "issue_report", "update"], "event_id")} as event_type,
   case event_id % 4 when 0 then case when event_id % 8 = 0 then '{{"match": true, "vlm_answer": "12"}}' else '{{"match": false}}' end when 1 then case when event_id % 3 = 0 then '{{"deterministic": true}}' else '{{"runs": 3}}' end
-    when 2 then case event_id % 5 when 0 then '{{"reason": "too_easy", "description": "single_step lookup"}}' when 1 then '{{"reason": "unclear"}}' when 2 then 'broken json' else '{{"reason": "other", "description": "ocr_misread in panel"}}' end else '' end as details,
+    when 2 then case event_id % 5 when 0 then '{{"reason": "too_easy", "description": "single_step lookup"}}' when 1 then '{{"reason": "unclear"}}' when 2 then 'broken json' else '{{"reason": "other", "description": "ocr_misread in panel"}}' end
+    else case event_id % 7 when 0 then '' when 1 then '["no", "object"]' when 2 then '{{"gemini_passes":2,"qwen_passes":"1","rhea_passed":true}}'
+      else '{{"changed_fields":["question","answer"],"new_answer":"' || cast(event_id % 50 as varchar(20)) || '","new_values":{{"answer":' || cast(event_id % 50 as varchar(20)) || ',"question":"Why?"}},"old_answer":null,"old_values":{{"answer":"12"}},"quality":' || cast(event_id % 101 as varchar(20)) || '}}' end end as details,
   ts as created_at, value from events""",
     "issue_reports": f"select event_id as id, case when event_id % 9 = 0 then null else event_id - event_id % 7 end as generation_attempt_id, user_id as task_id, {_pick(['too_easy', 'wrong_answer', 'unclear', 'other', 'not_visual'], _div('event_id', 5))} as reason, {_pick(['', 'calculation_error seen', 'needs single_step only', 'text_only_question'], 'event_id')} as description from events where event_type = 'error'",
     "figures": f"""

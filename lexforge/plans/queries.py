@@ -815,10 +815,44 @@ def clean_library(spark, sf_dir):
     return Tr.clean_library(view(spark, sf_dir, "figures"), view(spark, sf_dir, "tasks")).select("id", "image_path")
 
 
-@query()
+_LIMIT_SQL = """with recursive h as (select user_id as key, event_id as id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events),
+walk as (
+  select key, n, id, [ts] as held, true as accepted from h where n = 1
+  union all
+  select key, n, id, case when len(live) <= 3 then list_append(live, ts) else live end, len(live) <= 3
+  from (select h.*, list_filter(w.held, lambda t: h.ts - t < interval 24 hour) as live from walk w join h on h.key = w.key and h.n = w.n + 1))
+select id, key, accepted from walk"""
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(_LIMIT_SQL)
 def rate_limit(spark, sf_dir):
-    hits = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
-    return St.rate_limit(hits, 24 * 3600, 3)
+    return St.rate_limit(_hits(spark, sf_dir), 24 * 3600, 3)
+
+
+@query(_LIMIT_SQL)
+def rate_limit_stream(spark, sf_dir):
+    """The same rows from a stream over the hits in files of mixed times, stopped and started again from its checkpoint."""
+    home = f"{run_folder(spark)}/limit-{uuid.uuid4().hex}"
+    hits = _hits(spark, sf_dir)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("key"), (F.lit(_AS_OF).cast("timestamp") + F.expr("interval 400 days")).alias("ts"))
+    for part in (hits.repartition(6, "id"), end):
+        part.write.mode("append").parquet(f"{home}/hits")
+        source = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/hits")
+        St.rate_limit_stream(source, 24 * 3600, 3, "400 days").writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(St.LIMITED).parquet(f"{home}/out")
+
+
+@query("""with r as (select user_id % 10 as worker_id, ts from events where event_type = 'error'),
+g as (select *, sum(cast(coalesce(ts - before > interval 1800 second, true) as int)) over (partition by worker_id order by ts rows unbounded preceding) as run from (select *, lag(ts) over (partition by worker_id order by ts) as before from r)),
+k as (select worker_id, run, count(*) as k from g group by all)
+select worker_id, cast(sum(k) as bigint) as n, max(k) as longest, max(k) >= 5 as looped from k group by worker_id""")
+def crash_loops(spark, sf_dir):
+    r = table(spark, sf_dir, "events").filter("event_type = 'error'").select((F.col("user_id") % 10).alias("worker_id"), "ts")
+    return St.crash_loops(r, 5, 1800)
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")

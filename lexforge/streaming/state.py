@@ -1,25 +1,33 @@
-"""Stateful variants over event logs: sliding rate limit, windowed counts, job states.
+"""Stateful variants over event logs: sliding rate limit, windowed counts, sessions, crash loops.
 
-The rate limit is exact, since a rejected hit is not stored: each key folds its hits in
-order with a list of the accepted times of the last window. The batch form groups by key
-and time island (a pause of a window's length forgets everything), so a key that holds
-most rows is split wherever it pauses; the stream form keeps the list as state.
+The rate limit is exact, since a rejected hit is not stored: hits are folded in order with
+a list of the accepted times of the last window. A pause of a window's length forgets
+everything, so the batch form folds each run of hits without one by itself: a key that
+holds most rows is as many tasks as it pauses, a run is one. The stream form keeps the list
+as state and goes by event time.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from lexforge.operators.ranks import runs
+
+from .queue import STORE
 
 WINDOW_S, MOST = 60, 120
+LIMITED = "id long, key long, accepted boolean"
 
 
-def accept(times: list[float], held: deque, window: float, most: int) -> list[bool]:
+def accept(times: list[int], held: deque, window: int, most: int) -> list[bool]:
     """Which hits are let through; `held` is the state before and after."""
     out = []
     for t in times:
@@ -33,35 +41,67 @@ def accept(times: list[float], held: deque, window: float, most: int) -> list[bo
 
 
 def rate_limit(hits: DataFrame, window_s: int = WINDOW_S, most: int = MOST) -> DataFrame:
-    """hits(id, key, ts) with `accepted`; ties in time go by id."""
-    w = Window.partitionBy("key").orderBy("ts", "id")
-    rows = hits.select("id", "key", F.col("ts").cast("timestamp").alias("ts"))
-    fresh = rows.withColumn("fresh", F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) >= window_s * 1_000_000, F.lit(True)).cast("int"))
-    island = fresh.withColumn("island", F.sum("fresh").over(w))
+    """hits(id, key, ts) with `accepted`; ties in time go by id, hits without a key are one key."""
+    window = window_s * 1_000_000
+    rows = hits.select(F.col("id").cast("long").alias("id"), F.col("key").cast("long").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    paused = lambda before, row: ~before["key"].eqNullSafe(row["key"]) | (row["us"] - before["us"] >= window)
+    islands = runs(rows, [F.col("key"), F.col("us"), F.col("id")], paused, "island")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        times = rows["ts"].astype("int64") / {"ns": 1e9, "us": 1e6}[rows["ts"].dt.unit]
-        return rows.assign(accepted=accept(times.tolist(), deque(), window_s, most))[["id", "key", "accepted"]]
+        rows = rows.sort_values(["us", "id"])
+        return rows.assign(accepted=accept(rows["us"].tolist(), deque(), window, most))[["id", "key", "accepted"]]
 
-    return island.groupBy("key", "island").applyInPandas(fold, "id long, key long, accepted boolean")
+    return islands.groupBy("island").applyInPandas(fold, LIMITED)
 
 
-def rate_limit_stream(hits: DataFrame, window_s: int = WINDOW_S, most: int = MOST) -> DataFrame:
-    """The same over a stream of hits(id, key, ts) in event time; a silent key's state is dropped."""
+class Limiter(StatefulProcessor):
+    """Hits wait until the watermark passes them, are judged in order, and are forgotten a window later."""
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(frames).sort_values(["ts", "id"])
-        times = [t.timestamp() for t in rows["ts"]]
-        yield rows.assign(key=key[0], accepted=accept(times, held, window_s, most))[["id", "key", "accepted"]]
-        state.update((list(held),))
-        state.setTimeoutDuration(2 * window_s * 1000)
+    def __init__(self, window_us: int, most: int) -> None:
+        self.window, self.most = window_us, most
 
-    return hits.groupBy("key").applyInPandasWithState(fold, "id long, key long, accepted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "us long")
+        self.waiting = handle.getListState("waiting", "us long, id long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["id"].tolist(), strict=True)))
+            self.handle.registerTimer(-(-int(frame["us"].min()) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in waiting if r[0] <= now]
+        left = waiting[len(due) :]
+        held = deque(r[0] for r in self.held.get())
+        judged = accept([t for t, _ in due], held, self.window, self.most)
+        while held and now - held[0] >= self.window:  # later hits are later than the watermark
+            held.popleft()
+        for state, rows in ((self.held, [(t,) for t in held]), (self.waiting, left)):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        if left:
+            self.handle.registerTimer(-(-left[0][0] // 1000))
+        if held:
+            self.handle.registerTimer(-(-(held[-1] + self.window) // 1000))
+        if due:
+            yield pd.DataFrame({"id": [i for _, i in due], "key": key[0], "accepted": judged})
+
+
+def rate_limit_stream(hits: DataFrame, window_s: int = WINDOW_S, most: int = MOST, late: str = "1 minute") -> DataFrame:
+    """The same over a stream of hits(id, key, ts), each once its time is passed by the watermark; hits later than `late` are dropped.
+
+    Sets the session's state store to the one that keeps timers.
+    """
+    hits.sparkSession.conf.set(*STORE)
+    rows = hits.select(F.col("id").cast("long"), F.col("key").cast("long"), F.col("ts").cast("timestamp"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    keyed = rows.withWatermark("ts", late).groupBy("key")
+    return keyed.transformWithStateInPandas(statefulProcessor=Limiter(window_s * 1_000_000, most), outputStructType=T._parse_datatype_string(LIMITED), outputMode="append", timeMode="eventTime")
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -77,15 +117,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def crash_loops(restarts: DataFrame, most: int = 5, window_s: int = 300) -> DataFrame:
-    """Workers with `most` restarts in one window that starts at the first restart after the window before."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        start, n, looped = None, 0, False
-        for t in rows["ts"].sort_values():
-            if start is None or (t - start).total_seconds() >= window_s:
-                start, n = t, 0
-            n += 1
-            looped = looped or n >= most
-        return pd.DataFrame({"worker_id": [rows["worker_id"].iloc[0]], "looped": [looped]})
-
-    return restarts.select("worker_id", F.col("ts").cast("timestamp").alias("ts")).groupBy("worker_id").applyInPandas(fold, "worker_id long, looped boolean")
+    """Of restarts(worker_id, ts): each worker's `n` restarts, the longest run without a pause of over `window_s`, and whether that is `most` or more."""
+    rows = restarts.select("worker_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    paused = lambda before, row: ~before["worker_id"].eqNullSafe(row["worker_id"]) | (row["us"] - before["us"] > window_s * 1_000_000)
+    sized = runs(rows, [F.col("worker_id"), F.col("us")], paused).groupBy("worker_id", "run").agg(F.count("*").alias("k"))
+    return sized.groupBy("worker_id").agg(F.sum("k").alias("n"), F.max("k").alias("longest"), (F.max("k") >= most).alias("looped"))

@@ -107,20 +107,6 @@ def test_rate_limit(spark):
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True, 8: True, 9: True, 100: True}
 
 
-def test_streams(spark, tmp_path):
-    spark.createDataFrame(hits(), "id long, key long, ts timestamp").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("id long, key long, ts timestamp").parquet(f"{tmp_path}/in")
-    q = state.rate_limit_stream(stream, 60, 2).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r.id for r in spark.table("limited").filter("not accepted").collect()} == {3, 4}
-    events = stream.withColumn("event_type", F.lit("view"))
-    q = state.windowed_counts(events, "1 minute").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sum(r.n for r in spark.table("counted").collect()) == len(hits())
-    loops = spark.createDataFrame([(1, t) for *_, t in hits()] + [(2, hits()[0][2])], "worker_id long, ts timestamp")
-    assert {r.worker_id: r.looped for r in state.crash_loops(loops).collect()} == {1: True, 2: False}
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"ts": "1", "ok": true, "elapsed_s": 1.25}\n\nnot json\n{"ts": "2"}\n')
     assert io.read_jsonl(spark, f"file://{tmp_path}/a.jsonl").count() == 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexforge.operators import ranks, relational
 from lexforge.streaming import queue as Q
+from lexforge.streaming import state
 
 START = datetime(2024, 3, 1)
 LOG = "job_id long, id long, status string, max_attempts long, ts timestamp"
@@ -157,3 +158,80 @@ def test_places_of_nothing_and_of_equal_rows(spark):
     assert ranks.placed(spark.createDataFrame([], "a long"), [F.col("a")]).count() == 0
     same = spark.createDataFrame([(1, "x")] * 5 + [(0, None)], "part long, place string")
     assert sorted((r.part, r.n) for r in ranks.placed(same, [F.col("part")], "n").collect()) == [(0, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6)]
+
+
+# ---- rate limit, windows, crash loops ----------------------------------------------
+def limited(rows, window, most):
+    """rows of (id, key, second)."""
+    out, held = {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        live = [x for x in held.get(k, []) if t - x < window]
+        out[i] = len(live) <= most
+        held[k] = live + [t] * out[i]
+    return out
+
+
+def hit_rows(seed, n=300):
+    rng = random.Random(seed)
+    return [(i, 0 if rng.random() < 0.5 else rng.choice([1, 2, 3]), rng.choice([rng.randrange(3000), rng.randrange(40), 2000])) for i in range(n)]
+
+
+def hits_of(spark, rows):
+    return spark.createDataFrame([(i, k, at(t)) for i, k, t in rows], "id long, key long, ts timestamp")
+
+
+@pytest.mark.parametrize("window,most", [(60, 2), (7, 0), (500, 9)])
+def test_rate_limit_by_runs(spark, window, most):
+    for rows in (hit_rows(window), [(i, 7, i % 100) for i in range(200)], []):
+        got = {r.id: r.accepted for r in state.rate_limit(hits_of(spark, rows), window, most).collect()}
+        assert got == limited(rows, window, most)
+
+
+def limit_run(spark, home, window, most, late):
+    source = spark.readStream.schema("id long, key long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{home}/hits")
+    state.rate_limit_stream(source, window, most, late).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/cp").trigger(availableNow=True).start().awaitTermination()
+    return {r.id: r.accepted for r in spark.read.schema(state.LIMITED).parquet(f"{home}/out").collect()}
+
+
+def test_rate_limit_stream(spark, tmp_path):
+    """Shuffled micro-batches, a restart, and a stall longer than two windows of the clock before hits that are close in event time."""
+    home, rows = f"file://{tmp_path}", hit_rows(8)
+    random.Random(1).shuffle(rows)
+    for part in (rows[:150], rows[150:]):
+        hits_of(spark, part).coalesce(1).write.mode("append").parquet(f"{home}/hits")
+        assert limit_run(spark, home, 60, 2, "4000 seconds") == {}
+    hits_of(spark, [(9999, 9, 9000)]).coalesce(1).write.mode("append").parquet(f"{home}/hits")
+    assert limit_run(spark, home, 60, 2, "4000 seconds") == limited(rows, 60, 2)
+
+
+def test_rate_limit_stream_keeps_what_a_later_batch_needs(spark, tmp_path):
+    home = f"file://{tmp_path}"
+    steps = [[(1, 1, 0), (2, 1, 0)], [(3, 2, 30)], [(4, 1, 40), (5, 1, 65), (6, 1, 66)], [(7, 3, 500)]]
+    for part in steps:
+        hits_of(spark, part).coalesce(1).write.mode("append").parquet(f"{home}/hits")
+        got = limit_run(spark, home, 60, 1, "1 second")
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True, 6: True}
+
+
+def test_windowed_counts_stream(spark, tmp_path):
+    rows = hit_rows(2)
+    hits_of(spark, rows).write.parquet(f"file://{tmp_path}/in")
+    events = spark.readStream.schema("id long, key long, ts timestamp").parquet(f"file://{tmp_path}/in").withColumn("event_type", F.lit("view"))
+    q = state.windowed_counts(events, "1 minute").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.start: r.n for r in spark.table("counted").collect()} == {at(60 * m): sum(t // 60 == m for *_, t in rows) for m in {t // 60 for *_, t in rows}}
+
+
+def test_crash_loops(spark):
+    rng = random.Random(3)
+    rows = [(0 if rng.random() < 0.5 else rng.randrange(6), rng.randrange(4000)) for _ in range(120)] + [(9, 5)] + [(8, 60 * i) for i in range(4)]
+    want = {}
+    for w in {w for w, _ in rows}:
+        times, best, run, last = sorted(t for v, t in rows if v == w), 0, 0, None
+        for t in times:
+            run = 1 if last is None or t - last > 60 else run + 1
+            best, last = max(best, run), t
+        want[w] = (len(times), best, best >= 5)
+    got = state.crash_loops(spark.createDataFrame([(w, at(t)) for w, t in rows], "worker_id long, ts timestamp"), 5, 60)
+    assert {r.worker_id: (r.n, r.longest, r.looped) for r in got.collect()} == want
+    assert state.crash_loops(spark.createDataFrame([], "worker_id long, ts timestamp")).count() == 0

@@ -61,3 +61,11 @@ def runs(df: DataFrame, order: list[Column], begins: Callable[[Column, Column],
     fresh = (F.col("prior").isNull() | F.coalesce(begins(F.col("prior"), F.col("row")), F.lit(False))).cast("long")
     flagged = stored(seen.select("row", "part", "at", fresh.alias("fresh")), "runs")
     return flagged.join(_before(flagged, F.sum("fresh")), "part").select("row.*", (F.col("before") + F.sum("fresh").over(w)).alias(run))
+
+
+def tallied(df: DataFrame, order: list[Column], value: str, out: str, parts: int | None = None) -> DataFrame:
+    """df with `out` (long): the sum of column `value` over the rows up to and with each, in `order`."""
+    held = _ranges(df, order, parts)
+    own = F.sum(f"row.{value}")
+    w = Window.partitionBy("part").orderBy("at")  # a range each
+    return held.join(_before(held, own), "part").select("row.*", (F.col("before") + own.over(w)).cast("long").alias(out))

@@ -129,3 +129,46 @@ def few_shot(attempts: DataFrame, issues: DataFrame, figure_type: str, difficult
         order += [F.col("rhea_passed").desc(), F.col("qwen_passes"), F.col("gemini_passes").desc()]
     order.append(F.col("id"))
     return distinct_first(rows.orderBy(*order).limit(2 * limit), "question", order, limit)
+
+
+def few_shot_all(attempts: DataFrame, issues: DataFrame, profiles: DataFrame, limit: int = 2) -> DataFrame:
+    """`few_shot` for every row of profiles(id, figure_type, difficulty, complexity): (id, rank, attempt_id, question).
+
+    An empty type or difficulty stands for any, as a candidate of its own group; null is
+    empty. In a group only the first 2 * limit candidates of one complexity can be wanted,
+    so they become one node; nodes and profiles are counted through in order of complexity,
+    which tells each profile how many nodes stand before it. It meets the 2 * limit nodes
+    on either side by their numbers, whatever their distance, and no others. A profile
+    without a complexity takes its group's best by quality. Equal profiles are one.
+    """
+    from .ranks import tallied
+    from .relational import latest, without
+
+    most = 2 * limit
+    good = without(attempts.filter("success and validation_is_valid and quality >= 80 and question <> ''"), issues, "id", "generation_attempt_id")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    any_of = lambda c: F.array_distinct(F.array(text(c), F.lit("")))
+    c = F.col("complexity_score").cast("double")
+    groups = good.select(F.col("id").alias("attempt_id"), "question", "quality", c.alias("at"), F.coalesce("rhea_passed", F.lit(0)).cast("int").alias("rhea"), "qwen_passes", "gemini_passes", F.explode(any_of("figure_type")).alias("kind"), "difficulty")
+    groups = groups.withColumn("level", F.explode(any_of("difficulty"))).drop("difficulty")
+    hard = F.col("level") == "hardest"
+    # what decides between candidates of one distance: smaller is better
+    tail = F.struct(F.when(hard, 0).otherwise(-F.col("rhea")).alias("a"), F.col("qwen_passes").alias("b"), F.when(hard, F.col("gemini_passes")).otherwise(-F.col("gemini_passes")).alias("c"), F.col("attempt_id").alias("d"))
+    groups = groups.withColumn("tail", tail)
+    asked = profiles.select("id", text("figure_type").alias("kind"), text("difficulty").alias("level"), F.coalesce(F.col("complexity").cast("double"), F.lit(0.0)).alias("x"))
+    distinct = asked.select("kind", "level", "x").distinct()
+
+    each = latest(groups.filter("at is not null"), ["kind", "level", "at"], [F.col("tail")], most)
+    nodes = each.groupBy("kind", "level", "at").agg(F.collect_list(F.struct("tail", "attempt_id", "question")).alias("rows"))  # 2 * limit rows
+    both = nodes.select("kind", "level", F.col("at").alias("x"), F.lit(1).alias("node"), "rows").unionByName(distinct.filter("x > 0").withColumn("node", F.lit(0)), allowMissingColumns=True)
+    counted = tallied(both, [F.col("kind"), F.col("level"), F.col("x"), F.col("node").desc()], "node", "n")
+    near = counted.filter("node = 0").select("kind", "level", "x", F.explode(F.sequence(F.col("n") - most + 1, F.col("n") + most)).alias("n"))
+    held = counted.filter("node = 1").select("n", F.col("kind").alias("k"), F.col("level").alias("l"), F.col("x").alias("at"), "rows")
+    met = near.join(held, "n").filter("kind = k and level = l").select("kind", "level", "x", F.abs(F.col("at") - F.col("x")).alias("far"), F.explode("rows").alias("r")).select("kind", "level", "x", "far", "r.*")
+
+    best = latest(groups.withColumn("far", -F.col("quality")), ["kind", "level"], [F.col("far"), F.col("tail")], most)
+    flat = distinct.filter("x <= 0").join(best, ["kind", "level"]).select("kind", "level", "x", "far", "tail", "attempt_id", "question")
+    first = latest(met.union(flat).withColumn("far", F.struct("far", "tail")), ["kind", "level", "x"], [F.col("far")], most).withColumnRenamed("rank", "place")
+    once = latest(first.withColumn("said", F.lower(F.trim("question"))), ["kind", "level", "x", "said"], [F.col("place")]).drop("rank")
+    chosen = latest(once, ["kind", "level", "x"], [F.col("place")], limit)
+    return asked.join(chosen, ["kind", "level", "x"]).select("id", F.col("rank").cast("long").alias("rank"), "attempt_id", "question")

@@ -516,6 +516,19 @@ def few_shot(spark, sf_dir):
     return S.few_shot(view(spark, sf_dir, "attempts"), view(spark, sf_dir, "issue_reports"), "", "", 0.5, 5).select("id", "question")
 
 
+@query("""with g as (select * from attempts where success and validation_is_valid and quality >= 80 and question <> '' and id not in (select generation_attempt_id from issue_reports where generation_attempt_id is not null)),
+p as (select id, figure_type, difficulty, (id % 97) / 96.0 as x from tasks),
+d as (select distinct figure_type, difficulty, x from p),
+o as (select d.*, g.id as attempt_id, g.question, row_number() over (partition by d.figure_type, d.difficulty, d.x order by case when d.x > 0 then abs(g.complexity_score - d.x) else -g.quality end, case when d.difficulty = 'hardest' then 0 else -g.rhea_passed end, g.qwen_passes, case when d.difficulty = 'hardest' then g.gemini_passes else -g.gemini_passes end, g.id) as k
+  from d join g on (d.figure_type = '' or d.figure_type = g.figure_type) and (d.difficulty = '' or d.difficulty = g.difficulty) qualify k <= 4),
+u as (select * from o qualify row_number() over (partition by figure_type, difficulty, x, lower(trim(question)) order by k) = 1),
+r as (select *, row_number() over (partition by figure_type, difficulty, x order by k) as rank from u qualify rank <= 2)
+select p.id, rank, attempt_id, question from p join r using (figure_type, difficulty, x)""", "attempts issue_reports tasks")
+def few_shot_all(spark, sf_dir):
+    p = view(spark, sf_dir, "tasks").select("id", "figure_type", "difficulty", (F.col("id") % 97 / F.lit(96.0)).alias("complexity"))
+    return S.few_shot_all(view(spark, sf_dir, "attempts"), view(spark, sf_dir, "issue_reports"), p)
+
+
 @query("select d.doc_id, f.first from (select doc_id, sha256(text) as h from documents) d join (select sha256(text) as h, min(doc_id) as first from documents group by 1) f using (h) where d.doc_id > f.first")
 def exact_dups(spark, sf_dir):
     return Fig.exact_copies(table(spark, sf_dir, "documents"), "text", "doc_id")

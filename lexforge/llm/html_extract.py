@@ -4,11 +4,15 @@ A page becomes a tree of elements. Every paragraph gives points to its ancestors
 for being there, one for each comma and up to three for its length, whole to the parent,
 half to the next ancestor and a third of that onwards; a container's points are then
 discounted by the share of its text that stands in links. The container with the most
-points is kept with those siblings that look like parts of the same article. Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+points is kept with its siblings and those of its ancestors: titles, leads, sections,
+lists, tables and captions in page order, all but what is mostly links, and short bare
+elements at the ends that hold no paragraph. An article or main element is kept as it is.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are left out wherever they stand, by element, role, class or id; a class or id alone
 does not remove an element that holds most of the text (a wrapper named after its layout),
-nor does a form that holds it, nor the class of an article's own title block. A malformed
+nor does a form that holds it, nor the class of an article's own title block, nor, inside an
+article, that of a single paragraph unless it names an advert. An article's own header is
+part of it. A malformed
 declaration is read over; a comment that never ends goes to the end of the page.
 
 Text: character references are decoded, white space inside a block is one space, blocks
@@ -55,8 +59,15 @@ FAVOURED = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 CUT_OFF = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 #: A numeric reference of more digits than int() takes.
 LONG_NUMBER = re.compile(r"&#(\d{20,});?")
-PROSE_END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*\Z")
+#: Class names that remove a single paragraph inside an article too.
+ADVERT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|promo\w*|sponsor\w*|newsletter|subscribe|signup|cookie\w*|consent|gdpr|share|sharing)(?=$|[\s_-])", re.I)
 PARAGRAPH = {"p", "pre", "td", "blockquote", "h1", "h2", "h3", "li", "dd"}
+#: What shows that an element holds text to be read, whatever its length.
+PROSE = PARAGRAPH | {"h4", "h5", "h6", "dt", "th", "figcaption", "caption", "summary", "address"}
+#: What is a menu within the container where it holds nothing but links.
+LISTS = {"ul", "ol", "dl", "div", "section", "table"}
+#: Share of its text in links from which a sibling is a menu.
+MENU_SHARE = 0.5
 
 
 class Node:
@@ -109,14 +120,15 @@ class TreeBuilder(HTMLParser):
             self._implied_end({"p"})
         if tag in CLOSES:
             self._implied_end(CLOSES[tag])
-        chrome, favour = tag in DROPPED, tag in ("article", "main")
+        inside = bool(self.depth.get("article") or self.depth.get("main"))
+        chrome, favour = tag in DROPPED and not (tag == "header" and inside), tag in ("article", "main")
         # a form may wrap the whole page, so it is judged by what it holds, as layout names are
         named = 1 if tag == "form" else 0
         for name, value in attrs:
             if not value:
                 chrome = chrome or name == "hidden"
             elif name in ("class", "id"):
-                if tag not in ("html", "body", "article", "main"):
+                if tag not in ("html", "body", "article", "main") and (not inside or tag not in PROSE or ADVERT.search(value)):
                     named = max([named, *(1 if LAYOUT.fullmatch(m.strip(" \t\r\n_-")) else 2 for m in CHROME.findall(TITLE_BLOCK.sub(" ", value)))])
                 favour = favour or bool(FAVOURED.search(value))
             elif name == "role":
@@ -208,11 +220,6 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
-def ends_as_prose(node: Node) -> bool:
-    """Does a paragraph in here end as sentences do?"""
-    return any(x.tag in PARAGRAPH and PROSE_END.search(text_of([x])) for x in _in_order(node))
-
-
 def best_containers(root: Node) -> list[Node]:
     """The container with the most points, with siblings that belong to it, in page order."""
     nodes = _in_order(root)
@@ -248,19 +255,39 @@ def best_containers(root: Node) -> list[Node]:
             best, most = node, value
     if best is None:  # too little text for a paragraph: the page's article, else all of it
         return [next((n for n in nodes if n.tag in ("article", "main")), root)]
-    if best.parent is None or best.tag in ("article", "main", "body", "html"):
-        return [best]
-    out = []
-    for x in best.parent.children:
-        if isinstance(x, str) or x.chrome:
-            continue
-        density = x.link_chars / max(x.chars, 1)
-        part = x is best or x.score * (1 - density) >= max(10, 0.2 * most)
-        part = part or (x.tag in ("div", "section") and density < 0.25 and ends_as_prose(x))
-        part = part or (x.tag in ("p", "blockquote", "pre", "h1", "h2") and x.chars > 0 and density < 0.25 and (x.chars > 80 or x.tag in ("h1", "h2")))
-        if part:
-            out.append(x)
-    return out
+    return [with_siblings(best)]
+
+
+def belongs(x: Node) -> bool:
+    """Is an element beside the container one to be read: a paragraph, a heading, or holding one or enough text, and no menu?"""
+    if not x.chars or x.link_chars >= MENU_SHARE * x.chars:
+        return False
+    return x.tag in PROSE or x.chars >= 25 or any(n.tag in PROSE and n.chars for n in _in_order(x))
+
+
+def cut_down(up: Node, node: Node | None) -> None:
+    """Keep of an element's children the node and what belongs beside it, and all between the first and the last of these but menus."""
+    part = [isinstance(x, str) or x is node or (not x.chrome and belongs(x)) for x in up.children]
+    if not any(part):
+        return
+    first, last = part.index(True), len(part) - part[::-1].index(True) - 1
+    for i, x in enumerate(up.children):
+        if not part[i] and not x.chrome:
+            part[i] = (first < i < last or x.tag not in BLOCK) and x.link_chars < max(1, MENU_SHARE * x.chars)
+    up.children = [x for x, ok in zip(up.children, part, strict=True) if ok]
+
+
+def with_siblings(best: Node) -> Node:
+    """The container's topmost ancestor, cut down at each level; an article or main element is all of it, and so is a page that is no more than the container."""
+    node = best
+    if node.tag in ("body", "html"):
+        cut_down(node, None)
+    elif node.tag not in ("article", "main"):
+        node.children = [x for x in node.children if isinstance(x, str) or x.tag not in LISTS or not x.chars or x.link_chars < 0.9 * x.chars]
+    while node.parent is not None and node.tag not in ("article", "main", "body", "html"):
+        cut_down(node.parent, node)
+        node = node.parent
+    return node
 
 
 def text_of(nodes: list[Node]) -> str:

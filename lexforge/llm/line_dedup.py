@@ -117,9 +117,10 @@ def _within_one() -> Column:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with text rewritten without the dropped lines, and n_lines and n_dropped appended."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(F.expr(BASE.format(text="coalesce(cast(text as string), '')")).cast("decimal(38,0)").alias("__base"), *names)
-    place = (F.col("__base") + F.col("place")).cast("decimal(38,0)")
-    lines = keyed.select("__base", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.col("line").rlike(INK)).select(place.alias("pos"), "line")
+    # the caller's columns stand in one struct, so that no name of theirs meets one of ours
+    keyed = docs.select(F.expr(BASE.format(text="coalesce(cast(text as string), '')")).cast("decimal(38,0)").alias("base"), F.struct(*names).alias("row"))
+    place = (F.col("base") + F.col("place")).cast("decimal(38,0)")
+    lines = keyed.select("base", F.posexplode(F.split("row.text", "\n")).alias("place", "line")).filter(F.col("line").rlike(INK)).select(place.alias("pos"), "line")
     size = F.length("line")
     halves = [f"h{k}" for k in range(4)]
     seen = stored(lines.select("pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(17), "line").alias("b"), *(h.alias(n) for h, n in zip(_halves(F.col("line"), size), halves, strict=True))), "lines")
@@ -138,14 +139,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     firsts = distinct.join(edited, "pos", "left").filter("n > 1 or edited").select("a", "b", F.col("pos").alias("first"), "edited")
     masks = seen.join(firsts, ["a", "b"]).filter("edited or pos > first").select("pos", F.expr("cast(pos % 2147483648BD as int)").alias("place"))
-    masks = masks.select((F.col("pos") - F.col("place")).cast("decimal(38,0)").alias("__base"), "place")
-    masks = masks.groupBy("__base", F.expr("place div 63").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 63))").alias("mask"))
+    masks = masks.select((F.col("pos") - F.col("place")).cast("decimal(38,0)").alias("base"), "place")
+    masks = masks.groupBy("base", F.expr("place div 63").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 63))").alias("mask"))
     # a document's own lines, 63 to a number, are all that is collected in a group
-    gone = masks.groupBy("__base").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("gone"), F.max("word").alias("most"), F.sum(F.bit_count("mask")).alias("n_dropped"))
+    gone = masks.groupBy("base").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("gone"), F.max("word").alias("most"), F.sum(F.bit_count("mask")).alias("n_dropped"))
     dense = F.transform(F.sequence(F.lit(0).cast("long"), F.col("most").cast("long")), lambda w: F.coalesce(F.try_element_at("gone", w), F.lit(0).cast("long")))
-    joined = keyed.join(gone.select("__base", "n_dropped", dense.alias("__gone")), "__base", "left").withColumn("__parts", F.split("text", "\n"))
-    bit = lambda i: F.coalesce(F.get("__gone", F.floor(i / 63).cast("int")).bitwiseAND(F.pow(F.lit(2.0), i % 63).cast("long")), F.lit(0))
-    kept = F.filter("__parts", lambda x, i: bit(i) == 0)
-    text = F.when(F.col("n_dropped") > 0, F.concat_ws("\n", kept)).otherwise(F.col("text"))
-    some = F.length(F.coalesce("text", F.lit(""))) > 0
-    return joined.select(*(text.alias(n) if n == "text" else F.col(n) for n in names), F.when(some, F.size("__parts")).otherwise(0).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    joined = keyed.join(gone.select("base", "n_dropped", dense.alias("gone")), "base", "left").withColumn("parts", F.split("row.text", "\n"))
+    bit = lambda i: F.coalesce(F.get("gone", F.floor(i / 63).cast("int")).bitwiseAND(F.pow(F.lit(2.0), i % 63).cast("long")), F.lit(0))
+    kept = F.filter("parts", lambda x, i: bit(i) == 0)
+    text = F.when(F.col("n_dropped") > 0, F.concat_ws("\n", kept)).otherwise(F.col("row.text"))
+    some = F.length(F.coalesce("row.text", F.lit(""))) > 0
+    return joined.select(*(text.alias(n) if n == "text" else F.col("row")[n].alias(n) for n in names), F.when(some, F.size("parts")).otherwise(0).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))

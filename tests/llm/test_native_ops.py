@@ -48,9 +48,11 @@ def test_line_dedup(spark, which):
     from lexforge.llm.line_dedup import line_dedup
 
     rows = line_rows() if which == "lines" else odd_rows() if which == "odd" else [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    df = spark.createDataFrame([(d, t, 5, "x") for d, t in rows], "doc_id long, text string, n_lines int, gone string").repartition(3)
+    names = ["gone", "base", "row", "parts", "place", "pos", "line", "__base", "__gone", "__parts"]
+    df = spark.createDataFrame([(d, t, 5, *names) for d, t in rows], "doc_id long, text string, n_lines int" + "".join(f", {n} string" for n in names)).repartition(3)
     got = line_dedup(df)
-    assert got.columns == ["doc_id", "text", "gone", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", *names, "n_lines", "n_dropped"]
+    assert got.select(*names).distinct().collect() == [tuple(names)]
     assert sorted((tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=key) == sorted(brute_lines(rows), key=key)
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -14,9 +14,11 @@
    Runs of words that are a whole item of fewer than `SHORT` words are found by hash.
 4. Around its candidate windows a text is compared with the item: the longest common
    subsequence of words, and how many of the item's answer words occur there. The answer
-   is the column `answer` if the benchmark has one, else the item's `KEY_WORDS` words of
-   greatest weight. A share of LEAK of the item in order, or of PARAPHRASE and
-   ANSWER of the answer words, is contamination.
+   is the column `answer` if the benchmark has one, else all words of the item by their
+   weights, as a paraphrase replaces heavy words too, but another text of the language
+   holds light ones only. A share of LEAK of the item in order is contamination, and so is
+   one of PARAPHRASE (more for items of fewer than FEW words) with ANSWER of a given
+   answer's words or WEIGHT of the item's.
 
 Items are a query set: `TABLES` blocks at a time meet all texts; nothing of the texts is
 collected but the counts (FEATURES numbers). Items with fewer than `SHORT` words count only when whole and in order: word
@@ -43,8 +45,10 @@ FEATURES = 8192
 #: Passages of a block, the most directions of its basis; blocks of a pass over the texts.
 PASSAGES, TABLES = 256, 8
 BLOCK, ITEM_PASSAGE = 16, 48
-SIMILAR, LEAK, PARAPHRASE, ANSWER = 0.3, 0.7, 0.45, 0.8
-KEY_WORDS, SHORT = 5, 8
+SIMILAR, LEAK, PARAPHRASE, ANSWER, WEIGHT = 0.3, 0.7, 0.45, 0.8, 0.45
+SHORT = 8
+#: Another text of the language holds more of a short item by chance, so each word below FEW adds SHORTER to PARAPHRASE; at SHORT words it is LEAK nearly.
+FEW, SHORTER = 24, 0.015
 SCHEMA = "doc_id long, item_id long, similarity double, common_share double, answer_share double, reason string"
 #: A slice is small here because a block of words gets a row of up to PASSAGES numbers.
 SLICE = 400_000
@@ -151,8 +155,8 @@ class Items:
                 own = w.hash[w.first[k] : w.first[k + 1]]
                 self.ids.append(rows[i + k].item_id)
                 self.words.append(own.tolist())
-                top = np.argsort(-idf[feature(own)], kind="stable")[:KEY_WORDS]
-                self.answers.append(set(own[top].tolist()))
+                self.answers.append(dict(zip(own.tolist(), idf[feature(own)].tolist(), strict=True)))
+        self.asked = [WEIGHT] * len(rows)
         self.queries = np.concatenate(self.queries).astype(np.float32) if rows else np.zeros((0, table.shape[1]), np.float32)
         self.of = np.concatenate(self.of) if rows else np.zeros(0, np.int64)
         self.own = np.concatenate(self.own).astype(np.float32) if rows else np.zeros(0, np.float32)
@@ -161,7 +165,8 @@ class Items:
                 w = tokens(data, offsets)
                 for k in range(j - i):
                     own = set(w.hash[w.first[k] : w.first[k + 1]].tolist())
-                    self.answers[i + k] = own or self.answers[i + k]
+                    if own:
+                        self.answers[i + k], self.asked[i + k] = dict.fromkeys(own, 1.0), ANSWER
         self.bits = []
         for own in self.words:
             masks: dict[int, int] = {}
@@ -187,16 +192,17 @@ class Items:
         return len(self.words[item]) - row.bit_count()
 
     def judge(self, item: int, text: list[int]) -> tuple[float, float, str | None]:
-        """(share of the item in order, share of its answer words, verdict)."""
+        """(share of the item in order, share of its answer words or weight, verdict)."""
         n = len(self.words[item])
         share = self.common(item, text) / n
         answer = self.answers[item]
-        found = len(answer.intersection(text)) / len(answer)
+        found = sum(answer[x] for x in answer.keys() & set(text)) / sum(answer.values())
         if n < SHORT:
             return share, found, "leak" if share == 1 else None
         if share >= LEAK:
             return share, found, "leak"
-        return share, found, "paraphrase" if share >= PARAPHRASE and found >= ANSWER else None
+        need = PARAPHRASE + SHORTER * max(0, FEW - n)
+        return share, found, "paraphrase" if share >= need and found >= self.asked[item] else None
 
 
 def candidates(w: tx.Words, idf: np.ndarray, table: np.ndarray, queries: np.ndarray, own: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -116,3 +116,31 @@ def test_short_items_in_long_texts(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.common_share, r.reason) for r in contaminated(docs, bench).collect() if r.doc_id not in range(100, 140)}
     assert got == {(d, k, 1.0, "leak") for d, (k, _) in at.items()}
+
+
+@pytest.mark.parametrize("replaced,least", [(0.2, 0.95), (0.35, 0.9), (0.5, 0.6)])
+def test_recall_of_paraphrases(spark, replaced, least):
+    """Items with words replaced at random, inside long texts of the corpus; and the same texts without them."""
+    import random
+
+    from lexforge.llm.decontaminate import contaminated
+
+    docs, bench = (spark.read.parquet(f"{SMALL}/../sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    rng = random.Random(int(100 * replaced))
+    hosts = [r.text for r in docs.collect() if len(r.text or "") > 2000]
+    known = {r.doc_id for r in contaminated(docs, bench).collect()}
+    hosts = [r.text for r in docs.collect() if len(r.text or "") > 2000 and r.doc_id not in known]
+    vocabulary = [w for h in hosts for w in h.split()]
+    rows = []
+    for n, item in enumerate(bench.orderBy("item_id").collect()):
+        for again in range(3):
+            words = [w if rng.random() >= replaced else rng.choice(vocabulary) for w in item.text.split()]
+            host = hosts[(3 * n + again) % len(hosts)].split()
+            at = rng.randrange(len(host))
+            rows.append((10**6 + len(rows), " ".join(host[:at] + words + host[at:]), item.item_id))
+    mixed = docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in contaminated(mixed, bench).filter("doc_id >= 1000000").collect()}
+    want = {(d, i) for d, _, i in rows}
+    print(replaced, len(got & want) / len(want), len(got - want))
+    assert len(got & want) >= least * len(want)
+    assert len(got - want) <= 0.02 * len(want)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.sources.vectors import Collection
 
 #: Synonyms of search terms, and category keywords of domains.
 SYNONYMS = {
@@ -116,6 +117,30 @@ def context(candidates: DataFrame, query: str, k: int) -> DataFrame:
     return top.select(F.array_join(F.transform("rows", lambda r: F.concat(F.lit("- "), r["content"])), "\n").alias("context"), F.array_join(F.transform("rows", lambda r: r["id"].cast("string")), ",").alias("sources"))
 
 
+def contexts(questions: DataFrame, cache: DataFrame, documents: Collection, as_of: Column, k: int = 5, least: float = 0.95, ttl_s: int = 3600, exact: bool = False) -> DataFrame:
+    """What a generator is told for each of questions(query_id, q, text, kind): (query_id, from_cache, context, sources).
+
+    cache holds (cache_id, owner, embedding, created_at, context): a context of the
+    question's owner (its own column `owner`) that is near and young enough answers it, the
+    nearest one. The others take the 2 * k nearest of the stored documents, those of their
+    kind where they name one, and of these the k that hold most of the question's words, as
+    bullets, with their ids as sources. A question without documents has an empty context.
+    """
+    age = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))
+    young = cache.filter(age < ttl_s).select("cache_id", "owner", "embedding", F.col("context").alias("held"))
+    near = questions.select("query_id", "q", "owner").join(young, "owner").withColumn("near", cosine(F.col("embedding"), F.col("q"))).filter(F.col("near") >= least)
+    hits = near.groupBy("query_id").agg(F.max_by("held", F.struct("near", -F.col("cache_id"))).alias("held"))
+    missed = questions.join(hits.select("query_id"), "query_id", "left_anti")
+    found = documents.search(missed, 2 * k, exact=exact, same="kind").join(documents.rows().select("id", "content"), "id").join(missed.select("query_id", "text"), "query_id")
+    first = F.struct((-T.keyword_overlap(F.coalesce("text", F.lit("")), F.coalesce("content", F.lit("")))).alias("overlap"), "id").alias("o")
+    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(first, "id", "content"))), 1, k).alias("rows"))  # 2 * k rows
+    told = F.concat(F.lit("Retrieved context:\n"), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("- "), F.coalesce(r["content"], F.lit("")))), "\n"))
+    missing = ranked.select("query_id", told.alias("told"), F.array_join(F.transform("rows", lambda r: r["id"].cast("string")), ",").alias("sources"))
+    joined = questions.select("query_id").join(hits, "query_id", "left").join(missing, "query_id", "left")
+    cached = F.col("held").isNotNull()
+    return joined.select("query_id", cached.alias("from_cache"), F.coalesce("held", "told", F.lit("")).alias("context"), F.when(cached, "cache").otherwise(F.coalesce("sources", F.lit(""))).alias("sources"))
+
+
 def few_shot(attempts: DataFrame, issues: DataFrame, figure_type: str, difficulty: str, complexity: float, limit: int = 2) -> DataFrame:
     """Good attempts without reported issues, nearest in complexity first, then by the profile asked for; equal questions once."""
     from .relational import distinct_first, filtered, without

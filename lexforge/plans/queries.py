@@ -20,6 +20,7 @@ from lexforge.operators import figures as Fig
 from lexforge.operators import relational as Rel
 from lexforge.operators import search as S
 from lexforge.operators import transitions as Tr
+from lexforge.sources import vectors as Vec
 from lexforge.sources.domain import table, view, view_sql
 from lexforge.storage import run_folder
 from lexforge.streaming import queue as Qu
@@ -490,6 +491,42 @@ def vector_topk(spark, sf_dir):
     return S.vector_topk(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
+@query(f"""with v as (select vec_id, embedding from embeddings where vec_id % 11 <> 3 union all select vec_id, list_transform(embedding, x -> -x) from embeddings where vec_id % 11 = 3 and vec_id % 2 = 0),
+n as (select q.vec_id as query_id, v.vec_id as id, {_COS} as score, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as rank from v, embeddings q where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id)
+select query_id, id, {half('score', 4)} as score, cast(rank as int) as rank from n where rank <= 5""")
+def stored_vectors(spark, sf_dir):
+    """All vectors stored, some turned round by a second write, some deleted by a third, and all lists searched."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("").alias("content"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), "embedding")
+    c = Vec.Collection(spark, f"{run_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    odd = v.filter("id % 11 = 3")
+    c.upsert(v)
+    c.upsert(odd.withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    c.delete(odd.filter("id % 2 = 1").select("id"))
+    c.compact()
+    return c.search(v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), exact=True)
+
+
+@query(f"""with d as (select e.vec_id as id, cast(e.label as varchar) as kind, e.embedding, coalesce(substring(t.text, 1, 200), '') as content from embeddings e left join documents t on t.doc_id = e.vec_id),
+q as (select *, case when id % 3 = 0 then '' else kind end as asked, id % 7 as owner from d where id % 50 = 0),
+c as (select id, id % 7 as owner, embedding, 'seen before ' || id as context from d where id % 100 = 0 and (id * 37) % 5000 < 3600),
+h as (select q.id as query_id, arg_max(c.context, (list_cosine_similarity(cast(c.embedding as double[]), cast(q.embedding as double[])), -c.id)) as held from q join c using (owner) where list_cosine_similarity(cast(c.embedding as double[]), cast(q.embedding as double[])) >= 0.95 group by q.id),
+n as (select q.id as query_id, q.content as text, d.id, d.content, list_cosine_similarity(cast(d.embedding as double[]), cast(q.embedding as double[])) as s from q join d on q.asked in ('', d.kind) and q.id <> d.id where q.id not in (select query_id from h)),
+m as (select *, row_number() over (partition by query_id order by s desc, id) as r from n qualify r <= 10),
+w as (select *, list_distinct(list_filter(string_split_regex(trim(lower(text)), '\\s+'), x -> x <> '')) as a, list_distinct(list_filter(string_split_regex(trim(lower(content)), '\\s+'), x -> x <> '')) as b from m),
+k as (select *, row_number() over (partition by query_id order by case when len(a) = 0 then 0 else len(list_intersect(a, b)) / len(a) end desc, id) as place from w qualify place <= 5),
+t as (select query_id, 'Retrieved context:' || chr(10) || string_agg('- ' || content, chr(10) order by place) as told, string_agg(cast(id as varchar), ',' order by place) as sources from k group by query_id)
+select q.id as query_id, held is not null as from_cache, coalesce(held, told, '') as context, case when held is not null then 'cache' else coalesce(sources, '') end as sources from q left join h on h.query_id = q.id left join t on t.query_id = q.id""")
+def contexts(spark, sf_dir):
+    """Every fiftieth vector asks with its document's words, in all lists; every hundredth has been asked before, some of them too long ago."""
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("content"))
+    d = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("kind"), "embedding").join(text, "id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    store = Vec.Collection(spark, f"{run_folder(spark)}/contexts-{uuid.uuid4().hex}")
+    store.upsert(d.withColumn("metadata", F.create_map(F.lit("kind"), "kind")))
+    asked = d.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("content").alias("text"), F.when(F.col("id") % 3 == 0, "").otherwise(F.col("kind")).alias("kind"), (F.col("id") % 7).alias("owner"))
+    cache = d.filter("id % 100 = 0").select(F.col("id").alias("cache_id"), (F.col("id") % 7).alias("owner"), "embedding", F.timestamp_seconds(10_000 - (F.col("id") * 37) % 5000).alias("created_at"), F.concat(F.lit("seen before "), "id").alias("context"))
+    return S.contexts(asked, cache, store, F.timestamp_seconds(F.lit(10_000)), exact=True)
+
+
 @query(f"with n as (select q.vec_id as query_id, v.vec_id, {_COS} as score, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as rank from embeddings v, embeddings q where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id) select query_id, arg_min(vec_id, rank) as vec_id, arg_min({half('score', 4)}, rank) as score from n where rank <= 3 and {half('score', 4)} >= 0.3 and (vec_id * 37) % 5000 < 3600 group by query_id")
 def semantic_cache(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").withColumn("created_at", F.timestamp_seconds(10_000 - (F.col("vec_id") * 37) % 5000))

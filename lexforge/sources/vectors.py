@@ -172,12 +172,13 @@ class Collection:
         """Write what is alive as one folder; readers of older manifests still find theirs."""
         self._write("rows", self.rows(), replace=True)
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, exact: bool = False, equal: dict[str, str] | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, exact: bool = False, equal: dict[str, str] | None = None, same: str | None = None) -> DataFrame:
         """The k nearest rows by cosine of each of queries(query_id, q), its own id left out: (query_id, id, score, rank).
 
         `probes` lists are searched for each query, as many as the fit found good by default;
-        `exact` searches all. `equal` filters by metadata before the ranking. Ties go to the
-        smaller id.
+        `exact` searches all. `equal` filters by metadata before the ranking; so does `same`
+        for each query by itself, to rows whose metadata of that name are the query's column
+        of that name, where that is not empty or null. Ties go to the smaller id.
         """
         centres, usual = self.lists()
         probes = len(centres) if exact else min(probes or usual, len(centres))
@@ -190,11 +191,14 @@ class Collection:
                 lists = np.argsort(-(unit(_matrix(b.column("q"))) @ centres.T), axis=1, kind="stable")[:, :probes] if b.num_rows else np.zeros((0, probes), int)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*b.schema.names, "lists"])
 
-        asked = queries.selectExpr("cast(query_id as long) as query_id", "cast(q as array<float>) as q").mapInArrow(near, "query_id long, q array<float>, lists array<int>").select("query_id", "q", F.explode("lists").alias("list"))
+        kind = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("kind")
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<float>").alias("q"), kind(F.col(same) if same else F.lit("")))
+        asked = asked.mapInArrow(near, "query_id long, q array<float>, kind string, lists array<int>").select("query_id", "q", "kind", F.explode("lists").alias("list"))
+        rows = rows.select("id", "embedding", "list", kind(F.try_element_at("metadata", F.lit(same)) if same else F.lit("")))
         # a block is a share of a list's rows with a share of its queries; one row a list, MOST_LISTS at most
         cut = lambda df, most, name: F.broadcast(df.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name)))
         shares, takes = cut(rows, BLOCK, "shares"), cut(asked, QUERIES, "takes")
-        left = rows.select("id", "embedding", "list").join(shares, "list").join(takes, "list").withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")).withColumn("take", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)))
+        left = rows.join(shares, "list").join(takes, "list").withColumn("share", F.pmod(F.xxhash64("id"), "shares").cast("int")).withColumn("take", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)))
         right = asked.join(shares, "list").join(takes, "list").withColumn("take", F.pmod(F.xxhash64("query_id"), "takes").cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         keys = ["list", "share", "take"]
 
@@ -205,10 +209,13 @@ class Collection:
             x, q = (np.stack(v).astype(np.float64) for v in (rows["embedding"], asked["q"]))
             score = unit(q) @ unit(x).T
             score[names[:, None] == ids[None, :]] = -np.inf
+            if same:
+                only = asked["kind"].to_numpy()[:, None]
+                score[(only != "") & (only != rows["kind"].to_numpy()[None, :])] = -np.inf
             order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
             out = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": ids[order].reshape(-1), "score": np.take_along_axis(score, order, 1).reshape(-1)})
             return out[np.isfinite(out["score"])]
 
-        met = left.select(*keys, "id", "embedding").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(best, "query_id long, id long, score double")
+        met = left.select(*keys, "id", "embedding", "kind").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q", "kind").groupBy(*keys)).applyInPandas(best, "query_id long, id long, score double")
         top = latest(met, ["query_id"], [F.col("score").desc(), F.col("id")], k)
         return top.select("query_id", "id", half_up(F.col("score"), 4).alias("score"), "rank")

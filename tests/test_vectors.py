@@ -65,3 +65,21 @@ def test_recall(spark, tmp_path):
     assert len(want) == 5 * asking.count() and len(got & want) >= 0.9 * len(want)
     sizes = [r["count"] for r in c.rows().groupBy("list").count().collect()]
     assert sum(sizes) == rows.count() and np.isfinite(centres).all()
+
+
+def test_each_query_filters_for_itself(spark, tmp_path):
+    c, rows = V.Collection(spark, f"file://{tmp_path}/c"), embedded(spark)
+    c.upsert(rows)
+    labels = {r.id: r.metadata["label"] for r in rows.collect()}
+    queries = asked(rows).withColumn("label", F.when(F.col("query_id") % 100 == 0, "").when(F.col("query_id") % 150 == 0, None).otherwise("1"))
+    got = c.search(queries, 4, exact=True, same="label").collect()
+    assert {labels[r.id] for r in got if r.query_id % 100 and r.query_id % 150} == {"1"}
+    free = {(r.query_id, r.id) for r in c.search(asked(rows), 4, exact=True).collect() if r.query_id % 100 == 0 or r.query_id % 150 == 0}
+    assert {(r.query_id, r.id) for r in got if r.query_id % 100 == 0 or r.query_id % 150 == 0} == free
+
+
+def test_contexts_come_from_cache_and_from_documents(spark):
+    from lexforge.plans.queries import contexts
+
+    rows = contexts(spark, f"{SMALL}/../sf0.01").collect()
+    assert {r.from_cache for r in rows} == {True, False} and all(r.context for r in rows)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.operators import ranks, relational
+from lexforge.streaming import logs
 from lexforge.streaming import queue as Q
 from lexforge.streaming import state
 
@@ -235,3 +236,30 @@ def test_crash_loops(spark):
     got = state.crash_loops(spark.createDataFrame([(w, at(t)) for w, t in rows], "worker_id long, ts timestamp"), 5, 60)
     assert {r.worker_id: (r.n, r.longest, r.looped) for r in got.collect()} == want
     assert state.crash_loops(spark.createDataFrame([], "worker_id long, ts timestamp")).count() == 0
+
+
+# ---- logs ---------------------------------------------------------------------------
+def test_log_lines_are_stored_once(spark, tmp_path):
+    """Malformed lines kept aside, a file that comes later, and a batch that runs again."""
+    schema = "ts string, ok boolean, elapsed_s double, error string"
+    good = ['{"ts": "1", "ok": true, "elapsed_s": 1.25, "error": "' + "e" * 300 + '"}', '{"ts": "2", "more": 3}']
+    bad = ["not json", '{"ts": "3", "ok": tr', '{"ts": "4", "elapsed_s": "soon"}', "[1]", "3", "null"]
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def drain_log():
+        lines = logs.telemetry(logs.log_lines(spark, f"file://{log}", schema, maxFilesPerTrigger=1))
+        logs.store_log(lines, f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        rows, rescued = logs.stored_log(spark, f"file://{tmp_path}/out", schema)
+        return sorted((r.ts, r.ok, r.elapsed_s, len(r.error or "")) for r in rows.collect()), sorted(r.rescued for r in rescued.collect())
+
+    (log / "a.jsonl").write_text("\n".join([good[0], "", "  ", *bad[:3]]) + "\n")
+    assert drain_log() == ([("1", True, 1.3, 100)], sorted(bad[:3]))
+    (log / "b.jsonl").write_text("\n".join([*bad[3:], good[1]]))
+    want = ([("1", True, 1.3, 100), ("2", None, None, 0)], sorted(bad))
+    assert drain_log() == want
+    last = max(tmp_path.joinpath("cp", "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    for crc in last.parent.glob(f".{last.name}.crc"):
+        crc.unlink()
+    assert drain_log() == want

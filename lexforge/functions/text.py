@@ -149,3 +149,28 @@ def reviewer_score(quality: Column, question: Column, answer: Column, scale: flo
 def escaped(term: str) -> str:
     """A literal as a regular expression, in Java's syntax and RE2's alike."""
     return "".join("\\" + c if not (c.isalnum() or c in " _") else c for c in term)
+
+
+def shortened(text: Column, most: int, mark: str = "...") -> Column:
+    """The first `most` characters, with a mark where there are more."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
+def caption_figure(line: Column) -> Column:
+    """The figure number of a caption line; null where the line has none or only refers to a figure.
+
+    A line refers to it where a lower-case letter, full stop, comma or semicolon stands
+    before the word, or more than 30 characters do, unless another colon follows the number
+    and the mark after it.
+    """
+    found = F.regexp_extract(line, r"(?is)^(.*?)fig(?:ure)?\.?\s*\d+(?:\.\d+)?[a-z]?\s*[:.]?\s*(.*)$", 1)
+    rest = F.regexp_extract(line, r"(?is)^.*?fig(?:ure)?\.?\s*\d+(?:\.\d+)?[a-z]?\s*[:.]?\s*(.*)$", 1)
+    number = F.regexp_extract(line, r"(?i)fig(?:ure)?\.?\s*(\d+(?:\.\d+)?[a-z]?)", 1)
+    refers = (F.trim(found).rlike(r"[\p{Ll}.,;]$") | (F.length(found) > 30)) & ~rest.startswith(":")
+    return F.when((number != "") & ~refers, number)
+
+
+def prompt_template(difficulty: Column, figure_type: Column, feedback: Column) -> Column:
+    """Name of the prompt for a request."""
+    base = F.when(feedback != "", "REGEN_PROMPT").when(difficulty == "hardest", "HARDEST_PROMPT").when(difficulty == "challenging", "CHALLENGING_PROMPT")
+    return F.when(figure_type.eqNullSafe(F.lit("general_image")), F.concat(F.lit("SPATIAL_"), F.coalesce(base, F.lit("DRAFT_PROMPT")))).otherwise(F.coalesce(base, F.when(difficulty == "easy", "EASY_PROMPT"), F.lit("DRAFT_PROMPT")))

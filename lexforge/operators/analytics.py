@@ -127,12 +127,20 @@ def failure_cap(attempts: DataFrame, edits: DataFrame, run: int = 3) -> DataFram
 
 
 def determinism(reads: DataFrame) -> DataFrame:
-    """Per task: reads with an answer, mismatches with the golden one, and whether all agree."""
+    """Per task: reads with an answer, mismatches with the golden one, and whether all agree; see `diverging` for the answers."""
     match = T.matches_golden(F.col("model_answer"), F.col("golden"), F.col("answer_format"))
     some = F.trim("model_answer") != ""
     return reads.groupBy("task_id").agg(n_if(some).alias("answered"), n_if(some & ~match).alias("diverging")).withColumns({"checked": F.col("answered") > 0, "deterministic": (F.col("answered") > 0) & (F.col("diverging") == 0)})
 
 
+def diverging(reads: DataFrame, most: int = 3) -> DataFrame:
+    """Per task with mismatches: how many, and the first `most` diverging answers in order of the runs, as the log of a check shows them."""
+    match = T.matches_golden(F.col("model_answer"), F.col("golden"), F.col("answer_format"))
+    off = reads.filter(F.trim("model_answer") != "").filter(~match).select("task_id", "run", F.trim("model_answer").alias("answer"))
+    first = latest(off, ["task_id"], [F.col("run"), F.col("answer")], most).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "answer"))).alias("a"))
+    return off.groupBy("task_id").agg(F.count("*").alias("n")).join(first, "task_id").select("task_id", "n", F.transform("a", lambda x: x["answer"]).alias("answers"))
+
+
 def library_health(figures: DataFrame) -> DataFrame:
     """Counts of one scan: all, small files, suitable share, and a histogram of complexity."""
     c = F.col("complexity_score")

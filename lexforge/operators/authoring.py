@@ -212,9 +212,11 @@ def fact_check(claims: DataFrame, key: str) -> DataFrame:
     return out.withColumn("verdict", F.when(F.size("unsupported") > 0, "fail").otherwise("pass"))
 
 
-def worker_health(beats: DataFrame, as_of: Column, fresh_s: int = 60) -> DataFrame:
-    """One row: workers whose last sign of life, beats(worker_id, ts), is younger than fresh_s, all of them, and 'ok' or 'error'."""
+def worker_health(beats: DataFrame, as_of: Column | None = None, fresh_s: int = 60) -> DataFrame:
+    """One row: workers whose last sign of life, beats(worker_id, ts), is younger than fresh_s, all of them, and 'ok' or 'error'; as of the newest beat by default."""
     last = beats.groupBy("worker_id").agg(F.max("ts").alias("ts"))
+    if as_of is None:
+        last, as_of = last.crossJoin(F.broadcast(beats.agg(F.max("ts").alias("now")))), F.col("now")  # one row
     age = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
     return last.agg(n_if(age < fresh_s).alias("alive"), F.count("*").alias("total")).withColumn("status", F.when(F.col("alive") > 0, "ok").otherwise("error"))
 
@@ -254,12 +256,18 @@ def with_preferences(configs: DataFrame, profiles: DataFrame, preferences: DataF
 
 
 # ---- transitions --------------------------------------------------------------------
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key: of rows that repeat it the one that is greatest as JSON, which does not hang on their order."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})).alias("_r")).select(key, *(F.col("_r")[c].alias(c) for c in rest)).select(*df.columns)
+
+
 def submit(tasks: DataFrame, attempts: DataFrame, chosen: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Submit chosen(id, platform_task_id): (tasks, attempts, new log rows, new events).
 
     Every attempt of a submitted task gets the task's review state as it stands.
     """
-    picked = chosen.select("id", "platform_task_id").dropDuplicates(["id"]).withColumn("_on", F.lit(True))
+    picked = one_each(chosen.select("id", "platform_task_id"), "id").withColumn("_on", F.lit(True))
     done = tasks.drop("platform_task_id").join(picked, "id", "left")
     on = F.coalesce("_on", F.lit(False))
     earlier = F.col("submitted_at") if "submitted_at" in tasks.columns else F.lit(None).cast("timestamp")
@@ -279,7 +287,7 @@ def _newest(logs: DataFrame) -> DataFrame:
 
 def mark_status(tasks: DataFrame, logs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """marks(task_id, status, notes): (tasks, logs) with the status set, and on each task's newest log as well."""
-    one = marks.dropDuplicates(["task_id"])
+    one = one_each(marks.select("task_id", "status", "notes"), "task_id")
     new = tasks.join(one.select(F.col("task_id").alias("id"), F.col("status").alias("_s")), "id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
     on = one.select("task_id", F.col("status").alias("_s"), F.col("notes").alias("_n"))
     touched = logs.join(on, "task_id", "left").join(_newest(logs), F.col("id") == F.col("_newest"), "left")
@@ -296,7 +304,7 @@ def verdict_events(tasks: DataFrame, logs: DataFrame, at: Column) -> DataFrame:
 
 def record_verdicts(logs: DataFrame, verdicts: DataFrame, at: Column) -> DataFrame:
     """logs with verdicts(task_id, verdict, notes) on each task's newest row; a task without one gets a row."""
-    one = verdicts.dropDuplicates(["task_id"]).select("task_id", F.col("verdict").alias("status"), F.substring("notes", 1, 2000).alias("notes"))
+    one = one_each(verdicts.select("task_id", "verdict", "notes"), "task_id").select("task_id", F.col("verdict").alias("status"), F.substring("notes", 1, 2000).alias("notes"))
     none = logs.limit(0).select(F.col("task_id").alias("id"), F.lit("").alias("status"))
     _, touched = mark_status(none, logs, one)
     fresh = one.join(logs.select("task_id").distinct(), "task_id", "left_anti").select("task_id", at.alias("submitted_at"), F.col("status").alias("review_status"), F.col("notes").alias("reviewer_notes"))
@@ -310,20 +318,20 @@ def restore(tasks: DataFrame, attempts: DataFrame, wanted: DataFrame) -> DataFra
     """
     q, a = F.trim(F.coalesce("question", F.lit(""))), F.trim(F.coalesce("answer", F.lit("")))
     usable = attempts.select(F.col("id").alias("attempt_id"), "task_id", q.alias("_q"), a.alias("_a")).filter("_q <> '' and _a <> ''")
-    picked = wanted.dropDuplicates(["task_id"]).join(usable, ["task_id", "attempt_id"]).select(F.col("task_id").alias("id"), "_q", "_a")
+    picked = one_each(wanted.select("task_id", "attempt_id"), "task_id").join(usable, ["task_id", "attempt_id"]).select(F.col("task_id").alias("id"), "_q", "_a")
     rows = tasks.join(picked, "id", "left")
     return rows.withColumns({"question": F.coalesce("_q", "question"), "answer": F.coalesce("_a", "answer"), "restored": F.col("_q").isNotNull()}).drop("_q", "_a")
 
 
 def set_status(figures: DataFrame, changes: DataFrame) -> DataFrame:
     """figures with the status of changes(id, status), as in bulk rejection; ids that are not there change nothing."""
-    new = changes.dropDuplicates(["id"]).select("id", F.col("status").alias("_s"))
+    new = one_each(changes.select("id", "status"), "id").select("id", F.col("status").alias("_s"))
     return figures.join(new, "id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
 
 def review(tasks: DataFrame, reviews: DataFrame) -> DataFrame:
     """tasks with reviews(id, passed, notes, override): an override sets its own notes and the verdict, and leaves the review's notes."""
-    new = reviews.dropDuplicates(["id"]).select("id", F.col("passed").alias("_p"), F.col("notes").alias("_n"), F.col("override").alias("_o"))
+    new = one_each(reviews.select("id", "passed", "notes", "override"), "id").select("id", F.col("passed").alias("_p"), F.col("notes").alias("_n"), F.col("override").alias("_o"))
     on, over = F.col("_p").isNotNull(), F.coalesce("_o", F.lit(False))
     kept = lambda c, kind: F.col(c) if c in tasks.columns else F.lit(None).cast(kind)
     return tasks.join(new, "id", "left").withColumns({

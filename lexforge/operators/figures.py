@@ -53,6 +53,21 @@ def audit(figures: DataFrame) -> DataFrame:
     return figures.withColumns({"flags": flags, "audit_quality": F.greatest(1 - 0.5 * flags, F.lit(0.0))})
 
 
+def rejects(figures: DataFrame) -> DataFrame:
+    """figures with the reasons to turn a picture down: `banner`, `logo` and `text_only`.
+
+    They go by what was measured: width, height, n_colors (of the picture at 20 x 20),
+    gray_variance and transitions (light to dark and back, a row, at 100 x 100). A picture
+    that could not be measured is a banner and a logo, and no text.
+    """
+    wide = F.greatest(F.col("width") / F.col("height"), F.col("height") / F.col("width"))
+    sized = (F.col("width") > 0) & (F.col("height") > 0)
+    banner = F.when(sized, (wide > 5) | (F.col("gray_variance") < 30)).otherwise(True)
+    logo = ((F.col("width") == F.col("height")) & (F.col("width") < 200)) | (F.col("n_colors") < 5)
+    text = (F.col("gray_variance") < 2000) & ((F.col("transitions") > 5) | (F.col("gray_variance") < 200))
+    return figures.withColumns({"banner": F.coalesce(banner, F.lit(True)), "logo": F.coalesce(logo, F.lit(True)), "text_only": F.coalesce(text, F.lit(False))})
+
+
 def rank_score(complexity: Column, dense: Column, chart: Column) -> Column:
     return complexity * F.when(dense, 1.3).otherwise(1.0) * F.when(chart, 1.1).otherwise(1.0)
 

@@ -94,10 +94,48 @@ def semantic_cache(cache: DataFrame, queries: DataFrame, as_of: Column, least: f
     return hits.groupBy("query_id").agg(F.min_by("vec_id", "rank").alias("vec_id"), F.min_by("score", "rank").alias("score"))
 
 
+#: Classes up to which their mean prototypes, one vector each, are sent to all rows.
+MOST_CLASSES = 10_000
+
+
+def _class_scores(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(vec_id, class, s): average cosine of each vector to each class's prototypes.
+
+    An average of cosines is the product with the mean of the unit prototypes, so a class
+    is one vector, however many prototypes it has; a zero prototype counts as cosine 0.
+    """
+    size = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    each = prototypes.withColumn("size", size).select("label", "size", F.posexplode("p").alias("at", "x"))
+    mean = each.groupBy("label", "at").agg(F.avg(F.when(F.col("size") > 0, F.col("x").cast("double") / F.col("size")).otherwise(0.0)).alias("x"))
+    classes = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("mean"))  # one row a class, as long as a vector
+    if classes.count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes: search a stored collection of their prototypes instead")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    own = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
+    met = own.join(F.broadcast(classes))
+    return met.select("vec_id", F.col("label").alias("class"), F.when(F.col("norm") > 0, dot(F.col("embedding"), F.col("mean")) / F.col("norm")).otherwise(0.0).alias("s"))
+
+
 def nearest_prototype(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
     """Class of greatest average cosine to its prototypes(label, p), which are few by their nature; ties go to the least label."""
-    scored = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(prototypes)).groupBy("vec_id", F.col("label").alias("class")).agg(F.avg(cosine(F.col("embedding"), F.col("p"))).alias("s"))
-    return scored.groupBy("vec_id").agg(F.max_by("class", F.struct("s", -F.col("class"))).alias("class"))
+    return _class_scores(vectors, prototypes).groupBy("vec_id").agg(F.max_by("class", F.struct("s", -F.col("class"))).alias("class"))
+
+
+def classify(figures: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(vec_id, class, confidence, method) of figures(vec_id, embedding, heuristic, heuristic_confidence).
+
+    By prototypes where a figure has an embedding and some class is nearer than cosine 0;
+    a figure that no class is near to keeps the heuristic's class with confidence 0. Without
+    an embedding, or where there are no prototypes at all, the heuristic decides.
+    """
+    scored = _class_scores(figures.filter("embedding is not null"), prototypes)
+    best = scored.groupBy("vec_id").agg(F.max_by(F.struct("class", "s"), F.struct("s", -F.col("class"))).alias("b"))
+    rows = figures.select("vec_id", "heuristic", "heuristic_confidence").join(best, "vec_id", "left")
+    near = F.col("b.s") > 0
+    return rows.select(
+        "vec_id", F.when(near, F.col("b.class")).otherwise(F.col("heuristic")).alias("class"),
+        F.when(near, T.half_up(F.col("b.s"), 3)).when(F.col("b").isNotNull(), 0.0).otherwise(F.col("heuristic_confidence")).alias("confidence"), F.when(F.col("b").isNotNull(), "cnn").otherwise("heuristic").alias("method"),
+    )
 
 
 def grade(docs: DataFrame, query: str, score: Column, cut: float = 0.3) -> DataFrame:

@@ -692,8 +692,7 @@ def fact_checks(spark, sf_dir):
 @query("select count(*) filter (where age < 3600) as alive, count(*) as total, case when count(*) filter (where age < 3600) > 0 then 'ok' else 'error' end as status from (select worker_id, epoch((select max(created_at) from jobs)) - epoch(max(created_at)) as age from jobs group by 1)", "jobs")
 def worker_health(spark, sf_dir):
     j = view(spark, sf_dir, "jobs")
-    newest = j.agg(F.max("created_at")).first()[0]
-    return Au.worker_health(j.select("worker_id", F.col("created_at").alias("ts")), F.lit(newest), 3600)
+    return Au.worker_health(j.select("worker_id", F.col("created_at").alias("ts")), fresh_s=3600)
 
 
 @query("select id, cast(step as int) as step, description from (select id, unnest(range(len(d))) as step, unnest(d) as description from (select id, case when difficulty = 'hardest' then case when figure_type = 'chart_graph_text' then " + "[" + ", ".join(map(quoted, Au.CHART_STEPS)) + "] else [" + ", ".join(map(quoted, Au.OBJECT_STEPS)) + "] end else [question] end as d from tasks))", "tasks")
@@ -942,3 +941,6 @@ def orders_by_nation(spark, sf_dir):
     """A three-way join for the star schema: the two dimension sides are left to Catalyst's size estimate."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     return table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("n_orders"), F.count_distinct("o_custkey").alias("customers"))
+
+
+from . import authoring_queries  # noqa: E402, F401  adds its queries to QUERIES

@@ -22,7 +22,7 @@ from lexforge.operators import search as S
 from lexforge.operators import transitions as Tr
 from lexforge.sources import io as IO
 from lexforge.sources import vectors as Vec
-from lexforge.sources.domain import table, view, view_sql
+from lexforge.sources.domain import spread, table, view, view_sql
 from lexforge.storage import run_folder
 from lexforge.streaming import logs as Lo
 from lexforge.streaming import queue as Qu
@@ -68,7 +68,7 @@ def within(column: str, values: list[str]) -> str:
 
 
 def tasks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "tasks").withColumn("qwen_passes", F.col("qwen_raw"))
+    return spread(view(spark, sf_dir, "tasks")).withColumn("qwen_passes", F.col("qwen_raw"))
 
 
 STRATEGY_SQL = "case when trim(question) = '' then 'other' " + " ".join(f"when regexp_matches(lower(trim(question)), {quoted(p)}) then '{n}'" for n, p in P.STRATEGIES) + " else 'other' end"
@@ -335,7 +335,7 @@ def _guard_sql() -> str:
 
 @query(_guard_sql())
 def input_guard(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", G.input_risk(F.col("text")).alias("risk"), G.input_reason(F.col("text")).alias("reason"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", G.input_risk(F.col("text")).alias("risk"), G.input_reason(F.col("text")).alias("reason"))
 
 
 def _pii_sql() -> str:
@@ -350,7 +350,7 @@ def _pii_sql() -> str:
 @query(_pii_sql())
 def pii_redaction(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", G.toxic(t).alias("toxic"), (F.size(G.pii_kinds(t)) > 0).alias("pii"), F.sha2(G.redacted(t), 256).alias("redacted_sha256"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", G.toxic(t).alias("toxic"), (F.size(G.pii_kinds(t)) > 0).alias("pii"), F.sha2(G.redacted(t), 256).alias("redacted_sha256"))
 
 
 @query("select conv_id, turn, " + " + ".join(f"cast({rx('lower(text)', [p])} as int)" for p in P.LEAKAGE) + " as n_leaks from conversations")
@@ -459,8 +459,8 @@ _BONUS = " + ".join(_rules_sql()[r][2] for r in ("R18", "R31", "R32"))
 
 
 def _validated(spark, sf_dir) -> DataFrame:
-    t = view(spark, sf_dir, "tasks").withColumn("options", F.when(F.col("options_text") != "", F.split("options_text", "[|]")))
-    return R.validate(t)
+    t = view(spark, sf_dir, "tasks").select("id", "question", "answer", "answer_format", "image_path", "caption", "options_text", "figure_type", "task_type", "difficulty")
+    return R.validate(spread(t).withColumn("options", F.when(F.col("options_text") != "", F.split("options_text", "[|]"))))
 
 
 @query(f"with {_INPUT_SQL} select id, cast({_SUM[0]} as int) as n_errors, cast({_SUM[1]} as int) as n_warnings, cast(greatest(least(100 - 20 * ({_SUM[0]}) - 5 * ({_SUM[1]}) + 5 * ({_BONUS}), 100), 0) as int) as quality_score, ({_SUM[0]}) = 0 as is_valid from s", "tasks")

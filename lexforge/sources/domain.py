@@ -125,3 +125,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all cores where its files give fewer partitions than that: for expressions that cost far more than moving a row.
+
+    Tables of more files or splits than cores stay as they are, so nothing is shuffled at size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.sources.domain import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,13 +58,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
-    return license_scan(_table(spark, sf_dir, "documents"))
+    return license_scan(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_fst import encode
 
-    ids = encode(_table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) as doc_id", "text"), MODEL, decoded="decoded")
+    ids = encode(spread(_table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) as doc_id", "text")), MODEL, decoded="decoded")
     same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 

@@ -98,7 +98,8 @@ def test_native_oracles(spark):
     from lexforge.llm import queries
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for t in ("documents", "benchmark", "labels"):
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         want = con.execute(sql)
         names = [c[0] for c in want.description]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.operators.relational import latest
 from lexforge.sources.vectors import Collection
 
 #: Synonyms of search terms, and category keywords of domains.
@@ -72,18 +77,95 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+#: Rows and queries that meet in one task, and scores held at once.
+BLOCK, QUERIES, HELD = 65_536, 8192, 2_000_000
+#: By how much a matrix product may differ from a sum in order.
+ROUNDING = 1e-9
+
+
+def _plain(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as doubles, length of each); a vector that is null or holds a null has length -1, and others are filled with zeros."""
+    flat = column.combine_chunks()
+    size = np.where(flat.is_null().to_numpy(zero_copy_only=False), -1, np.diff(flat.offsets.to_numpy()))
+    if not flat.null_count and not flat.flatten().null_count and len(set(size.tolist())) == 1 and size[0]:
+        return flat.flatten().to_numpy().astype(np.float64).reshape(len(size), -1), size
+    out = np.zeros((len(size), max(int(size.max(initial=0)), 1)))
+    for i, v in enumerate(flat.to_pylist()):
+        if v is not None and None in v:
+            size[i] = -1
+        elif v:
+            out[i, : size[i]] = v
+    return out, size
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first element to the last, as `cosine` does."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Rows and queries of a block -> the k nearest rows of each query.
+
+    A matrix product tells which rows can be among them; those are scored again as `cosine`
+    does, so equal vectors have equal scores and ties are seen.
+    """
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, names = (np.asarray(t.column(c).to_pylist()) for t, c in ((rows, "vec_id"), (asked, "query_id")))
+        x, x_size = _plain(rows.column("embedding"))
+        q, q_size = _plain(asked.column("q"))
+        wide = max(x.shape[1], q.shape[1])
+        x, q = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, q))
+        x_norm, q_norm = (np.sqrt(_in_order(m, m)) for m in (x, q))
+        unit = lambda m, n: m / np.where(n > 0, n, 1.0)[:, None]
+        x_unit, q_unit = unit(x, x_norm), unit(q, q_norm)
+        place = np.unique(ids, return_inverse=True)[1]
+        of, to, scores = [], [], []
+        step = max(1, HELD // max(len(ids), 1))
+        for at in range(0, len(names), step):
+            here = slice(at, at + step)
+            rough = q_unit[here] @ x_unit.T
+            rough[q_size[here, None] != x_size[None, :]] = 0.0
+            rough[np.isnan(rough)] = np.inf
+            rough[names[here, None] == ids[None, :]] = -np.inf
+            least = np.partition(rough, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            for i, good in enumerate((rough >= least[:, None] - ROUNDING) & (rough > -np.inf), at):
+                near = np.flatnonzero(good)
+                norm = x_norm[near] * q_norm[i]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.where(np.isnan(norm) | (norm > 0), _in_order(x[near], q[i][None, :]) / norm, 0.0)
+                score = np.where((x_size[near] == q_size[i]) & (x_size[near] >= 0), score, 0.0)
+                best = np.lexsort((place[near], -np.where(np.isnan(score), np.inf, score)))[:k]
+                of.append(np.full(len(best), i))
+                to.append(near[best])
+                scores.append(score[best])
+        take = lambda t, c, at: t.column(c).take(pa.array(np.concatenate(at) if at else [], pa.int64()))
+        return pa.table({"query_id": take(asked, "query_id", of), "vec_id": take(rows, "vec_id", to), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+
+    return run
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, equal: dict | None = None) -> DataFrame:
     """The k nearest vectors of each query(query_id, q), exactly; a vector is no neighbour of its own id.
 
-    The stated query set is sent to all rows. Spark's limit for row_number filters keeps
-    each task's own k best of a query before the exchange.
+    Every query meets every vector, in tasks of at most about BLOCK vectors and QUERIES
+    queries; each gives its own k best of a query.
     """
     for name, value in (equal or {}).items():
         vectors = vectors.filter(F.col(name) == value)
-    scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).withColumn("score", cosine(F.col("embedding"), F.col("q")))
-    order = [F.col("score").desc(), F.col("vec_id")]
-    ranked = scored.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "vec_id", T.half_up(F.col("score"), 4).alias("score"), "rank")
+    rows, asked = vectors.select("vec_id", "embedding").filter("vec_id is not null"), queries.select("query_id", "q").filter("query_id is not null")
+    n, m, tasks = rows.count(), asked.count(), 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    takes = max(1, -(-m // QUERIES))
+    shares = max(1, -(-n // BLOCK), min(-(-tasks // takes), -(-n // 1024)))
+    part = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = rows.select(part("vec_id", shares).alias("share"), every(takes).alias("take"), "vec_id", "embedding")
+    right = asked.select(every(shares).alias("share"), part("query_id", takes).alias("take"), "query_id", "q")
+    kind = {f.name: f.dataType.simpleString() for f in [*rows.schema, *asked.schema]}
+    keys = ["share", "take"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest(k), f"query_id {kind['query_id']}, vec_id {kind['vec_id']}, score double")
+    ranked = latest(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+    return ranked.select("query_id", "vec_id", T.half_up(F.col("score"), 4).alias("score"), "rank")
 
 
 def semantic_cache(cache: DataFrame, queries: DataFrame, as_of: Column, least: float = 0.95, ttl_s: int = 3600, top: int = 3) -> DataFrame:
@@ -205,7 +287,7 @@ def few_shot_all(attempts: DataFrame, issues: DataFrame, profiles: DataFrame, li
     without a complexity takes its group's best by quality. Equal profiles are one.
     """
     from .ranks import tallied
-    from .relational import latest, without
+    from .relational import without
 
     most = 2 * limit
     good = without(attempts.filter("success and validation_is_valid and quality >= 80 and question <> ''"), issues, "id", "generation_attempt_id")

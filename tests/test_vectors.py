@@ -83,3 +83,24 @@ def test_contexts_come_from_cache_and_from_documents(spark):
 
     rows = contexts(spark, f"{SMALL}/../sf0.01").collect()
     assert {r.from_cache for r in rows} == {True, False} and all(r.context for r in rows)
+
+
+def test_topk_in_blocks(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from lexforge.operators import search as S
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 6)).astype(np.float32)
+    rows = [(i, [float(x) for x in base[i % 40]]) for i in range(120)]
+    rows += [(200, [0.0] * 6), (201, None), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (204, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.filter("vec_id % 4 = 0 or vec_id > 200").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = df.crossJoin(asked).filter("vec_id <> query_id").withColumn("score", S.cosine(F.col("embedding"), F.col("q")))
+    every = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter("rank <= 5")
+    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "QUERIES", 8)
+    got = vector_topk(df, asked, 5)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id").collect()) == sorted(tuple(r) for r in every.select("query_id", "rank", "vec_id").collect())
+    # no pair of rows is a row of the plan
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()

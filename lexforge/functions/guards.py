@@ -8,18 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .rules import any_match, any_word, words
+from .rules import any_match, any_word, lowered, plain, words
 
 
 def input_risk(text: Column) -> Column:
     """'blocked' for injections and secrets, 'suspicious' for great length, else 'safe'."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = lowered(F.coalesce(text, F.lit("")))
     return F.when(any_match(low, P.INJECTION) | any_match(low, P.SENSITIVE), "blocked").when(F.length(text) > 5000, "suspicious").otherwise("safe")
 
 
 def input_reason(text: Column) -> Column:
     """Number of the first injection (1-9) or secret (10-12) pattern; null for none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = lowered(F.coalesce(text, F.lit("")))
     out = None
     for i, p in enumerate([*P.INJECTION, *P.SENSITIVE], 1):
         out = F.when(any_match(low, [p]), i) if out is None else out.when(any_match(low, [p]), i)
@@ -27,24 +27,24 @@ def input_reason(text: Column) -> Column:
 
 
 def pii_kinds(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(p), name) for name, p in P.PII)))
+    return F.array_compact(F.array(*(F.when(text.rlike(plain(p)), name) for name, p in P.PII)))
 
 
 def redacted(text: Column) -> Column:
     """text with personal data replaced; null if there is none."""
     out = text
     for _, p in P.PII:
-        out = F.regexp_replace(out, p, "[REDACTED]")
+        out = F.regexp_replace(out, plain(p), "[REDACTED]")
     return F.when((F.size(pii_kinds(text)) > 0) | toxic(text), out)
 
 
 def toxic(text: Column) -> Column:
-    return F.lower(text).rlike(P.TOXIC_WORDS)
+    return lowered(text).rlike(plain(P.TOXIC_WORDS))
 
 
 def leaks(text: Column) -> Column:
     """Numbers of the leakage patterns that occur."""
-    low = F.lower(text)
+    low = lowered(text)
     return F.array_compact(F.array(*(F.when(any_match(low, [p]), i) for i, p in enumerate(P.LEAKAGE, 1))))
 
 

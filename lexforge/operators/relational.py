@@ -81,11 +81,19 @@ def queue_order(jobs: DataFrame, by: str = "id") -> DataFrame:
 
 
 def chunks(df: DataFrame, size: int, order: list[Column], value: str, last: int = 10) -> DataFrame:
-    """Averages of runs of `size` rows in order, with the difference to the run before; the last runs."""
+    """Averages of runs of `size` rows in order, with the difference to the run before; the last runs.
+
+    A run's values are summed in that order, so that its average does not hang on how rows
+    are dealt: one decimal is often a half away from the next.
+    """
     from lexforge.functions.text import half_up
 
     ranked = placed(df, order, "rn").withColumn("chunk", F.floor((F.col("rn") - 1) / size))
-    out = ranked.groupBy("chunk").agg(F.count("*").alias("n"), half_up(F.avg(value), 1).alias("average"))
+    held = F.array_sort(F.collect_list(F.struct("rn", F.col(value).cast("double").alias("v"))))  # `size` rows
+    known = F.filter(F.transform(held, lambda r: r["v"]), lambda v: v.isNotNull())
+    total = F.aggregate("known", F.lit(0.0), lambda s, v: s + v)
+    runs = ranked.groupBy("chunk").agg(F.count("*").alias("n"), known.alias("known"))
+    out = runs.select("chunk", "n", half_up(total / F.nullif(F.size("known"), F.lit(0)), 1).alias("average"))
     before = out.select((F.col("chunk") + 1).alias("chunk"), F.col("average").alias("before"))
     label = F.concat(F.lit("#"), (F.col("chunk") * size + 1).cast("string"), F.lit("-"), (F.col("chunk") * size + F.col("n")).cast("string"))
     top = out.agg(F.max("chunk").alias("top"))

@@ -170,3 +170,21 @@ def test_guard_edges_are_ascii(spark, text, risk, reason):
 
     row = spark.createDataFrame([(text,)], "text string").select(G.input_risk(F.col("text")), G.input_reason(F.col("text"))).first()
     assert tuple(row) == (risk, reason)
+
+
+def test_chunks_sum_in_order(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    each = [[r.randrange(1, 1000) / 10 for _ in range(20)] for _ in range(400)]
+    rows = [(i, v) for i, v in enumerate(v for chunk in each for v in chunk)]
+    r.shuffle(rows)
+    got = relational.chunks(spark.createDataFrame(rows, "id long, v double"), 20, [F.col("id")], "v", last=400)
+    want = []
+    for chunk in each:
+        total = 0.0
+        for v in chunk:
+            total += v
+        want.append(math.floor(total / 20 * 10.0 + 0.5) / 10.0)
+    assert [r.average for r in got.orderBy("chunk").collect()] == want

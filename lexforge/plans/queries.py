@@ -798,6 +798,8 @@ def _job_log(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("id"), F.expr(_STATUS).alias("status"), F.lit(9).cast("long").alias("max_attempts"), F.col("ts").cast("timestamp").alias("ts"))
 
 
+#: Log rows in a bucket of a stream's state.
+_BUCKET = 4000
 _SILENT_S, _AS_OF = 12 * 3600, "2025-01-01 00:00:00"
 _TRANSITIONS_SQL = f"""with e as (select user_id as job_id, event_id as id, ts, {_STATUS} as status from events),
 c as (select *, count(*) filter (where status = 'failed') over w as failures, first_value(case when status in ('done', 'cancelled') then status end ignore nulls) over w as ended, lead(ts) over (partition by job_id order by ts, id) as next
@@ -819,12 +821,13 @@ def job_transition_stream(spark, sf_dir):
     """The same rows from a stream over the log in files of mixed times, stopped and started again from its checkpoint."""
     home = f"{run_folder(spark)}/job-stream-{uuid.uuid4().hex}"
     log = _job_log(spark, sf_dir)
+    buckets = 1 + log.count() // _BUCKET
     # beyond all times, so that the watermark passes _AS_OF once the log is through
     end = spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.col("id"), F.lit("queued").alias("status"), F.lit(1).cast("long").alias("max_attempts"), (F.lit(_AS_OF).cast("timestamp") + F.expr("interval 400 days")).alias("ts"))
     for part in (log.repartition(6, "id"), end):
         part.write.mode("append").parquet(f"{home}/log")
         source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/log")
-        Qu.transition_stream(source, "400 days", _SILENT_S).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        Qu.transition_stream(source, "400 days", _SILENT_S, buckets).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(Qu.TRANSITION).parquet(f"{home}/out")
 
 
@@ -909,11 +912,12 @@ def rate_limit_stream(spark, sf_dir):
     """The same rows from a stream over the hits in files of mixed times, stopped and started again from its checkpoint."""
     home = f"{run_folder(spark)}/limit-{uuid.uuid4().hex}"
     hits = _hits(spark, sf_dir)
+    buckets = 1 + hits.count() // _BUCKET
     end = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("key"), (F.lit(_AS_OF).cast("timestamp") + F.expr("interval 400 days")).alias("ts"))
     for part in (hits.repartition(6, "id"), end):
         part.write.mode("append").parquet(f"{home}/hits")
         source = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/hits")
-        St.rate_limit_stream(source, 24 * 3600, 3, "400 days").writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        St.rate_limit_stream(source, 24 * 3600, 3, "400 days", buckets).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(St.LIMITED).parquet(f"{home}/out")
 
 

@@ -42,34 +42,42 @@ def transitions(log: DataFrame, as_of: Column, silent_s: int = SILENT_S) -> Data
     return moved.union(seen.filter("lost").select("job_id", "lost_at", "id", "state", F.lit("queued"), "failures", F.lit(True)))
 
 
+def bucketed(rows: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """rows with the `bucket` of their key, and `none` in place of a null key, which becomes 0.
+
+    A call on state costs far more than a row, so a bucket's keys share their calls. A
+    bucket's state is read whole; give so many that its rows fit a task, some thousands
+    each. The number stays with a checkpoint. By default it is 16 a shuffle partition.
+    """
+    many = buckets or 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = rows.withColumn("none", F.col(key).isNull()).withColumn(key, F.coalesce(key, F.lit(0)))
+    return filled.withColumn("bucket", F.pmod(F.xxhash64("none", key), F.lit(many)).cast("int"))
+
+
 class JobProcessor(StatefulProcessor):
-    """Rows wait in list state until the watermark passes them, then move the job in order; timers tell both that and silence."""
+    """Rows of a bucket of jobs wait in list state until the watermark passes them, then move their jobs in order; timers tell both that and silence."""
 
     def __init__(self, silent_s: int) -> None:
         self.silent_us = silent_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "ts long, id long, state string, failures long, most long, ended string")
-        self.waiting = handle.getListState("waiting", "ts long, id long, status string, most long")
+        self.jobs = handle.getListState("jobs", "none boolean, job_id long, ts long, id long, state string, failures long, most long, ended string")
+        self.waiting = handle.getListState("waiting", "ts long, id long, status string, most long, none boolean, job_id long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            fresh = [(t, i, s, m) for t, i, s, m in zip(frame["us"].tolist(), frame["id"].tolist(), frame["status"].tolist(), frame["max_attempts"].tolist(), strict=True)]
+            fresh = list(zip(*(frame[c].tolist() for c in ("us", "id", "status", "max_attempts", "none", "job_id")), strict=True))
             self.waiting.appendList(fresh)
             self.handle.registerTimer(-(-min(r[0] for r in fresh) // 1000))
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in waiting if r[0] <= now]
-        left = waiting[len(due) :]
-        job = tuple(self.job.get()) if self.job.exists() else None
+    def moved(self, job: tuple | None, due: list[tuple], now: int) -> tuple[tuple | None, list[tuple]]:
+        """A job after its due rows and the time reached, and its transitions."""
         out = []
         for row in [*due, None]:  # None stands for the time reached
             if job and job[2] == "running" and (job[0] + self.silent_us < row[0] if row else job[0] + self.silent_us <= now):
-                out.append((key[0], job[0] + self.silent_us, job[1], "running", "queued", job[3], True))
+                out.append((job[0] + self.silent_us, job[1], "running", "queued", job[3], True))
                 job = (*job[:2], "queued", *job[3:])
             if row:
                 old, failures, most, ended = (job[2], *job[3:]) if job else (None, 0, row[3], None)
@@ -78,32 +86,49 @@ class JobProcessor(StatefulProcessor):
                 ended = ended or (status if status in FINAL else None)
                 state = ended or ("queued" if status == "failed" and failures < most else status)
                 if state != old:
-                    out.append((key[0], ts, i, old, state, failures, False))
+                    out.append((ts, i, old, state, failures, False))
                 job = (ts, i, state, failures, most, ended)
+        return job, out
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in waiting if r[0] <= now]
+        left = waiting[len(due) :]
+        jobs = {tuple(r)[:2]: tuple(r)[2:] for r in self.jobs.get()}
+        reached: dict[tuple[bool, int], list[tuple]] = {k: [] for k, job in jobs.items() if job[2] == "running"}
+        for *row, none, k in due:
+            reached.setdefault((none, k), []).append(tuple(row))
+        out = []
+        for k, rows in reached.items():
+            jobs[k], moves = self.moved(jobs.get(k), rows, now)
+            out += [(None if k[0] else k[1], *m) for m in moves]
         if due or out:
-            self.job.update(job)
+            self.jobs.put([(*k, *job) for k, job in jobs.items()])
         if due:
             self.waiting.put(left) if left else self.waiting.clear()
         if left:
             self.handle.registerTimer(-(-left[0][0] // 1000))
-        if job and job[2] == "running":
-            self.handle.registerTimer(-(-(job[0] + self.silent_us) // 1000))
+        lost = [job[0] + self.silent_us for job in jobs.values() if job[2] == "running"]
+        if lost:
+            self.handle.registerTimer(-(-min(lost) // 1000))
         if out:
             frame = pd.DataFrame(out, columns=["job_id", "ts", "id", "old_state", "new_state", "failures", "silent"])
-            yield frame.assign(ts=pd.to_datetime(frame["ts"], unit="us"))
+            yield frame.assign(job_id=frame["job_id"].astype("Int64"), ts=pd.to_datetime(frame["ts"], unit="us"))
 
     def close(self) -> None:
         pass
 
 
-def transition_stream(log: DataFrame, late: str = "10 minutes", silent_s: int = SILENT_S) -> DataFrame:
+def transition_stream(log: DataFrame, late: str = "10 minutes", silent_s: int = SILENT_S, buckets: int | None = None) -> DataFrame:
     """The same of a stream, each transition once its time is passed by the watermark; rows later than `late` are dropped.
 
-    Sets the session's state store to the one that keeps timers; streams that run keep theirs.
+    State is kept for `buckets` of jobs, as `bucketed` says. Sets the session's state store
+    to the one that keeps timers; streams that run keep theirs.
     """
     log.sparkSession.conf.set(*STORE)
     rows = log.select(F.col("job_id").cast("long"), F.col("id").cast("long"), "status", F.col("max_attempts").cast("long"), F.col("ts").cast("timestamp"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    keyed = rows.withWatermark("ts", late).groupBy("job_id")
+    keyed = bucketed(rows, "job_id", buckets).withWatermark("ts", late).groupBy("bucket")
     return keyed.transformWithStateInPandas(statefulProcessor=JobProcessor(silent_s), outputStructType=T._parse_datatype_string(TRANSITION), outputMode="append", timeMode="eventTime")
 
 

@@ -263,3 +263,17 @@ def test_log_lines_are_stored_once(spark, tmp_path):
     for crc in last.parent.glob(f".{last.name}.crc"):
         crc.unlink()
     assert drain_log() == want
+
+
+def test_rate_limit_folds_many_runs_in_a_task(spark):
+    plan = state.rate_limit(hits_of(spark, [(1, 1, at(5))]), 60, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
+def test_keys_share_a_bucket_of_state(spark, tmp_path):
+    rows, home = log_rows(8), f"file://{tmp_path}"
+    feed(spark, home, rows)
+    feed(spark, home, [(99, 9999, "queued", 3, at(60_000))])
+    source = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{home}/log")
+    Q.transition_stream(source, "30000 seconds", 300, buckets=2).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.schema(Q.TRANSITION).parquet(f"{home}/out").collect()), key=str) == want(rows, at(30_000), 300)

@@ -188,3 +188,13 @@ def test_chunks_sum_in_order(spark):
             total += v
         want.append(math.floor(total / 20 * 10.0 + 0.5) / 10.0)
     assert [r.average for r in got.orderBy("chunk").collect()] == want
+
+
+def test_rules_read_each_text_once(spark, monkeypatch):
+    from lexforge.sources.domain import view
+
+    tasks = view(spark, "/root/testdata/sf0.001", "tasks").limit(200).withColumn("options", F.when(F.col("options_text") != "", F.split("options_text", "[|]")))
+    tasks = tasks.withColumns({c: F.when(F.col("id") % 9 != k, F.col(c)) for k, c in enumerate(("question", "answer"))})
+    few = sorted(map(str, rules.validate(tasks).drop("options").collect()))
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", 1)
+    assert sorted(map(str, rules.validate(tasks).drop("options").collect())) == few and len(few) == tasks.count()

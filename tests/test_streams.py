@@ -266,7 +266,7 @@ def test_log_lines_are_stored_once(spark, tmp_path):
 
 
 def test_rate_limit_folds_many_runs_in_a_task(spark):
-    plan = state.rate_limit(hits_of(spark, [(1, 1, at(5))]), 60, 2)._jdf.queryExecution().executedPlan().toString()
+    plan = state.rate_limit(hits_of(spark, [(1, 1, 5)]), 60, 2)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan
 
 

@@ -63,9 +63,19 @@ def best_per_key(df: DataFrame, keys: list[str], by: Column, row: list[str]) ->
     return df.groupBy(*keys).agg(F.max(F.struct(by.alias("_by"), *row)).alias("m")).select(*keys, *(F.col(f"m.{c}") for c in row))
 
 
+#: Rows of keys up to which `without` sends them to all rows.
+BROADCAST_ROWS = 20_000
+
+
 def without(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
-    """Rows whose key is in no row of other; null keys of other exclude nothing."""
-    return df.join(other.select(F.col(other_key).alias(key)).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    """Rows whose key is in no row of other; null keys of other exclude nothing.
+
+    Keys of other are held as hash tables, whole if they are few and else dealt by key: a
+    task holds its share of distinct keys, and rows of df pass by without being sorted.
+    """
+    keys = other.select(F.col(other_key).alias(key)).filter(F.col(key).isNotNull())
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(keys.distinct().hint("broadcast" if few else "shuffle_hash"), key, "left_anti")
 
 
 def queue_order(jobs: DataFrame, by: str = "id") -> DataFrame:

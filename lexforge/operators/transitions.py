@@ -26,7 +26,7 @@ def changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
 
 def delete_cascade(children: DataFrame, deleted: DataFrame, key: str = "task_id") -> DataFrame:
     """What of a child table stays when tasks go."""
-    return without(children, deleted, key, "id") if key == "id" else children.join(deleted.select(F.col("id").alias(key)).distinct(), key, "left_anti")
+    return without(children, deleted, key, "id")
 
 
 def set_difficulty(tasks: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from lexforge.functions import text as T
 from lexforge.operators import authoring as Au
 from lexforge.operators import figures as Fig
+from lexforge.operators import relational as Rel
 from lexforge.operators import search as S
+from lexforge.operators import transitions as Tr
 
 
 @pytest.mark.parametrize("line,want", [
@@ -39,3 +41,14 @@ def test_classes_without_prototypes_or_embeddings(spark):
     assert got == {1: (0, 1.0, "cnn"), 2: (8, 0.6, "heuristic"), 3: (9, 0.0, "cnn"), 4: (5, 0.0, "cnn")}
     got = {r.vec_id: tuple(r)[1:] for r in S.classify(figures, near.limit(0)).collect()}
     assert got == {1: (7, 0.4, "heuristic"), 2: (8, 0.6, "heuristic"), 3: (9, 0.2, "heuristic"), 4: (5, 0.1, "heuristic")}
+
+
+@pytest.mark.parametrize("held,join", [(4, "BroadcastHashJoin"), (3, "BroadcastHashJoin"), (2, "ShuffledHashJoin")])
+def test_what_stays_is_not_sorted(spark, monkeypatch, held, join):
+    monkeypatch.setattr(Rel, "BROADCAST_ROWS", held, raising=False)
+    children = spark.createDataFrame([(1, 10), (2, None), (3, 11), (4, 10), (5, 12), (5, 12), (6, 13)], "id long, task_id long")
+    left = Tr.delete_cascade(children, spark.createDataFrame([(10,), (10,), (None,), (13,)], "id long"))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert join in plan and "Sort" not in plan
+    assert sorted(left.select("id", "task_id").collect(), key=str) == [(2, None), (3, 11), (5, 12), (5, 12)]
+    assert Tr.delete_cascade(children.select("id"), children.filter("id > 2"), "id").count() == 2
